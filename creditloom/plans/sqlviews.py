@@ -127,3 +127,31 @@ FROM (
       + CASE WHEN count(payment_date)>0 THEN max(time_consistency) ELSE 0e0 END AS total
   FROM bills LEFT JOIN gap_stats USING(account_id) GROUP BY account_id)
 GROUP BY account_id, n_parts, total""", "bills", "gap_stats")
+
+view("statement_lines", """
+SELECT 'S' || l.account_id || '-' || (txn_id % n_pages) AS doc_id, l.*,
+  row_number() OVER (PARTITION BY l.account_id, txn_id % n_pages ORDER BY txn_date, txn_id)-1 AS pos
+FROM ledger_lines l JOIN (SELECT account_id, CAST(ceil(count(*)/200) AS BIGINT) AS n_pages FROM ledger_lines GROUP BY 1) USING(account_id)""",
+     "ledger_lines")
+
+view("statements", """
+SELECT doc_id, account_id, 'Statement of Account - Branch NEFT UPI' || chr(10) || 'Account No: ' || lpad(CAST(account_id AS VARCHAR),12,'0') || chr(10) ||
+  rpad('Date',11,' ') || rpad('Narration',20,' ') || rpad('Debit',15,' ') || 'Credit' || chr(10) ||
+  string_agg(rpad(strftime(txn_date,'%d/%m/%Y'),11,' ') || rpad(narration,20,' ') ||
+    rpad(CASE WHEN txn_type='DR' THEN printf('%.2f',amount) ELSE '' END,15,' ') || CASE WHEN txn_type='CR' THEN printf('%.2f',amount) ELSE '' END,
+    chr(10) ORDER BY pos) AS text
+FROM statement_lines GROUP BY doc_id, account_id""", "statement_lines")
+
+view("slip_docs", """
+SELECT 'P' || account_id AS doc_id, account_id, concat_ws(chr(10), 'Salary slip for the month of ' || pay_period,
+  'PAN: ' || translate(substr(lpad(CAST(account_id AS VARCHAR),5,'0'),1,5),'0123456789','ABCDEFGHIJ') || lpad(CAST(account_id%10000 AS VARCHAR),4,'0') || 'K',
+  'Gross Salary: ' || printf('%.2f',gross_salary), 'Basic Pay: ' || printf('%.2f',gross_salary*0.5e0), 'HRA: ' || printf('%.2f',gross_salary*0.2e0),
+  'PF Deduction: ' || printf('%.2f',pf), 'Net Salary: ' || printf('%.2f',net_salary)) AS text
+FROM slips""", "slips")
+
+view("bill_docs", """
+SELECT 'B' || event_id AS doc_id, user_id AS account_id, concat_ws(chr(10), 'Electricity Bill Consumer No: ' || lpad(CAST(user_id AS VARCHAR),10,'0'),
+  'Bill Date: ' || strftime(CAST(ts AS DATE),'%d/%m/%Y'), 'Due Date: ' || strftime(CAST(ts AS DATE)+15,'%d/%m/%Y'),
+  'Units Consumed: ' || printf('%.2f',k::DOUBLE), 'Total Amount: ' || printf('%.2f',value),
+  'Status: ' || CASE WHEN event_type='purchase' THEN 'paid' ELSE 'outstanding' END) AS text, k, value, ts, event_type
+FROM ev WHERE event_type IN ('purchase','error')""", "ev")
