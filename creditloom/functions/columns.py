@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def col(c: str | Column) -> Column:
@@ -59,3 +59,13 @@ def compact(*items: Column) -> Column:
 
 def first_or_null(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
+
+
+def computed_once(df: DataFrame, keep: Sequence[str], *columns: Column) -> DataFrame:
+    """Select ``keep`` plus costly columns so that later filters reuse their values.
+
+    A plain projection is inlined into every filter above it, which would repeat
+    the regular expressions of a document once per reference.  Generating exactly
+    one row per input row keeps the values as attributes; nothing is shuffled.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))

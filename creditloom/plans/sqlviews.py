@@ -142,10 +142,10 @@ SELECT doc_id, account_id, 'Statement of Account - Branch NEFT UPI' || chr(10) |
     chr(10) ORDER BY pos) AS text
 FROM statement_lines GROUP BY doc_id, account_id""", "statement_lines")
 
-view("slip_docs", """
+view("slip_docs", f"""
 SELECT 'P' || account_id AS doc_id, account_id, concat_ws(chr(10), 'Salary slip for the month of ' || pay_period,
   'PAN: ' || translate(substr(lpad(CAST(account_id AS VARCHAR),5,'0'),1,5),'0123456789','ABCDEFGHIJ') || lpad(CAST(account_id%10000 AS VARCHAR),4,'0') || 'K',
-  'Gross Salary: ' || printf('%.2f',gross_salary), 'Basic Pay: ' || printf('%.2f',gross_salary*0.5e0), 'HRA: ' || printf('%.2f',gross_salary*0.2e0),
+  'Gross Salary: ' || printf('%.2f',gross_salary), 'Basic Pay: ' || printf('%.2f',{r('gross_salary*0.5e0',2)}), 'HRA: ' || printf('%.2f',{r('gross_salary*0.2e0',2)}),
   'PF Deduction: ' || printf('%.2f',pf), 'Net Salary: ' || printf('%.2f',net_salary)) AS text
 FROM slips""", "slips")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, rnd
 from ..functions.text import normalise_light
 from . import views
 from .tables import table
@@ -111,8 +111,8 @@ def slip_documents(spark: SparkSession, d: str) -> DataFrame:
             F.concat(F.lit("Salary slip for the month of "), "pay_period"),
             F.concat(F.lit("PAN: "), pan_of(F.col("account_id"))),
             F.concat(F.lit("Gross Salary: "), printed(gross)),
-            F.concat(F.lit("Basic Pay: "), printed(gross * 0.5)),
-            F.concat(F.lit("HRA: "), printed(gross * 0.2)),
+            F.concat(F.lit("Basic Pay: "), printed(rnd(gross * 0.5, 2))),
+            F.concat(F.lit("HRA: "), printed(rnd(gross * 0.2, 2))),
             F.concat(F.lit("PF Deduction: "), printed("pf")),
             F.concat(F.lit("Net Salary: "), printed("net_salary")),
         ).alias("text"),
