@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col, rnd
+from ..functions.fields import find_date
 from ..functions.text import normalise_light
+from ..operators import canonical, extract
 from . import views
 from .tables import table
 
@@ -263,3 +265,40 @@ def prompt_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     whens = " ".join(f"WHEN '{k}' THEN {quote(_prompt_head(k))}" for k in PROMPT_SUBJECTS)
     return f"(CASE doc_type {whens} END) || text"
+
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entity table read out of every document's text."""
+    slips = extract.salary_fields(slip_documents(spark, d))
+    gross, net, pf = F.col("gross_salary"), F.col("net_salary"), F.col("pf_contribution_flag")
+    slip_rows = canonical.entity_rows(
+        slips,
+        ("gross_salary", None, F.when(pf, gross), 0),
+        ("net_salary", None, net, 0),
+        ("net_salary", None, gross, 1),
+        ("total_deductions", None, rnd(gross - net, 2), 2),
+        ("pf_contribution", None, F.when(pf, rnd(gross * 0.12, 2)), 3),
+        ("pay_period", F.col("pay_period"), None, 0),
+        ("employer_name", F.when(pf, F.lit("registered employer")), None, 4),
+    )
+    bills = extract.utility_fields(bill_documents(spark, d))
+    paid = F.col("payment_discipline_flag")
+    bill_rows = canonical.entity_rows(
+        bills,
+        ("bill_amount", None, F.col("bill_amount"), 0),
+        ("bill_amount", None, F.col("units_consumed"), 2),
+        ("due_date", F.col("due_date"), None, 1),
+        ("payment_status", F.when(paid, "paid").otherwise("overdue"), None, 0),
+        ("units_consumed", None, F.col("units_consumed"), 1),
+        ("consumer_number", F.col("consumer_number"), None, 1),
+    )
+    first_line = F.split("text", "\n", 2)[0]
+    prose_rows = canonical.entity_rows(
+        prose(spark, d),
+        ("transaction_description", first_line, None, 0),
+        ("transaction_date", find_date("text"), None, 1),
+    )
+    out = canonical.statement_entities(statements(spark, d).select("doc_id", "text"))
+    for rows in (slip_rows, bill_rows, prose_rows):
+        out = out.unionByName(rows)
+    return out
