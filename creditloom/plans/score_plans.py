@@ -82,10 +82,9 @@ _woe_query("woe_missing_bin", "empirical")
 
 
 @query("woe_single", using("feat", sql="SELECT account_id, has_salary, has_utility, " + ", ".join(
-    f"{woe_case(CARD, f)} AS {f}_woe" for f in V.FEATURES) + " FROM feat WHERE NOT has_salary OR NOT has_utility"))
+    f"{woe_case(CARD, f)} AS {f}_woe" for f in V.FEATURES) + " FROM feat"))
 def woe_single(spark, d):
-    thin = P.features(spark, d).where(~F.col("has_salary") | ~F.col("has_utility"))
-    return S.with_woe(thin, MODEL).select("account_id", "has_salary", "has_utility", *WOES)
+    return S.with_woe(P.features(spark, d), MODEL).select("account_id", "has_salary", "has_utility", *WOES)
 
 
 view("long_woe", " UNION ALL ".join(

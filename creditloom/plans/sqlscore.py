@@ -49,12 +49,16 @@ view("scored0", f"SELECT *, {z_of()} AS log_odds FROM woe5", "woe5")
 view("scored", f"""
 SELECT *, {SCORE} AS risk_score, {TIER} AS risk_tier FROM (SELECT *, {clip(SIGMOID, V.PROB_EPS, 1 - V.PROB_EPS)} AS pd FROM scored0)""", "scored0")
 
+view("feat6", "SELECT account_id, has_bank, has_salary, has_utility, " + ", ".join(f"{r(f, 6)} AS {f}" for f in V.FEATURES) + " FROM feat", "feat")
+
 view("train", f"""
-SELECT *, CASE WHEN ((account_id*7919+104729)%10007)/10007e0 < 1/(1+exp(2-risk)) THEN 1 ELSE 0 END AS "default",
+SELECT *, {clip(SIGMOID, V.PROB_EPS, 1 - V.PROB_EPS)} AS p,
+  CASE WHEN ((account_id*7919+104729)%10007)/10007e0 < 1/(1+exp(2-risk)) THEN 1 ELSE 0 END AS y,
   CASE WHEN CAST('0x'||substr(md5(CAST(account_id AS VARCHAR)),1,8) AS BIGINT)%10<8 THEN 'train' ELSE 'test' END AS split
-FROM (SELECT *, CASE WHEN credit_debit_ratio<1 THEN 1.8e0 ELSE 0e0 END+CASE WHEN cashflow_cv>0.65e0 THEN 2e0 ELSE 0e0 END
+FROM (SELECT *, {z_of()} AS log_odds, CASE WHEN credit_debit_ratio<1 THEN 1.8e0 ELSE 0e0 END+CASE WHEN cashflow_cv>0.65e0 THEN 2e0 ELSE 0e0 END
   +CASE WHEN net_to_gross_ratio<0.7e0 THEN 1.4e0 ELSE 0e0 END+CASE WHEN utility_stability>0.6e0 THEN 1.2e0 ELSE 0e0 END
-  +CASE WHEN min_balance<15000 THEN 1.6e0 ELSE 0e0 END AS risk FROM scored)""", "scored")
+  +CASE WHEN min_balance<15000 THEN 1.6e0 ELSE 0e0 END AS risk
+  FROM (SELECT *, {", ".join(f"{woe_case(CARD, f)} AS {f}_woe" for f in V.FEATURES)} FROM feat6))""", "feat6")
 
 view("app_months", f"""
 SELECT account_id, date_trunc('month',txn_date) AS m, CAST(sum(CASE WHEN txn_type='CR' THEN {c('amount')} ELSE 0 END) AS BIGINT) AS cr,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import cents, number, rnd
+from ..functions.vocab import FEATURES
 from ..operators import assembly
 from ..operators.scoring import Scorecard, card
 from . import views
@@ -75,7 +76,9 @@ def split_of(key: str) -> Column:
 
 
 def train(spark: SparkSession, d: str) -> DataFrame:
-    return features(spark, d).withColumn("default", default_label()).withColumn("split", split_of("account_id"))
+    """Labelled features, rounded so that equal values are equal in every engine."""
+    six = {f: rnd(F.col(f), 6) for f in FEATURES}
+    return features(spark, d).withColumns(six).withColumn("default", default_label()).withColumn("split", split_of("account_id"))
 
 
 def applicants(spark: SparkSession, d: str) -> DataFrame:
