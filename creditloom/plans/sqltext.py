@@ -108,6 +108,10 @@ def n_words(t: str, words) -> str:
 def _register_documents() -> None:
     from .sqlviews import view
 
+    view("noisy", """
+SELECT 'documents' AS src, doc_id AS id, text FROM documents
+UNION ALL SELECT 'pages', page_id, html FROM pages""")
+    view("light", f"SELECT src, id, {light('text')} AS text FROM noisy", "noisy")
     view("document_docs", f"SELECT 'D' || doc_id AS doc_id, {light('text')} AS text FROM documents")
     view("all_docs", """
 SELECT doc_id, 'bank_statement' AS doc_type, text FROM statements

@@ -10,16 +10,6 @@ from . import sqltext as S
 from .registry import query
 from .sqlviews import r, using, view
 
-view("noisy", """
-SELECT 'documents' AS src, doc_id AS id, text FROM documents
-UNION ALL SELECT 'pages', page_id, html FROM pages""")
-view("light", f"SELECT src, id, {S.light('text')} AS text FROM noisy", "noisy")
-
-
-def _chain(t: str) -> str:
-    return S.strip(S.dehyphen(S.euro(S.currency("t4"))))
-
-
 CHAINS = {
     "txt_invisible": (T.drop_invisible, S.invisible("text")),
     "txt_ocr_fix": (T.fix_ocr, S.ocr_fix("text")),

@@ -92,8 +92,11 @@ def slips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    k = F.from_json("props", "k int")["k"]
-    return table(spark, d, "events").select("*", k.alias("k"))
+    return with_k(table(spark, d, "events"))
+
+
+def with_k(raw: DataFrame) -> DataFrame:
+    return raw.select("*", F.from_json("props", "k int")["k"].alias("k"))
 
 
 def bills(spark: SparkSession, d: str) -> DataFrame:
@@ -116,3 +119,30 @@ def feature_sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "salary": salary_features(slips(spark, d)),
         "utility": utility_features(bills(spark, d)),
     }
+
+
+def consents(spark: SparkSession, d: str) -> DataFrame:
+    return consents_of(events(spark, d))
+
+
+def uploads(spark: SparkSession, d: str) -> DataFrame:
+    return uploads_of(events(spark, d))
+
+
+def consents_of(events: DataFrame) -> DataFrame:
+    """Sign-ups as consent requests; the bits of k are the four consents."""
+    bit = lambda i: F.shiftright("k", i).bitwiseAND(F.lit(1)) == 1
+    return events.where(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("session_id"), F.col("user_id").alias("borrower_id"), F.col("ts").alias("created_at"),
+        (bit(0) | bit(1)).alias("consent_bank"), bit(1).alias("consent_salary"), bit(2).alias("consent_utility"),
+        (bit(3) | bit(0)).alias("consent_dpdpa"),
+    )
+
+
+def uploads_of(events: DataFrame) -> DataFrame:
+    """Purchases, clicks and views as document uploads; k decides the document type."""
+    kinds = F.array(*[F.lit(x) for x in ("bank", "salary", "utility")])
+    return events.where(F.col("event_type").isin("purchase", "click", "view")).select(
+        F.col("event_id").alias("upload_id"), F.col("user_id").alias("borrower_id"), F.col("ts").alias("uploaded_at"),
+        F.element_at(kinds, F.col("k") % 3 + 1).alias("doc_type"),
+    )
