@@ -6,15 +6,19 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
-from .columns import col, first_or_null, one_of_regex
+from .columns import col, first_or_null
 from .vocab import AMOUNT_PATTERN, DATE_PATTERNS, NUMBER_TOKEN_PATTERN, PAN_PATTERN
 
 
 def find_date(c: str | Column) -> Column:
     """First match of the first pattern family that matches anywhere."""
-    return F.coalesce(
-        *[F.nullif(F.regexp_extract(col(c), p, 0), F.lit("")) for p in DATE_PATTERNS]
-    )
+    hits = [F.nullif(F.regexp_extract(col(c), p, 0), F.lit("")) for p in DATE_PATTERNS]
+    return F.when(has_digit(c), F.coalesce(*hits))
+
+
+def has_digit(c: str | Column) -> Column:
+    """Cheap test in front of every date and amount pattern."""
+    return col(c).rlike("[0-9]")
 
 
 def has_date(c: str | Column) -> Column:
@@ -25,7 +29,8 @@ def amounts(c: str | Column) -> Column:
     """All amounts, largest first."""
     hits = F.regexp_extract_all(col(c), F.lit(AMOUNT_PATTERN), F.lit(0))
     numbers = F.transform(hits, lambda h: F.replace(h, F.lit(","), F.lit("")).try_cast("double"))
-    return F.sort_array(F.array_compact(numbers), asc=False)
+    found = F.sort_array(F.array_compact(numbers), asc=False)
+    return F.when(has_digit(c), found).otherwise(F.array().cast("array<double>"))
 
 
 def has_amount(c: str | Column) -> Column:
@@ -42,7 +47,13 @@ def clean_amount(c: str | Column) -> Column:
 
 
 def has_any(c: str | Column, words: Iterable[str]) -> Column:
-    return col(c).rlike(one_of_regex(words))
+    """Any of the words as a substring; words that contain another listed word add nothing."""
+    words = list(dict.fromkeys(words))
+    short = [w for w in words if not any(v != w and v in w for v in words)]
+    out = col(c).contains(short[0])
+    for w in short[1:]:
+        out = out | col(c).contains(w)
+    return out
 
 
 def count_words(c: str | Column, words: Iterable[str]) -> Column:

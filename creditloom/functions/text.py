@@ -9,18 +9,34 @@ from pyspark.sql import Column, functions as F
 from .columns import col
 from .vocab import GROUPED_NUMBER_PATTERN, MONTHS
 
-# Word boundaries that hold for letters of every script.
+# Word boundaries that hold for letters of every script.  Patterns start with a cheap
+# test of their first character, so that most positions fail before any look-behind.
 _LEFT = r"(?<![\p{L}\p{N}_])"
 _RIGHT = r"(?![\p{L}\p{N}_])"
-# White space inside one line, Unicode spaces included.
-_BLANK = r"[\t\x0B\f\r \x1C-\x1F\x85\p{Z}]"
+_DIGIT = rf"(?=\d){_LEFT}"
+# White space: inside one line (Unicode spaces included), and with the line feed.
+BLANKS = (
+    "\t\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0         "
+    "       　"
+)
+SPACES = "\n" + BLANKS
 _SPACE = r"[\n\t\x0B\f\r \x1C-\x1F\x85\p{Z}]"
 
 MONTH_DATE_PATTERN = (
-    rf"(?i){_LEFT}(\d{{1,2}})\s+({'|'.join(MONTHS)})[a-z]*\s+(\d{{4}}){_RIGHT}"
+    rf"(?i){_DIGIT}(\d{{1,2}})\s+({'|'.join(MONTHS)})[a-z]*\s+(\d{{4}}){_RIGHT}"
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def if_digits(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Apply a clean-up that can only change text with digits in it."""
+    return let(value, lambda t: F.when(t.rlike("[0-9]"), body(t)).otherwise(t))
+
+
 def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
     """Replace every match by a function of the match: split into gaps and matches, then zip."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rewrite)
@@ -30,7 +46,7 @@ def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Colu
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def drop_invisible(c: str | Column) -> Column:
@@ -38,10 +54,14 @@ def drop_invisible(c: str | Column) -> Column:
 
 
 def fix_ocr(c: str | Column) -> Column:
-    t = F.regexp_replace(col(c), rf"{_LEFT}O{_RIGHT}", "0")
-    for glyph, digit in (("O", "0"), ("l", "1"), ("I", "1"), ("S", "5")):
-        t = F.regexp_replace(t, rf"(?<=\d){glyph}(?=\d)", digit)
-    return t
+    t = F.regexp_replace(col(c), rf"O(?<![\p{{L}}\p{{N}}_]O){_RIGHT}", "0")
+
+    def between_digits(x: Column) -> Column:
+        for glyph, digit in (("O", "0"), ("l", "1"), ("I", "1"), ("S", "5")):
+            x = F.regexp_replace(x, rf"{glyph}(?<=\d{glyph})(?=\d)", digit)
+        return x
+
+    return if_digits(t, between_digits)
 
 
 def unify_linebreaks(c: str | Column) -> Column:
@@ -49,15 +69,18 @@ def unify_linebreaks(c: str | Column) -> Column:
 
 
 def squeeze_spaces(c: str | Column) -> Column:
-    t = F.regexp_replace(col(c), r"[ \t]+", " ")
-    return F.regexp_replace(t, rf"(?md)^{_BLANK}+|{_BLANK}+$", "")
+    t = F.regexp_replace(col(c), r"[ \t]{2,}|\t", " ")
+    rows = F.transform(F.split(t, "\n"), lambda s: F.btrim(s, F.lit(BLANKS)))
+    return F.array_join(rows, "\n")
 
 
 def unify_dates(c: str | Column) -> Column:
-    t = F.regexp_replace(
-        col(c), rf"{_LEFT}(\d{{1,2}})[-.](\d{{1,2}})[-.](\d{{4}}){_RIGHT}", "$1/$2/$3"
-    )
-    t = F.regexp_replace(t, rf"{_LEFT}(\d{{4}})-(\d{{2}})-(\d{{2}}){_RIGHT}", "$3/$2/$1")
+    return if_digits(col(c), _slashed_dates)
+
+
+def _slashed_dates(t: Column) -> Column:
+    t = F.regexp_replace(t, rf"{_DIGIT}(\d{{1,2}})[-.](\d{{1,2}})[-.](\d{{4}}){_RIGHT}", "$1/$2/$3")
+    t = F.regexp_replace(t, rf"{_DIGIT}(\d{{4}})-(\d{{2}})-(\d{{2}}){_RIGHT}", "$3/$2/$1")
     number_of = F.create_map(
         *[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m.lower(), f"{i:02d}")]
     )
@@ -72,27 +95,38 @@ def unify_dates(c: str | Column) -> Column:
             F.regexp_extract(hit, r"(\d{4})$", 1),
         )
 
-    return F.when(
-        t.rlike(MONTH_DATE_PATTERN), rewrite_matches(t, MONTH_DATE_PATTERN, slashed)
-    ).otherwise(t)
+    return let(
+        t,
+        lambda x: F.when(
+            x.rlike(MONTH_DATE_PATTERN), rewrite_matches(x, MONTH_DATE_PATTERN, slashed)
+        ).otherwise(x),
+    )
 
 
 def strip_currency(c: str | Column) -> Column:
-    t = F.regexp_replace(col(c), rf"(?i)(?:Rs\.?|INR|₹|USD|\$|EUR|€){_SPACE}*", "")
-    return F.when(
-        t.rlike(GROUPED_NUMBER_PATTERN),
-        rewrite_matches(t, GROUPED_NUMBER_PATTERN, lambda hit: F.replace(hit, F.lit(","), F.lit(""))),
-    ).otherwise(t)
+    mark = rf"(?=[RrIiUuEe$₹€])(?i:Rs\.?|INR|₹|USD|\$|EUR|€){_SPACE}*"
+    plain = lambda hit: F.replace(hit, F.lit(","), F.lit(""))
+    return let(
+        F.regexp_replace(col(c), mark, ""),
+        lambda t: F.when(
+            t.rlike(r"\d,\d\d"), rewrite_matches(t, GROUPED_NUMBER_PATTERN, plain)
+        ).otherwise(t),
+    )
 
 
 def european_decimals(c: str | Column) -> Column:
     return F.regexp_replace(
-        col(c), rf"{_LEFT}(\d{{1,3}})\.(\d{{3}}),(\d{{2}}){_RIGHT}", "$1$2.$3"
+        col(c), rf"{_DIGIT}(\d{{1,3}})\.(\d{{3}}),(\d{{2}}){_RIGHT}", "$1$2.$3"
     )
 
 
 def join_hyphenated(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
+    return let(
+        col(c),
+        lambda t: F.when(
+            t.contains("-\n"), F.regexp_replace(t, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
+        ).otherwise(t),
+    )
 
 
 def normalise(c: str | Column) -> Column:
@@ -117,15 +151,15 @@ def normalise_light(c: str | Column, strict: bool = False) -> Column:
     """Short chain of the live path; ``strict`` keeps currency letters inside words."""
     t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^\x00-\x7F₹%°]", " ")
     edge = r"\b" if strict else ""
-    t = F.regexp_replace(t, rf"(?i)({edge}Rs\.?|{edge}INR|₹)\s*", "")
-    t = F.regexp_replace(F.regexp_replace(t, " +", " "), r"\n+", "\n")
-    return strip(F.regexp_replace(t, r"(\w)-\n(\w)", "$1$2"))
+    t = F.regexp_replace(t, rf"(?=[RrIi₹])(?i:{edge}Rs\.?|{edge}INR|₹)\s*", "")
+    t = F.regexp_replace(F.regexp_replace(t, " {2,}", " "), r"\n{2,}", "\n")
+    return strip(join_hyphenated(t))
 
 
 def squeeze_ocr(c: str | Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(col(c), " +", " "), r"\n+", "\n"))
+    return strip(F.regexp_replace(F.regexp_replace(col(c), " {2,}", " "), r"\n{2,}", "\n"))
 
 
 def ascii_only(c: str | Column) -> Column:
     t = F.regexp_replace(col(c), r"[^\x00-\x7F]+", " ")
-    return strip(F.regexp_replace(t, r"\n+", "\n"))
+    return strip(F.regexp_replace(t, r"\n{2,}", "\n"))

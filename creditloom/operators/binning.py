@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vocab as V
 from ..functions.columns import ladder, rnd
+from ..session import cut_lineage
 from . import ordered as O
 from .assembly import unpivot_features
 from .scoring import INF, Bin, Scorecard
@@ -38,7 +39,9 @@ def prebin_counts(df: DataFrame, label: str = "default", features: Sequence[str]
     long = unpivot_features(df, label, features=features).where(F.col(label).isin(0, 1))
     bad = F.count_if(F.col(label) == 1)
     rows = F.count(F.lit(1))
-    table = O.cumulate(long.where(F.col("value").isNotNull()), "feature", "value", {"n": rows, "bad": bad})
+    known = long.where(F.col("value").isNotNull())
+    # Edges and counts both read this table, so it is written once.
+    table = cut_lineage(O.cumulate(known, "feature", "value", {"n": rows, "bad": bad}))
     probs = [i / MAX for i in range(1, MAX)]
     edges = O.quantiles(table, "feature", "value", probs).select("feature", F.array_distinct("edges").alias("edges"))
     place = F.size(F.filter("edges", lambda e: e <= F.col("value")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fields as X, vocab as V
-from ..functions.columns import compact, computed_once, first_or_null, one_of_regex, rnd, strings
+from ..functions.columns import compact, computed_once, first_or_null, rnd, strings
 
 # Diagnostics of the extractors.
 NO_ROWS = "No date-anchored transaction rows detected."
@@ -122,22 +122,15 @@ def typed_transactions(rows: DataFrame) -> DataFrame:
     )
 
 
-def _first_amount(facts: Column, words: list[str]) -> Column:
-    rx = one_of_regex(words)
-    return first_or_null(
-        F.transform(
-            F.filter(facts, lambda f: f["low"].rlike(rx) & (f["top"] != 0)), lambda f: f["top"]
-        )
-    )
+def _first_amount(facts: Column, low: Column, words: list[str]) -> Column:
+    """Amount of the first line with a label and an amount; documents without a label are skipped."""
+    hits = F.filter(facts, lambda f: (f["top"] != 0) & X.has_any(f["low"], words))
+    return F.when(X.has_any(low, words), first_or_null(F.transform(hits, lambda f: f["top"])))
 
 
-def _first_date(facts: Column, words: list[str]) -> Column:
-    rx = one_of_regex(words)
-    return first_or_null(
-        F.transform(
-            F.filter(facts, lambda f: f["low"].rlike(rx) & f["date"].isNotNull()), lambda f: f["date"]
-        )
-    )
+def _first_date(facts: Column, low: Column, words: list[str]) -> Column:
+    hits = F.filter(facts, lambda f: f["date"].isNotNull() & X.has_any(f["low"], words))
+    return F.when(X.has_any(low, words), first_or_null(F.transform(hits, lambda f: f["date"])))
 
 
 def _with_facts(docs: DataFrame) -> DataFrame:
@@ -152,10 +145,10 @@ def salary_fields(docs: DataFrame) -> DataFrame:
     facts, words = F.col("facts"), V.SALARY_SYNONYMS
     return d.select(
         "doc_id",
-        *[_first_amount(facts, words[k]).alias(k) for k in ("gross_salary", "net_salary", "basic_pay", "hra")],
+        *[_first_amount(facts, F.col("low"), words[k]).alias(k) for k in ("gross_salary", "net_salary", "basic_pay", "hra")],
         X.has_any("low", words["pf"]).alias("pf_contribution_flag"),
         X.has_any("low", words["tax"]).alias("tax_deduction_flag"),
-        _first_date(facts, words["pay_period"]).alias("pay_period"),
+        _first_date(facts, F.col("low"), words["pay_period"]).alias("pay_period"),
     )
 
 
@@ -165,9 +158,9 @@ def utility_fields(docs: DataFrame) -> DataFrame:
     facts, words = F.col("facts"), V.UTILITY_SYNONYMS
     return d.select(
         "doc_id",
-        _first_amount(facts, words["bill_amount"]).alias("bill_amount"),
-        _first_date(facts, words["due_date"]).alias("due_date"),
-        _first_amount(facts, words["units_consumed"]).alias("units_consumed"),
+        _first_amount(facts, F.col("low"), words["bill_amount"]).alias("bill_amount"),
+        _first_date(facts, F.col("low"), words["due_date"]).alias("due_date"),
+        _first_amount(facts, F.col("low"), words["units_consumed"]).alias("units_consumed"),
         X.number_on_labelled_line("text", words["consumer_number"], 6, 15).alias("consumer_number"),
         X.has_any("low", words["payment_status"]).alias("payment_discipline_flag"),
     )
@@ -192,12 +185,12 @@ def document_facts(docs: DataFrame) -> DataFrame:
         ["doc_id"],
         F.size(F.filter(facts, lambda f: f["date"].isNotNull() & f["top"].isNotNull())).alias("n_rows"),
         X.number_on_labelled_line("text", V.BANK_SYNONYMS["account_number"], 9, 18).alias("account"),
-        *[_first_amount(facts, sal[k]).alias(k) for k in ("gross_salary", "net_salary", "basic_pay", "hra")],
+        *[_first_amount(facts, F.col("low"), sal[k]).alias(k) for k in ("gross_salary", "net_salary", "basic_pay", "hra")],
         X.has_any(low, sal["pf"]).alias("pf"),
-        _first_date(facts, sal["pay_period"]).alias("pay_period"),
-        _first_amount(facts, utl["bill_amount"]).alias("bill_amount"),
-        _first_date(facts, utl["due_date"]).alias("due_date"),
-        _first_amount(facts, utl["units_consumed"]).alias("units_consumed"),
+        _first_date(facts, F.col("low"), sal["pay_period"]).alias("pay_period"),
+        _first_amount(facts, F.col("low"), utl["bill_amount"]).alias("bill_amount"),
+        _first_date(facts, F.col("low"), utl["due_date"]).alias("due_date"),
+        _first_amount(facts, F.col("low"), utl["units_consumed"]).alias("units_consumed"),
         X.number_on_labelled_line("text", utl["consumer_number"], 6, 15).alias("consumer_number"),
         X.has_any(low, utl["payment_status"]).alias("payment_discipline_flag"),
         X.count_words(low, V.BANK_SIGNALS).alias("bank_signals"),

@@ -86,4 +86,4 @@ def cross_validated_auc(df: DataFrame, features: Sequence[str], label: str, key:
         seed=SEED,
     )
     model = cv.fit(data)
-    return model.avgMetrics[0], model.stdMetrics[0]
+    return float(model.avgMetrics[0]), float(model.stdMetrics[0])

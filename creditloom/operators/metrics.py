@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import vocab as V
 from ..functions.columns import rnd
 from ..functions.stats import chi2_sf
+from ..session import cut_lineage
 from . import ordered as O
 
 DECILES = [i / 10 for i in range(11)]
@@ -16,14 +17,19 @@ OVERFIT_GAP = 0.03
 
 
 def label_table(df: DataFrame, truth: str, prob: str, group: str) -> DataFrame:
-    """Running bads and goods over the distinct scores of each group, ascending."""
+    """Running bads and goods over the distinct scores of each group, ascending.
+
+    Every metric reads this table several times, so it is checkpointed: the
+    applicants are scored once, and what is kept is one row per distinct score.
+    """
     y = F.col(truth)
-    return O.cumulate(
+    table = O.cumulate(
         df.where(y.isin(0, 1) & F.col(prob).isNotNull()),
         group,
         prob,
         {"n": F.count(F.lit(1)), "bad": F.count_if(y == 1), "good": F.count_if(y == 0)},
     )
+    return cut_lineage(table)
 
 
 def ks_curve(table: DataFrame, group: str, prob: str) -> DataFrame:

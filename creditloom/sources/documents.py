@@ -14,7 +14,7 @@ from ..functions.fields import find_date
 from ..functions.text import normalise_light
 from ..operators import canonical, extract
 from . import views
-from .tables import table
+from .tables import spread, table
 
 LINES_PER_PAGE = 200
 STATEMENT_HEAD = "Statement of Account - Branch NEFT UPI"
@@ -27,10 +27,10 @@ def printed(c: str | Column) -> Column:
 
 def noisy(spark: SparkSession, d: str) -> DataFrame:
     """Prose documents and raw web pages as (src, id, text)."""
-    docs = table(spark, d, "documents").select(
+    docs = spread(table(spark, d, "documents")).select(
         F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text"
     )
-    pages = table(spark, d, "pages").select(
+    pages = spread(table(spark, d, "pages")).select(
         F.lit("pages").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text")
     )
     return docs.unionByName(pages)
@@ -41,7 +41,7 @@ def light(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prose(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.concat(F.lit("D"), "doc_id").alias("doc_id"), normalise_light("text").alias("text")
     )
 
