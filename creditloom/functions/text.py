@@ -15,9 +15,8 @@ _LEFT = r"(?<![\p{L}\p{N}_])"
 _RIGHT = r"(?![\p{L}\p{N}_])"
 _DIGIT = rf"(?=\d){_LEFT}"
 # White space: inside one line (Unicode spaces included), and with the line feed.
-BLANKS = (
-    "\t\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0         "
-    "       　"
+BLANKS = "\t\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0" + "".join(
+    chr(c) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 )
 SPACES = "\n" + BLANKS
 _SPACE = r"[\n\t\x0B\f\r \x1C-\x1F\x85\p{Z}]"
@@ -149,7 +148,7 @@ def normalise(c: str | Column) -> Column:
 
 def normalise_light(c: str | Column, strict: bool = False) -> Column:
     """Short chain of the live path; ``strict`` keeps currency letters inside words."""
-    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^\x00-\x7F₹%°]", " ")
+    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[\x{80}-\x{10FFFF}&&[^₹°]]", " ")
     edge = r"\b" if strict else ""
     t = F.regexp_replace(t, rf"(?=[RrIi₹])(?i:{edge}Rs\.?|{edge}INR|₹)\s*", "")
     t = F.regexp_replace(F.regexp_replace(t, " {2,}", " "), r"\n{2,}", "\n")
@@ -161,5 +160,5 @@ def squeeze_ocr(c: str | Column) -> Column:
 
 
 def ascii_only(c: str | Column) -> Column:
-    t = F.regexp_replace(col(c), r"[^\x00-\x7F]+", " ")
+    t = F.regexp_replace(col(c), r"[\x{80}-\x{10FFFF}]+", " ")
     return strip(F.regexp_replace(t, r"\n{2,}", "\n"))
