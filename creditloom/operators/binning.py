@@ -7,10 +7,12 @@ What is left is at most ``MAX_PREBINS`` + 1 rows per feature.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vocab as V
@@ -20,6 +22,9 @@ from . import ordered as O
 from .assembly import unpivot_features
 from .scoring import INF, Bin, Scorecard
 
+# Functions sent to Python workers travel by value: workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MISSING_BIN = -1
 BIN_SCHEMA = (
     "feature string, bin_id int, lo double, hi double, n_event bigint, n_nonevent bigint, "

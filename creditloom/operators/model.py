@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
@@ -15,6 +17,9 @@ from ..functions import vocab as V
 from ..functions.columns import rnd
 from ..functions.stats import chi2_sf
 
+# Functions sent to Python workers travel by value: workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RIDGE = 1e-8
 
 

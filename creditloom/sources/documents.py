@@ -125,7 +125,7 @@ def bill_documents(spark: SparkSession, d: str) -> DataFrame:
     """One bill text per bill; a missed bill is printed as due."""
     on = F.to_date("ts")
     day = lambda c: F.date_format(c, "dd/MM/yyyy")
-    e = views.events(spark, d).where(F.col("event_type").isin("purchase", "error"))
+    e = spread(views.events(spark, d).where(F.col("event_type").isin("purchase", "error")))
     paid = F.col("event_type") == "purchase"
     return e.select(
         F.concat(F.lit("B"), "event_id").alias("doc_id"),
