@@ -28,6 +28,11 @@ def number(c: str | Column) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
 
 
+def stable_hash(c: str | Column) -> Column:
+    """Non-negative hash of a key that is the same in every engine and every run."""
+    return F.conv(F.substring(F.md5(col(c).cast("string")), 1, 8), 16, 10).cast("bigint")
+
+
 def ratio(top: Column, bottom: Column, default: float | None) -> Column:
     """top / bottom, or ``default`` where the denominator is zero."""
     return F.when(bottom == 0, F.lit(default)).otherwise(F.try_divide(top, bottom))

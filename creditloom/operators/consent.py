@@ -2,9 +2,10 @@
 
 An upload belongs to the latest session its borrower opened at most 60 minutes
 before.  Joining all uploads of a borrower with all sessions would pair them up
-quadratically, so both sides are laid on one time line instead: sessions are
-copied into their own and the next 60-minute slot, and a window per (borrower,
-slot) carries the latest session forward.  A busy borrower spreads over slots.
+quadratically, so both sides are laid on one time line instead, cut into short
+slots: every slot knows its own sessions and the last session of each slot in the
+hour before, and a window per (borrower, slot) carries the latest one forward.  A
+busy borrower spreads over many slots.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.vocab import CONSENT_MINUTES
 
-SLOT_SECONDS = CONSENT_MINUTES * 60
+VALID_MICROS = CONSENT_MINUTES * 60 * 1_000_000
+SLOT_MINUTES = 5
 FLAGS = ("consent_bank", "consent_salary", "consent_utility", "consent_dpdpa")
 
 
-def slot_of(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / (SLOT_SECONDS * 1_000_000))
+def slot_of(ts: Column, minutes: int = SLOT_MINUTES) -> Column:
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / (minutes * 60 * 1_000_000))
 
 
 def open_sessions(consents: DataFrame) -> DataFrame:
@@ -33,22 +35,30 @@ def refused_consents(consents: DataFrame) -> DataFrame:
 def match_uploads(uploads: DataFrame, consents: DataFrame) -> DataFrame:
     """Every upload with its session (or NULL), status and reason."""
     session = F.struct("session_id", "created_at", *FLAGS)
-    opened = open_sessions(consents).select(
-        "borrower_id", F.col("created_at").alias("at"), F.lit(0).alias("kind"), F.col("session_id").alias("seq"),
-        session.alias("session"), F.lit(None).cast("bigint").alias("upload_id"), F.lit(None).cast("string").alias("doc_type"),
-        F.explode(F.array(slot_of(F.col("created_at")), slot_of(F.col("created_at")) + 1)).alias("slot"),
+    none = lambda kind: F.lit(None).cast(kind)
+    point = F.struct(F.col("created_at").alias("at"), F.col("session_id").alias("seq"), session.alias("session"))
+    opened = open_sessions(consents).select("borrower_id", slot_of(F.col("created_at")).alias("slot"), point.alias("p"))
+    later = F.transform(F.sequence(F.lit(1), F.lit(CONSENT_MINUTES // SLOT_MINUTES)), lambda i: F.col("slot") + i)
+    carried = (
+        opened.groupBy("borrower_id", "slot")
+        .agg(F.max_by("p", F.struct("p.at", "p.seq")).alias("p"))
+        .select("borrower_id", F.explode(later).alias("slot"), "p")
+    )
+    marks = opened.unionByName(carried).select(
+        "borrower_id", "slot", "p.at", F.lit(0).alias("kind"), "p.seq", "p.session",
+        none("bigint").alias("upload_id"), none("string").alias("doc_type"),
     )
     sent = uploads.select(
-        "borrower_id", F.col("uploaded_at").alias("at"), F.lit(1).alias("kind"), F.col("upload_id").alias("seq"),
-        F.lit(None).cast(opened.schema["session"].dataType).alias("session"), "upload_id", "doc_type",
-        slot_of(F.col("uploaded_at")).alias("slot"),
+        "borrower_id", slot_of(F.col("uploaded_at")).alias("slot"), F.col("uploaded_at").alias("at"),
+        F.lit(1).alias("kind"), F.col("upload_id").alias("seq"),
+        none(marks.schema["session"].dataType).alias("session"), "upload_id", "doc_type",
     )
     line = W.partitionBy("borrower_id", "slot").orderBy("at", "kind", "seq").rowsBetween(W.unboundedPreceding, 0)
-    carried = opened.unionByName(sent).withColumn("session", F.last("session", ignorenulls=True).over(line))
+    timeline = marks.unionByName(sent).withColumn("session", F.last("session", ignorenulls=True).over(line))
     fresh = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("session.created_at").cast("timestamp"))
-    valid = F.when(fresh <= SLOT_SECONDS * 1_000_000, F.col("session"))
+    valid = F.when(fresh <= VALID_MICROS, F.col("session"))
     return with_verdict(
-        carried.where(F.col("kind") == 1).select(
+        timeline.where(F.col("kind") == 1).select(
             "upload_id", "borrower_id", "doc_type", F.col("at").alias("uploaded_at"), valid.alias("session")
         )
     )

@@ -8,6 +8,9 @@ from ..functions import vocab as V
 from ..functions.text import strip
 
 
+PIECE_PAGES = 500
+
+
 def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
@@ -61,13 +64,17 @@ def page_method(pages: DataFrame, doc: str, page: str) -> DataFrame:
 def route_pages(pages: DataFrame, doc: str, page: str) -> DataFrame:
     """Every page with the method of its document.
 
-    Pages stay rows: a document of very many pages is never gathered into one
-    value.  ``joined_text`` gathers the documents of ordinary size.
+    Pages stay rows: a document of very many pages is never gathered into one value.
     """
     return pages.join(page_method(pages, doc, page), doc)
 
 
 def joined_text(pages: DataFrame, doc: str, number: str, page: str) -> DataFrame:
-    """Pages of each document in order, joined by a blank line."""
+    """Pages of each document in order, joined by a blank line.
+
+    One row per ``PIECE_PAGES`` pages: an ordinary document is a single piece, a
+    very long one goes on in further pieces, so no row grows without bound.
+    """
     items = F.array_sort(F.collect_list(F.struct(number, page)))
-    return pages.groupBy(doc).agg(F.concat_ws("\n\n", F.transform(items, lambda x: x[page])).alias("raw_text"))
+    text = F.concat_ws("\n\n", F.transform(items, lambda x: x[page]))
+    return pages.groupBy(doc, F.floor(F.col(number) / PIECE_PAGES).alias("piece")).agg(text.alias("raw_text"))

@@ -129,9 +129,8 @@ FROM (
 GROUP BY account_id, n_parts, total""", "bills", "gap_stats")
 
 view("statement_lines", """
-SELECT 'S' || l.account_id || '-' || (txn_id % n_pages) AS doc_id, l.*,
-  row_number() OVER (PARTITION BY l.account_id, txn_id % n_pages ORDER BY txn_date, txn_id)-1 AS pos
-FROM ledger_lines l JOIN (SELECT account_id, CAST(ceil(count(*)/200) AS BIGINT) AS n_pages FROM ledger_lines GROUP BY 1) USING(account_id)""",
+SELECT 'S' || account_id || '-' || page AS doc_id, * EXCLUDE (page, n_pages), row_number() OVER (PARTITION BY account_id, page ORDER BY txn_date, txn_id)-1 AS pos
+FROM (SELECT *, CAST('0x'||substr(md5(CAST(txn_id AS VARCHAR)),1,8) AS BIGINT) % n_pages AS page FROM ledger_lines l JOIN (SELECT account_id, CAST(ceil(count(*)/200) AS BIGINT) AS n_pages FROM ledger_lines GROUP BY 1) USING(account_id))""",
      "ledger_lines")
 
 view("statements", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.columns import cents, number, rnd
+from ..functions.columns import cents, number, rnd, stable_hash
 from ..functions.vocab import FEATURES
 from ..operators import assembly
 from ..operators.scoring import Scorecard, card
@@ -71,8 +71,7 @@ def default_label() -> Column:
 
 def split_of(key: str) -> Column:
     """train (8 of 10) or test by a hash of the key: stable under repartitioning."""
-    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return F.when(h % 10 < 8, "train").otherwise("test")
+    return F.when(stable_hash(key) % 10 < 8, "train").otherwise("test")
 
 
 def train(spark: SparkSession, d: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Document views: prose, pages, and financial documents rendered from the credit views.
 
 Statements are rendered per account *page*.  An account may own a third of all
-transactions, so its rows are dealt over as many pages as it needs; every row
-lands on exactly one page and a page holds about ``LINES_PER_PAGE`` rows.
+transactions, so its rows are dealt by a hash over as many pages as it needs; every
+row lands on exactly one page and a page holds about ``LINES_PER_PAGE`` rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import col, rnd
+from ..functions.columns import col, rnd, stable_hash
 from ..functions.fields import find_date
 from ..functions.text import normalise_light
 from ..operators import canonical, extract
@@ -53,7 +53,7 @@ def statement_lines(spark: SparkSession, d: str) -> DataFrame:
         F.ceil(F.count(F.lit(1)) / LINES_PER_PAGE).alias("n_pages")
     )
     return lines.join(pages, "account_id").select(
-        F.concat(F.lit("S"), "account_id", F.lit("-"), F.col("txn_id") % F.col("n_pages")).alias("doc_id"),
+        F.concat(F.lit("S"), "account_id", F.lit("-"), stable_hash("txn_id") % F.col("n_pages")).alias("doc_id"),
         "account_id", "txn_id", "txn_date", "amount", "txn_type", "narration",
     )
 

@@ -26,15 +26,16 @@ def gate(uploads: DataFrame, consents: DataFrame, lateness: str = LATENESS) -> D
     """Left outer stream-stream join; one row per upload and matching session, or one refusal."""
     sent = (
         uploads.withColumn("uploaded_at", F.col("uploaded_at").cast("timestamp"))
-        .withColumn("slot", slot_of(F.col("uploaded_at")))
+        .withColumn("slot", slot_of(F.col("uploaded_at"), CONSENT_MINUTES))
         .withWatermark("uploaded_at", lateness)
     )
+    first_slot = slot_of(F.col("created_at"), CONSENT_MINUTES)
     opened = (
         open_sessions(consents)
         .withColumn("created_at", F.col("created_at").cast("timestamp"))
         .select(
             F.col("borrower_id").alias("opener"), "created_at", "session_id", *FLAGS,
-            F.explode(F.array(slot_of(F.col("created_at")), slot_of(F.col("created_at")) + 1)).alias("open_slot"),
+            F.explode(F.array(first_slot, first_slot + 1)).alias("open_slot"),
         )
         .withWatermark("created_at", lateness)
     )
