@@ -165,11 +165,11 @@ def tx_argmax(spark, d):
 
 
 @query("tx_validate4", using("winners", sql="""
-SELECT doc_id, doc_type, CASE WHEN confidence<0.25e0 THEN 1 WHEN doc_type='BANK' AND n_rows=0 THEN 3 END AS fail_level,
+SELECT doc_id, doc_type, CASE WHEN confidence<0.25e0 THEN 1 WHEN doc_type='BANK' AND n_rows=0 THEN 3 ELSE 0 END AS fail_level,
   NOT (confidence<0.25e0 OR (doc_type='BANK' AND n_rows=0)) AS passed FROM winners"""))
 def tx_validate4(spark, d):
     v = E.validate_best(E.choose_best(_scores(spark, d)))
-    return v.select("doc_id", "best.doc_type", "fail_level", F.col("fail_reason").isNull().alias("passed"))
+    return v.select("doc_id", "best.doc_type", F.coalesce("fail_level", F.lit(0)).alias("fail_level"), F.col("fail_reason").isNull().alias("passed"))
 
 
 @query("expect_doc_type", using("winners", sql="""

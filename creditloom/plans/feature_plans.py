@@ -111,11 +111,12 @@ def utl_gap_consistency(spark, d):
 
 @query("win_gap", using("bills", sql="""
 SELECT account_id, strftime(payment_date,'%Y-%m-%d') AS payment_date, n_payments,
-  date_diff('day', lag(payment_date) OVER (PARTITION BY account_id ORDER BY payment_date), payment_date) AS gap_days
+  CAST(date_diff('day', lag(payment_date) OVER (PARTITION BY account_id ORDER BY payment_date), payment_date) AS DOUBLE) AS gap_days
 FROM (SELECT account_id, payment_date, count(*) AS n_payments FROM bills WHERE payment_date IS NOT NULL GROUP BY 1,2)"""))
 def win_gap(spark, d):
-    return U.payment_gaps(views.bills(spark, d)).withColumn(
-        "payment_date", F.date_format("payment_date", "yyyy-MM-dd")
+    return U.payment_gaps(views.bills(spark, d)).select(
+        "account_id", F.date_format("payment_date", "yyyy-MM-dd").alias("payment_date"), "n_payments",
+        F.col("gap_days").cast("double").alias("gap_days"),
     )
 
 

@@ -53,8 +53,10 @@ def ml_gbt(spark, d):
 
 @query("ml_cv")
 def ml_cv(spark, d):
-    mean, sd = L.cross_validated_auc(_tree_frame(spark, d), V.FEATURES, "default", "account_id")
-    return spark.createDataFrame([(L.FOLDS, round(mean, 6), round(sd, 6))], "folds int, mean_auc double, sd_auc double")
+    folds = L.cross_validated_auc(_tree_frame(spark, d), V.FEATURES, "default", "account_id")
+    mean = sum(auc for _, auc in folds) / len(folds)
+    rows = [(fold, round(auc, 6), round(mean, 6)) for fold, auc in folds]
+    return spark.createDataFrame(rows, "fold int, auc double, mean_auc double")
 
 
 @query("st_consent")
@@ -63,7 +65,9 @@ def st_consent(spark, d):
     events = views.with_k(CS.stream_table(spark, d, "events"))
     again = views.with_k(CS.stream_table(spark, d, "events"))
     matches = runner.drain(CS.gate(views.uploads_of(events), views.consents_of(again)), "consent")
-    return CS.latest_verdicts(matches).select("upload_id", "borrower_id", "doc_type", "session.session_id", "status", "reason")
+    return CS.latest_verdicts(matches).select(
+        "upload_id", "borrower_id", "doc_type", F.col("session.session_id").cast("string").alias("session_id"), "status", "reason"
+    )
 
 
 @query("st_score", using("scored", "ev", sql=f"""

@@ -249,10 +249,12 @@ SELECT *, CASE WHEN session_id IS NULL THEN 401 WHEN (doc_type='salary' AND NOT
 
 
 @query("jn_consent", using("verdicts", sql="""
-SELECT upload_id, borrower_id, doc_type, session_id, status, CASE status WHEN 401 THEN 'Invalid session' WHEN 403 THEN upper(doc_type[1])||doc_type[2:]||' consent required' END AS reason FROM verdicts"""))
+SELECT upload_id, borrower_id, doc_type, CAST(session_id AS VARCHAR) AS session_id, status, CASE status WHEN 401 THEN 'Invalid session' WHEN 403 THEN upper(doc_type[1])||doc_type[2:]||' consent required' END AS reason FROM verdicts"""))
 def jn_consent(spark, d):
     m = C.match_uploads(views.uploads(spark, d), views.consents(spark, d))
-    return m.select("upload_id", "borrower_id", "doc_type", "session.session_id", "status", "reason")
+    return m.select(
+        "upload_id", "borrower_id", "doc_type", F.col("session.session_id").cast("string").alias("session_id"), "status", "reason"
+    )
 
 
 # Routing and text sources.
