@@ -105,3 +105,25 @@ def test_scorecard_survives_saving(spark, tmp_path):
 
     files.save_scorecard(spark, fixed_card(), str(tmp_path / "card"))
     assert files.load_scorecard(spark, str(tmp_path / "card")) == fixed_card()
+
+
+def test_prompts_hold_the_whole_text(spark):
+    from creditloom.sources import documents as D
+
+    text = "x" * 20000
+    df = spark.createDataFrame([("salary_slip", text, "{broken", 612, 0.25)], "kind string, text string, raw string, score int, pd double")
+    r = df.select(
+        D.extraction_prompt("kind", "text").alias("ask"),
+        D.repair_prompt(F.lit("bad value"), F.col("raw"), "kind", "text").alias("fix"),
+        D.explanation_prompt(F.col("score"), F.lit("Medium Risk"), F.col("pd"), F.struct("pd"), F.struct("score")).alias("say"),
+    ).first()
+    assert r.ask.endswith(text) and "salary slip" in r.ask
+    assert "bad value" in r.fix and "{broken" in r.fix and r.fix.endswith(text)
+    assert "612" in r.say and "Medium Risk" in r.say
+
+
+def test_weak_features_are_reported(spark):
+    from creditloom.operators.binning import weak_features
+
+    df = spark.createDataFrame([("a", 0.01), ("a", 0.005), ("b", 0.5)], "feature string, iv double")
+    assert [r.feature for r in weak_features(df).collect()] == ["a"]
