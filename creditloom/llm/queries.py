@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from creditloom.sources.tables import table
 
 from .jaccard import JaccardJoin
+from .packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +20,18 @@ def query(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return plan
 
 
+def word_tokenizer() -> str:
+    """Place of the public word tokenizer's file, which lies at the same path on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return JaccardJoin(table(spark, folder, "documents"), width=3, num=90, den=100).result()
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), word_tokenizer())
