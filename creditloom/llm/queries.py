@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from creditloom.sources.tables import table
 
+from .common import fresh_folder
 from .jaccard import JaccardJoin
 from .packing import pack_documents
+from .slots import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +38,10 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), word_tokenizer())
+
+
+@query
+def op9_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    placed, at = shard_documents(table(spark, folder, "documents"), shards=24)
+    at.save(spark, fresh_folder(spark, "slot-map"))
+    return placed.withColumn("map_version", F.lit(at.version))
