@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditloom.sources.tables import table
 
+from . import pii
 from .common import fresh_folder
 from .jaccard import JaccardJoin
 from .packing import pack_documents
@@ -45,3 +46,8 @@ def op9_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     placed, at = shard_documents(table(spark, folder, "documents"), shards=24)
     at.save(spark, fresh_folder(spark, "slot-map"))
     return placed.withColumn("map_version", F.lit(at.version))
+
+
+@query
+def op10_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
