@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from creditloom.sources.tables import table
 
-from . import pii
-from .common import fresh_folder
+from . import langid, pii
+from .common import crc_mod, fresh_folder
 from .jaccard import JaccardJoin
 from .packing import pack_documents
 from .slots import shard_documents
@@ -51,3 +51,12 @@ def op9_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
+
+
+@query
+def op8_byte_network(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    net = langid.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.identify(net, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.label").alias("lang_pred"), F.col("found.score").alias("score"))
