@@ -11,6 +11,7 @@ from creditloom.sources.tables import table
 
 from . import langid, pii
 from .common import crc_mod, fresh_folder
+from .decontaminate import contaminated
 from .jaccard import JaccardJoin
 from .packing import pack_documents
 from .slots import shard_documents
@@ -60,3 +61,8 @@ def op8_byte_network(spark: SparkSession, folder: str) -> DataFrame:
     net = langid.fit(docs.where(~held_out))
     found = docs.select("doc_id", held_out.alias("held_out"), langid.identify(net, F.col("text")).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.label").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+@query
+def op5_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
