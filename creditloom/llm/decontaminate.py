@@ -23,6 +23,7 @@ Q = 8
 EDIT_SHARE = 0.1  # edits allowed, as a share of an item's characters
 ITEM_CHARS = 1_000_000  # characters of items in one pass; beyond that, one pass for each such part
 SLICE_CHARS = 1 << 19
+JOBS = 96  # alignments computed side by side
 BLANKS = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 FOUND = "array<struct<item:long,start:int,end:int,edits:int>>"
 
@@ -57,29 +58,59 @@ def grams(code, q: int = Q):
     return mix((total[q:] - total[:-q]) * down[: len(code) - q + 1])
 
 
-def aligned(item, text, low: int, high: int):
-    """Fewest edits that turn the item into a stretch of the text along diagonals low..high, and the stretch's end.
+def aligned(jobs: list[tuple]) -> list[tuple[int, int]]:
+    """For each (item, text, low, high): the fewest edits that turn the item into a stretch of the text along
+    diagonals low..high, and the stretch's end; of several ends the one nearest to the middle diagonal.
 
-    Of several ends with as few edits the one nearest to the item's length on the middle diagonal counts.
+    Jobs of similar lengths go through the band together, one row of all their tables at a time.
     """
-    width = high - low + 1
-    far = len(item) + 1
-    padded = np.full(len(item) + width + 1, 0xFFFFFFFF, np.uint32)
-    begin, end = max(0, low), min(len(text), low + len(padded))
-    padded[begin - low : end - low] = text[begin:end]
-    diagonal = np.arange(width)
-    j0 = low + diagonal
-    row = np.where((j0 >= 0) & (j0 <= len(text)), 0, far)
-    for i in range(1, len(item) + 1):
-        step = row + (padded[i - 1 : i - 1 + width] != item[i - 1])
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        inside = (j0 + i >= 0) & (j0 + i <= len(text))
-        step = np.where(inside, step, far + width)
-        row = np.minimum(np.minimum.accumulate(step - diagonal) + diagonal, far + width)
-    edits = int(row.min())
-    ends = np.flatnonzero(row == edits)
-    best = ends[np.abs(ends - width // 2).argmin()]
-    return edits, int(low + best + len(item))
+    out: list = [None] * len(jobs)
+    order = sorted(range(len(jobs)), key=lambda i: len(jobs[i][0]))
+    for c in range(0, len(order), JOBS):
+        chunk = order[c : c + JOBS]
+        size = np.array([len(jobs[i][0]) for i in chunk])
+        low = np.array([jobs[i][2] for i in chunk])[:, None]
+        width = np.array([jobs[i][3] - jobs[i][2] + 1 for i in chunk])[:, None]
+        chars = np.array([len(jobs[i][1]) for i in chunk])[:, None]
+        most, wide = int(size.max()), int(width.max())
+        item = np.full((len(chunk), most), 0xFFFFFFFE, np.uint32)
+        text = np.full((len(chunk), most + wide), 0xFFFFFFFF, np.uint32)
+        for r, i in enumerate(chunk):
+            pattern, code, a, _ = jobs[i]
+            item[r, : len(pattern)] = pattern
+            begin, end = max(0, a), max(0, min(len(code), a + most + wide))
+            if begin < end:
+                text[r, begin - a : end - a] = code[begin:end]
+        diagonal = np.arange(wide, dtype=np.int32)
+        place = (low + diagonal).astype(np.int64)
+        first, last = -place, np.where(diagonal < width, chars - place, -1)
+        far = np.int32(most + wide + 1)
+        row = np.where((first <= 0) & (last >= 0), np.int32(0), far)
+        for i in range(1, most + 1):
+            live = slice(int(np.searchsorted(size, i)), None)
+            old = row[live]
+            step = old + (text[live, i - 1 : i - 1 + wide] != item[live, i - 1 : i])
+            np.minimum(step[:, :-1], old[:, 1:] + 1, out=step[:, :-1])
+            step[(first[live] > i) | (last[live] < i)] = far
+            step -= diagonal
+            np.minimum.accumulate(step, axis=1, out=step)
+            step += diagonal
+            row[live] = np.minimum(step, far)
+        for r, i in enumerate(chunk):
+            edits = int(row[r].min())
+            ends = np.flatnonzero(row[r] == edits)
+            best = int(ends[np.abs(ends - int(width[r, 0]) // 2).argmin()])
+            out[i] = (edits, int(low[r, 0]) + best + int(size[r]))
+    return out
+
+
+def exact(item, text, begin: int, end: int) -> int:
+    """First place in text[begin:end] where the item stands unchanged, or -1."""
+    part, wanted = text[begin:end].tobytes(), item.tobytes()
+    at = part.find(wanted)
+    while at >= 0 and at % 4:
+        at = part.find(wanted, at + 1)
+    return begin + at // 4 if at >= 0 else -1
 
 
 @dataclass
@@ -142,30 +173,41 @@ class ItemIndex:
         item, low = item[good], band[good] * (self.budget[item[good]] + 1) - (1 << 31)
         return item, low, low + 2 * (self.budget[item] + 1) - 1
 
-    def search(self, code, at, n_chars: int) -> list[tuple[int, int, int, int]]:
-        """All occurrences in one text's normal form: item, start, end, edits, one for each stretch of the text.
+    def search(self, forms: list[tuple]) -> list[list[tuple[int, int, int, int]]]:
+        """All occurrences in each text's normal form: item, start, end, edits, one for each stretch of a text.
 
-        Neighbouring bands see the same occurrence, and of occurrences that overlap the closest counts.
+        Neighbouring bands see the same occurrence; of occurrences of an item that overlap, the closest counts.
         """
-        out: list[tuple[int, int, int, int]] = []
-        item, low, high = self.regions(code)
-        best: dict[int, list[tuple[int, int, int]]] = {}
-        for i, a, b in zip(item.tolist(), low.tolist(), high.tolist(), strict=True):
-            pattern = self.codes[i]
-            k = int(self.budget[i])
-            edits, end = aligned(pattern, code, a, b)
-            if edits > k:
-                continue
-            back, length = aligned(pattern[::-1], code[:end][::-1], -k, k)
-            start = end - length if back <= edits else max(0, end - len(pattern))
-            best.setdefault(i, []).append((edits, start, end))
-        for i, found in best.items():
-            taken: list[tuple[int, int]] = []
-            for edits, start, end in sorted(found):
-                if all(end <= s or start >= e for s, e in taken):
-                    taken.append((start, end))
-                    out.append((self.ids[i], int(at[start]), int(at[end - 1]) + 1 if end > start else int(at[start]), edits))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+        best: list[dict] = [{} for _ in forms]
+        jobs, owner = [], []
+        for f, (code, _) in enumerate(forms):
+            for i, a, b in zip(*(x.tolist() for x in self.regions(code)), strict=True):
+                known = best[f].setdefault(i, [])
+                if any(a <= start <= b for _, start, _ in known):
+                    continue  # an unchanged occurrence: whatever else this band holds overlaps it and is farther
+                pattern = self.codes[i]
+                same = exact(pattern, code, max(a, 0), b + len(pattern))
+                if same >= 0:
+                    known.append((0, same, same + len(pattern)))
+                else:
+                    jobs.append((pattern, code, a, b))
+                    owner.append((f, i))
+        good = [(f, i, job, e, end) for (f, i), job, (e, end) in zip(owner, jobs, aligned(jobs), strict=True) if e <= self.budget[i]]
+        back = aligned([(job[0][::-1], job[1][:end][::-1], -int(self.budget[i]), int(self.budget[i])) for _, i, job, _, end in good])
+        for (f, i, job, edits, end), (again, length) in zip(good, back, strict=True):
+            start = end - length if again <= edits else max(0, end - len(job[0]))
+            best[f][i].append((edits, start, end))
+        out = []
+        for (_, at), items in zip(forms, best, strict=True):
+            rows = []
+            for i, found in items.items():
+                taken: list[tuple[int, int]] = []
+                for edits, start, end in sorted(found):
+                    if start < end and all(end <= s or start >= e for s, e in taken):
+                        taken.append((start, end))
+                        rows.append((self.ids[i], int(at[start]), int(at[end - 1]) + 1, edits))
+            out.append(sorted(rows, key=lambda x: (x[1], x[0])))
+        return out
 
 
 def searched(index: ItemIndex, texts):
@@ -176,20 +218,21 @@ def searched(index: ItemIndex, texts):
     forms, size = [], 0
 
     def flush():
-        code = np.concatenate([np.append(c, np.uint32(0)) for c, _, _ in forms])
+        code = np.concatenate([np.append(c, np.uint32(0)) for c, _ in forms])
         item, low, high = index.regions(code)
-        ends = np.cumsum([len(c) + 1 for c, _, _ in forms])
+        ends = np.cumsum([len(c) + 1 for c, _ in forms])
         size = np.array([len(c) for c in index.codes], np.int64)
         first = np.searchsorted(ends, np.clip(low, 0, len(code) - 1), "right")
         last = np.searchsorted(ends, np.clip(high + size[item], 0, len(code) - 1), "right") if len(item) else first
         hit = {d for a, b in zip(first.tolist(), last.tolist(), strict=True) for d in range(a, b + 1)}
-        out.extend(index.search(*form) if i in hit else [] for i, form in enumerate(forms))
+        close = iter(index.search([form for i, form in enumerate(forms) if i in hit]))
+        out.extend(next(close) if i in hit else [] for i in range(len(forms)))
         forms.clear()
 
     for text in texts:
         text = text.as_py() or ""
         code, at = normal(text)
-        forms.append((code, at, len(text)))
+        forms.append((code, at))
         size += len(code)
         if size >= SLICE_CHARS:
             flush()
