@@ -15,6 +15,7 @@ from .decontaminate import contaminated
 from .jaccard import JaccardJoin
 from .packing import pack_documents
 from .slots import shard_documents
+from .vptree import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +67,24 @@ def op8_byte_network(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_vantage_point_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
+SQL["op2_vantage_point_trees"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, q.e AS x,
+    list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i])), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, x ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
