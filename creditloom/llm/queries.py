@@ -14,9 +14,11 @@ from .common import crc_mod, fresh_folder
 from .decontaminate import contaminated
 from .jaccard import JaccardJoin
 from .packing import pack_documents
+from .separators import count_tokens, write_token_files
 from .slots import shard_documents
 from .vptree import nearest
 
+END_OF_TEXT = 49407  # of word_bpe_49k.json
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -88,3 +90,10 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id, x ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op4_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    files = fresh_folder(spark, "tokens")
+    made = write_token_files(table(spark, folder, "documents"), word_tokenizer(), files, end=END_OF_TEXT)
+    return count_tokens(made, end=END_OF_TEXT)
