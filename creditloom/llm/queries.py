@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from creditloom.sources.tables import table
 
-from . import langid, pii
+from . import langid, pii, toxicity
 from .common import crc_mod, fresh_folder
 from .decontaminate import contaminated
 from .jaccard import JaccardJoin
@@ -97,3 +97,10 @@ def op4_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     files = fresh_folder(spark, "tokens")
     made = write_token_files(table(spark, folder, "documents"), word_tokenizer(), files, end=END_OF_TEXT)
     return count_tokens(made, end=END_OF_TEXT)
+
+
+@query
+def op7_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return docs.select("doc_id", toxicity.assess(model, F.col("text")).alias("found")).select("doc_id", "found.*")
