@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from creditloom.sources.tables import table
 
-from . import langid, pii, toxicity
+from . import langid, licenses, pii, toxicity
 from .common import crc_mod, fresh_folder
 from .decontaminate import contaminated
 from .jaccard import JaccardJoin
@@ -104,3 +104,9 @@ def op7_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
     return docs.select("doc_id", toxicity.assess(model, F.col("text")).alias("found")).select("doc_id", "found.*")
+
+
+@query
+def op1_licence_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
