@@ -12,7 +12,7 @@ on cheap spare segments.  Each pair is looked for by its larger set only.
 Buckets of equal signatures are read as one sorted stream and tied to their first set (a star, not
 all pairs), so that thousands of similar texts give thousands of candidates, not millions.  Every
 candidate is verified on the two whole sets.  Only bucket members that are not connected
-by verified links yet are then compared with each other, until no pair is left.
+by verified links yet are then compared with each other, block by block, inside the tasks.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ from .graph import components
 INDEX, PROBE = 1, 2
 NODE_SALT, CHECK_SALT = 0x51ED270B76A5A5A5, 0x2545F4914F6CDD1D
 BROADCAST_ROWS = 500_000  # node ids: about 20 MB as a hash relation
-STAR_ROUNDS = 6
-PAIRS_PER_ROW = 20
+BLOCK_ROWS, BLOCK_BYTES = 128, 8 << 20  # sets that meet in one group: two blocks of this size at most, about
 
 
 def schemes(num: int, den: int) -> dict[str, np.ndarray]:
@@ -264,6 +263,61 @@ def sets_of(width: int):
     return run
 
 
+def shared(left: list, right: list) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets of 64-bit numbers, a few thousand elements at a time."""
+    count = np.array([len(x) for x in (*left, *right)])
+    owner = np.repeat(np.arange(len(count)), count)
+    _, name, often = np.unique(np.concatenate((*left, *right)), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(often[name] > 1)
+    order = common[np.argsort(name[common], kind="stable")]
+    owner, name = owner[order], name[order]
+    name = np.cumsum(np.concatenate(([0], name[1:] != name[:-1]))) if len(name) else name
+    out = np.zeros((len(left), len(right)), np.float32)
+    step = 4096
+    for first in range(0, int(name[-1]) + 1 if len(name) else 0, step):
+        part = slice(*np.searchsorted(name, (first, first + step)))
+        has = np.zeros((len(count), step), np.float32)
+        has[owner[part], name[part] - first] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out.astype(np.int64)
+
+
+def crossed(num: int, den: int):
+    """Task function for two blocks: linked pairs that join components which no earlier pair of the group has joined."""
+    import pyarrow as pa
+
+    def run(table):
+        own, i, node, root = (table.column(c).to_numpy() for c in ("own", "i", "node", "root"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        order = np.lexsort((node, own))
+        alone = (own == own[0]).all() and table.column("j")[0].as_py() == i[0]
+        left = [k for k in order if own[k] == i[0]]
+        right = left if alone else [k for k in order if own[k] != i[0]]
+        pairs: list[tuple] = []
+        if left and right:
+            both = shared([sets[k] for k in left], [sets[k] for k in right])
+            size = lambda ks: np.array([len(sets[k]) for k in ks])
+            total = size(left)[:, None] + size(right)[None, :] - both
+            good = (den * both >= num * total) & (root[left][:, None] != root[right][None, :])
+            parent: dict = {}
+
+            def top(x):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for x, y in zip(*np.nonzero(good), strict=True):
+                a, b = left[x], right[y]
+                p, q = top(root[a]), top(root[b])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    pairs.append((node[a], node[b]))
+        a, b = ([p[k] for p in pairs] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def linked(num: int, den: int):
     """Task function: pairs a, b with whether den * intersection >= num * union of their sets."""
     import pyarrow as pa
@@ -319,32 +373,30 @@ class JaccardJoin:
         members = stars.select("sig", "node", "meta")
         pairs = self.possible(stars.selectExpr("pivot a", "pivot_meta a_meta", "node b", "meta b_meta"))
         done = written(self.verified(pairs, classes), "links")
-        for left in range(STAR_ROUNDS, -1, -1):
-            roots = written(components(done.where("linked"), "a", "b"), "roots")
-            members = members.join(roots, "node", "left").select("sig", "node", "meta", F.coalesce("root", "node").alias("root"))
-            members = written(members, "members")
-            held = members.groupBy("sig", "root").agg(F.count("*").alias("n"))
-            held = held.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("roots"))
-            held = written(held.where("roots > 1").select("sig", "n", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")), "open")
-            rows_left, pairs_left = held.agg(F.sum("n"), F.sum("pairs")).first()
-            if not rows_left:
-                return roots
-            members = members.join(held.select("sig"), "sig", "left_semi")
-            star = left > 0 and pairs_left > PAIRS_PER_ROW * rows_left
-            x = members.selectExpr("sig", "node b", "meta b_meta", "root b_root")
-            if star:
-                first = members.where(F.col("meta").bitwiseAND(INDEX) > 0).groupBy("sig")
-                first = first.agg(F.min(F.struct(F.shiftright("meta", 8), "node", "meta", "root")).alias("y"))
-                y = written(first.selectExpr("sig", "y.node a", "y.meta a_meta", "y.root a_root"), "pivots")
-            else:
-                y = members.selectExpr("sig", "node a", "meta a_meta", "root a_root")
-            pairs = self.possible(x.join(y, "sig").where("a_root <> b_root"))
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-            done = written(done.unionByName(self.verified(pairs, classes)), "links")
-            if not star:
-                return components(done.where("linked"), "a", "b")
-            members = members.join(y.select("sig", F.col("a").alias("node")), ["sig", "node"], "left_anti").select("sig", "node", "meta")
-        raise AssertionError("the last round compares all")
+        roots = components(done.where("linked"), "a", "b")
+        members = members.join(roots, "node", "left")
+        members = written(members.select("sig", "node", "meta", F.coalesce("root", "node").alias("root")), "members")
+        held = members.groupBy("sig").agg(F.min("node").alias("a"), F.min("root").alias("low"), F.max("root").alias("high"))
+        held = written(held.where("low <> high").select("sig", "a"), "open")
+        ties = members.join(held, "sig").select("a", F.col("node").alias("b"))
+        more = self.across(components(ties, "a", "b"), members.select("node", "root").distinct(), classes)
+        return components(done.where("linked").select("a", "b").unionByName(more), "a", "b")
+
+    def across(self, clusters: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links a, b between members of one cluster (sets tied by open buckets) that are in different components.
+
+        A cluster is dealt at random over blocks, bounded in members and in bytes, and every two blocks meet in one group
+        that counts all their intersections: a large cluster becomes many groups, and only links come out.
+        """
+        clusters = written(clusters.withColumnRenamed("root", "cluster").join(roots, "node"), "clusters")
+        sets = self.sets(clusters.select("node"), classes)
+        near = sets.join(clusters, "node").withColumn("bytes", F.octet_length("shingles").cast("long"))
+        size = clusters.join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node").groupBy("cluster")
+        size = size.agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        dealt = near.join(written(size, "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "shingles")
+        return written(dealt.groupBy("cluster", "i", "j").applyInArrow(crossed(self.num, self.den), "a long, b long"), "crossed")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs of an index entry a and a larger probe b whose sizes allow a link."""
@@ -354,18 +406,24 @@ class JaccardJoin:
         return pairs.where(roles & order & (a * self.den >= b * self.num)).select("a", "b").distinct()
 
     def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """a, b, linked of candidate pairs; the texts of their nodes are read again, those of no others."""
+        """a, b, linked of candidate pairs, by their whole sets."""
         pairs = written(pairs, "pairs")
-        nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-        n = nodes.count()
-        key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-        wanted = classes.join(if_small(nodes, n, BROADCAST_ROWS), "node", "left_semi")
-        wanted = wanted.select(F.coalesce("first_doc", F.lit(-(1 << 63))).alias("key")).distinct()
-        texts = self.docs.select(key.alias("key"), "text").join(if_small(wanted, n, BROADCAST_ROWS), "key", "left_semi")
-        sets = texts.select("text").mapInArrow(sets_of(self.width), "node long, shingles binary")
-        sets = sets.join(if_small(nodes, n, BROADCAST_ROWS), "node", "left_semi")
-        sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        sets = self.sets(ends.distinct(), classes)
         left = sets.withColumnsRenamed({"node": "a", "shingles": "x"})
         right = sets.withColumnsRenamed({"node": "b", "shingles": "y"})
         full = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
         return full.mapInArrow(linked(self.num, self.den), "a long, b long, linked boolean")
+
+    def sets(self, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+        """node and its sorted shingles as bytes; the texts of these nodes are read again, those of no others."""
+        nodes = written(nodes, "nodes")
+        n = nodes.count()
+        nothing = F.lit(-(1 << 63))
+        wanted = classes.join(if_small(nodes, n, BROADCAST_ROWS), "node", "left_semi")
+        wanted = wanted.select(F.coalesce("first_doc", nothing).alias("key")).distinct()
+        texts = self.docs.select(F.coalesce("doc_id", nothing).alias("key"), "text")
+        texts = texts.join(if_small(wanted, n, BROADCAST_ROWS), "key", "left_semi")
+        sets = texts.select("text").mapInArrow(sets_of(self.width), "node long, shingles binary")
+        sets = sets.join(if_small(nodes, n, BROADCAST_ROWS), "node", "left_semi")
+        return written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
