@@ -294,7 +294,7 @@ def crossed(num: int, den: int):
         left = [k for k in order if own[k] == i[0]]
         right = left if alone else [k for k in order if own[k] != i[0]]
         pairs: list[tuple] = []
-        if left and right:
+        if left and right and (root != root[0]).any():
             both = shared([sets[k] for k in left], [sets[k] for k in right])
             size = lambda ks: np.array([len(sets[k]) for k in ks])
             total = size(left)[:, None] + size(right)[None, :] - both
@@ -367,28 +367,27 @@ class JaccardJoin:
         spark = self.docs.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = self.docs.select("text").mapInArrow(signed(self.width, self.num, self.den), "sig long, node long, meta long")
-        rows = rows.repartition(4 * parts, "sig").sortWithinPartitions("sig", F.shiftright("meta", 8), "node")
+        rows = rows.repartition(parts, "sig").sortWithinPartitions("sig", F.shiftright("meta", 8), "node")
         stars = rows.mapInArrow(starred, "sig long, node long, meta long, pivot long, pivot_meta long")
         stars = written(stars.where("node <> pivot"), "stars")
-        members = stars.select("sig", "node", "meta")
         pairs = self.possible(stars.selectExpr("pivot a", "pivot_meta a_meta", "node b", "meta b_meta"))
-        done = written(self.verified(pairs, classes), "links")
-        roots = components(done.where("linked"), "a", "b")
-        members = members.join(roots, "node", "left")
-        members = written(members.select("sig", "node", "meta", F.coalesce("root", "node").alias("root")), "members")
-        held = members.groupBy("sig").agg(F.min("node").alias("a"), F.min("root").alias("low"), F.max("root").alias("high"))
+        done = written(self.verified(pairs, classes).where("linked").select("a", "b"), "links")
+        tied = stars.select("sig", "node", "pivot").join(done.selectExpr("a pivot", "b node", "a top"), ["pivot", "node"], "left")
+        members = written(tied.select("sig", "node", F.coalesce("top", "node").alias("top")), "members")
+        held = members.groupBy("sig").agg(F.min("node").alias("a"), F.min("top").alias("low"), F.max("top").alias("high"))
         held = written(held.where("low <> high").select("sig", "a"), "open")
         ties = members.join(held, "sig").select("a", F.col("node").alias("b"))
-        more = self.across(components(ties, "a", "b"), members.select("node", "root").distinct(), classes)
-        return components(done.where("linked").select("a", "b").unionByName(more), "a", "b")
+        more = self.across(components(ties, "a", "b"), done.groupBy("b").agg(F.min("a").alias("top")), classes)
+        return components(done.unionByName(more), "a", "b")
 
-    def across(self, clusters: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-        """Links a, b between members of one cluster (sets tied by open buckets) that are in different components.
+    def across(self, clusters: DataFrame, tops: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links a, b between members of one cluster (sets tied by open buckets) that are not linked to the same first set.
 
         A cluster is dealt at random over blocks, bounded in members and in bytes, and every two blocks meet in one group
         that counts all their intersections: a large cluster becomes many groups, and only links come out.
         """
-        clusters = written(clusters.withColumnRenamed("root", "cluster").join(roots, "node"), "clusters")
+        clusters = clusters.withColumnRenamed("root", "cluster").join(tops.withColumnRenamed("b", "node"), "node", "left")
+        clusters = written(clusters.select("node", "cluster", F.coalesce("top", "node").alias("root")), "clusters")
         sets = self.sets(clusters.select("node"), classes)
         near = sets.join(clusters, "node").withColumn("bytes", F.octet_length("shingles").cast("long"))
         size = clusters.join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node").groupBy("cluster")
