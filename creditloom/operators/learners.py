@@ -22,18 +22,32 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-# Settings of the boosted trees and the folds.
-TREE_DEPTH, STEP, ROUNDS, FOLDS, SEED = 4, 0.1, 100, 5, 42
+# Settings of the boosted trees and the folds; BINS is the number of cuts tried for a feature.
+TREE_DEPTH, STEP, ROUNDS, BINS, FOLDS, SEED = 4, 0.1, 100, 32, 5, 42
 WORD = r"(?U)\b\w\w+\b"
 
 
-def fit_text_risk(train: DataFrame, text: str = "text", label: str = "label") -> PipelineModel:
-    """Words -> counts -> counts x (idf + 1) -> unit length -> logistic regression (C = 1)."""
-    words = [
+def words_of(text: str) -> list:
+    """Stages that cut a text into words and drop stop words, to the column ``kept``."""
+    return [
         RegexTokenizer(inputCol=text, outputCol="words", pattern=WORD, gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="words", outputCol="kept"),
-        CountVectorizer(inputCol="kept", outputCol="counts"),
     ]
+
+
+def count_terms(df: DataFrame, text: str) -> int:
+    """Number of distinct terms, so that the vocabulary can hold every one."""
+    kept = PipelineModel(words_of(text)).transform(df.select(text))
+    return kept.select(F.explode("kept").alias("term")).distinct().count()
+
+
+def fit_text_risk(train: DataFrame, text: str = "text", label: str = "label") -> PipelineModel:
+    """Words -> counts -> counts x (idf + 1) -> unit length -> logistic regression (C = 1).
+
+    The vocabulary has all terms of the training texts, without a limit; it and its weights are held by the driver.
+    """
+    terms = max(1, count_terms(train, text))
+    words = [*words_of(text), CountVectorizer(inputCol="kept", outputCol="counts", vocabSize=terms)]
     counting = Pipeline(stages=words).fit(train)
     counted = counting.transform(train)
     idf = IDF(inputCol="counts", outputCol="idf").fit(counted)
@@ -61,7 +75,7 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def boosted(label: str, rounds: int = ROUNDS) -> GBTClassifier:
     return GBTClassifier(
-        labelCol=label, featuresCol="features", maxDepth=TREE_DEPTH, stepSize=STEP, maxIter=rounds, seed=SEED
+        labelCol=label, featuresCol="features", maxDepth=TREE_DEPTH, stepSize=STEP, maxIter=rounds, maxBins=BINS, seed=SEED
     )
 
 
@@ -75,7 +89,7 @@ def cross_validated_auc(df: DataFrame, features: Sequence[str], label: str, key:
     """(fold, AUC) of five folds fixed by a hash of the key; the folds are fitted side by side."""
     data = _assembled(df.withColumn("fold", F.pmod(F.xxhash64(F.col(key)), F.lit(FOLDS)).cast("int")), features)
     data = data.select("features", label, "fold")
-    judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)  # 0: exact
 
     def one(fold: int) -> tuple[int, float]:
         model = boosted(label).fit(data.where(F.col("fold") != fold))
