@@ -67,7 +67,7 @@ def quantile_bins(table: DataFrame, group: str, prob: str, probs=DECILES) -> Dat
     edges = O.quantiles(table, group, prob, probs).withColumn("edges", F.array_distinct("edges"))
     above = lambda e: e < F.col(prob)
     inner = F.size(F.filter("edges", above))
-    return table.join(edges, group).withColumn("bin", F.greatest(inner, F.lit(1)))
+    return table.join(F.broadcast(edges), group).withColumn("bin", F.greatest(inner, F.lit(1)))
 
 
 def bin_sums(table: DataFrame, group: str, prob: str) -> DataFrame:
