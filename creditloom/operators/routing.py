@@ -8,8 +8,6 @@ from ..functions import vocab as V
 from ..functions.text import strip
 
 
-PIECE_PAGES = 500
-
 
 def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
@@ -70,11 +68,7 @@ def route_pages(pages: DataFrame, doc: str, page: str) -> DataFrame:
 
 
 def joined_text(pages: DataFrame, doc: str, number: str, page: str) -> DataFrame:
-    """Pages of each document in order, joined by a blank line.
-
-    One row per ``PIECE_PAGES`` pages: an ordinary document is a single piece, a
-    very long one goes on in further pieces, so no row grows without bound.
-    """
+    """Pages of each document in order, joined by a blank line: one text per document, as long as the document is."""
     items = F.array_sort(F.collect_list(F.struct(number, page)))
     text = F.concat_ws("\n\n", F.transform(items, lambda x: x[page]))
-    return pages.groupBy(doc, F.floor(F.col(number) / PIECE_PAGES).alias("piece")).agg(text.alias("raw_text"))
+    return pages.groupBy(doc).agg(text.alias("raw_text"))
