@@ -113,6 +113,7 @@ def monthly_rollup(days: DataFrame) -> DataFrame:
             F.sum("n_salary").alias("n_salary"),
             F.sum("n_emi").alias("n_emi"),
             F.min(F.when(recent, F.col("low"))).alias("low_l3m"),
+            F.count_if(recent).alias("recent_days"),
         )
     )
 
@@ -120,7 +121,8 @@ def monthly_rollup(days: DataFrame) -> DataFrame:
 def bank_features(ledger: DataFrame) -> DataFrame:
     """The seven features of every account, from one shared day and month roll-up.
 
-    Borrowers without ledger rows get no feature row.
+    Borrowers without ledger rows get no feature row.  The lowest balance is 0 when no row falls in the last three
+    months, and NULL when rows do and none of them states a balance.
     """
     dated = F.col("month").isNotNull()
     paid_in = dated & (F.col("n_credit") > 0)
@@ -134,6 +136,7 @@ def bank_features(ledger: DataFrame) -> DataFrame:
         F.avg(F.when(dated, F.coalesce("flow", zero))).alias("flow_mean"),
         F.stddev_samp(F.when(dated, F.coalesce("flow", zero))).alias("flow_sd"),
         F.min("low_l3m").alias("low"),
+        F.sum("recent_days").alias("recent_days"),
         total("credit").alias("credit"),
         total("debit").alias("debit"),
         total("salary_credit").alias("salary_credit"),
@@ -147,7 +150,7 @@ def bank_features(ledger: DataFrame) -> DataFrame:
         .otherwise(rnd(F.try_divide(F.col("dated_credit"), F.col("credit_months")), 0) / MONEY)
         .alias("mean_monthly_credit"),
         F.when(few, 0.0).otherwise(rnd(F.col("flow_sd") / F.nullif("flow_mean", zero), 4)).alias("cashflow_cv"),
-        F.coalesce(rnd(F.col("low"), 2), F.lit(0.0)).alias("min_balance_l3m"),
+        F.when(F.col("recent_days") > 0, rnd(F.col("low"), 2)).otherwise(0.0).alias("min_balance_l3m"),
         rnd(ratio(F.col("credit"), F.col("debit"), 0.0), 4).alias("credit_debit_ratio"),
         (F.col("salary_months") >= 3).alias("salary_regularity_flag"),
         (F.col("n_emi") > 0).alias("emi_detection_flag"),

@@ -48,42 +48,35 @@ def variation(mean: Column, sd: Column) -> Column:
 def utility_features(bills: DataFrame) -> DataFrame:
     """Discipline and stability per account.
 
-    A part that exists but is undefined (one single bill has no spread) makes the
-    stability NULL; a part whose column is absent is left out of the mean.
+    A part whose column is absent from the frame is left out of the mean.  A part that
+    exists but is undefined (one single bill has no spread, no amount is known) makes the
+    stability NULL; an account without any payment date has the rhythm 0.5.
     """
+    given = set(bills.columns)
     for name in OPTIONAL:
         if name not in bills.columns:
             bills = bills.withColumn(name, F.lit(None).cast("double"))
     sums = bills.groupBy("account_id").agg(
         F.avg("on_time_payment").alias("on_time"),
         F.avg("delay_days").alias("delay"),
-        F.count("bill_amount").alias("n_amount"),
         F.avg("bill_amount").alias("amount_mean"),
         F.stddev_samp("bill_amount").alias("amount_sd"),
-        F.count("missed_payments").alias("n_missed"),
         F.avg("missed_payments").alias("missed"),
-        F.count("payment_date").alias("n_dated"),
     )
     both = sums.join(gap_consistency(bills), "account_id", "left")
     spread = 1 / (1 + variation(F.col("amount_mean"), F.col("amount_sd")))
-    part = lambda present, value: F.when(
-        present > 0, F.struct(value.cast("double").alias("value"))
-    )
-    parts = F.array_compact(
-        F.array(
-            part(F.col("n_amount"), spread),
-            part(F.col("n_missed"), 1 - F.col("missed")),
-            part(F.col("n_dated"), F.col("time_consistency")),
-        )
-    )
-    mean = F.try_divide(
-        F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["value"]), F.size(parts)
-    )
+    parts = {
+        "bill_amount": spread,
+        "missed_payments": 1 - F.col("missed"),
+        "payment_date": F.coalesce("time_consistency", F.lit(0.5)),
+    }
+    present = [value.cast("double") for name, value in parts.items() if name in given]
+    mean = sum(present[1:], present[0]) / len(present) if present else F.lit(0.5)
     clip = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
     return both.select(
         "account_id",
         F.coalesce(F.col("on_time"), clip(1 - F.col("delay") / 30), F.lit(0.5)).alias(
             "payment_discipline_flag"
         ),
-        F.when(F.size(parts) == 0, 0.5).otherwise(clip(mean)).alias("utility_stability"),
+        clip(mean).alias("utility_stability"),
     )

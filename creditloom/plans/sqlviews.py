@@ -93,7 +93,7 @@ SELECT o_custkey AS account_id, max(o_totalprice) AS gross_salary,
   {r('max(o_totalprice)*(1-3*(sum(disc)::BIGINT+sum(tax)::BIGINT)/(100*sum(n)::BIGINT))',2)} AS net_salary,
   CASE WHEN any_value(c_mktsegment) IN ('BUILDING','MACHINERY') THEN {r('max(o_totalprice)*0.12e0',2)} END AS pf,
   strftime(max(o_orderdate),'%d/%m/%Y') AS pay_period
-FROM orders JOIN customer ON c_custkey=o_custkey AND c_mktsegment<>'HOUSEHOLD'
+FROM orders JOIN customer ON c_custkey=o_custkey AND c_custkey%10<>0
 LEFT JOIN (SELECT l_orderkey, sum(CAST(round(l_discount*100) AS BIGINT)) AS disc,
       sum(CAST(round(l_tax*100) AS BIGINT)) AS tax, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey=o_orderkey
 GROUP BY o_custkey HAVING sum(n)>0""")
@@ -120,13 +120,13 @@ FROM (SELECT account_id, date_diff('day', lag(payment_date) OVER (PARTITION BY a
 
 view("utility", """
 SELECT account_id, CASE WHEN avg(delay_days) IS NULL THEN 0.5e0 ELSE greatest(0e0,least(1e0,1-avg(delay_days)/30)) END AS payment_discipline_flag,
-  CASE WHEN n_parts=0 THEN 0.5e0 ELSE greatest(0e0,least(1e0, total/n_parts)) END AS utility_stability
+  CASE WHEN total IS NOT NULL THEN greatest(0e0,least(1e0, total/3)) END AS utility_stability
 FROM (
-  SELECT account_id, avg(delay_days) AS delay_days, (max(time_consistency) IS NOT NULL)::INT+2 AS n_parts,
+  SELECT account_id, avg(delay_days) AS delay_days,
     1/(1+CASE WHEN avg(bill_amount)=0 THEN 0e0 ELSE stddev_samp(bill_amount)/avg(bill_amount) END) + 1-avg(missed_payments)
-      + CASE WHEN count(payment_date)>0 THEN max(time_consistency) ELSE 0e0 END AS total
+      + coalesce(max(time_consistency), 0.5e0) AS total
   FROM bills LEFT JOIN gap_stats USING(account_id) GROUP BY account_id)
-GROUP BY account_id, n_parts, total""", "bills", "gap_stats")
+GROUP BY account_id, total""", "bills", "gap_stats")
 
 view("statement_lines", """
 SELECT 'S' || account_id || '-' || page AS doc_id, * EXCLUDE (page, n_pages), row_number() OVER (PARTITION BY account_id, page ORDER BY txn_date, txn_id)-1 AS pos

@@ -48,7 +48,7 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slips(spark: SparkSession, d: str) -> DataFrame:
-    """One salary slip per customer; HOUSEHOLD customers draw no salary."""
+    """One salary slip per customer; customers whose key is a multiple of 10 draw no salary."""
     per_order = (
         table(spark, d, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -76,7 +76,7 @@ def slips(spark: SparkSession, d: str) -> DataFrame:
     )
     cut = 3 * (F.col("disc") + F.col("tax")) / (100 * F.col("n"))
     return (
-        per_customer.join(segment.where(F.col("c_mktsegment") != "HOUSEHOLD"), "account_id")
+        per_customer.join(segment.where(F.col("account_id") % 10 != 0), "account_id")
         .where(F.col("n") > 0)
         .select(
             "account_id",
