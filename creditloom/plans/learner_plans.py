@@ -13,6 +13,7 @@ from ..sources import applicants as P, views
 from ..sources.tables import table
 from ..streaming import consent_stream as CS, runner, scoring_stream as SS
 from .registry import query
+from .rule_plans import CONSENT_SQL
 from .sqlscore import CARD
 from .sqlviews import r, using
 
@@ -59,22 +60,27 @@ def ml_cv(spark, d):
     return spark.createDataFrame(rows, "fold int, auc double, mean_auc double")
 
 
-@query("st_consent")
-def st_consent(spark, d):
-    """The consent gate over event streams, read back from its sink."""
+def _stream_verdicts(spark, d):
+    """The consent gate over event streams, read back from its sink, with a verdict for every upload."""
     events = views.with_k(CS.stream_table(spark, d, "events"))
     again = views.with_k(CS.stream_table(spark, d, "events"))
     matches = runner.drain(CS.gate(views.uploads_of(events), views.consents_of(again)), "consent")
-    return CS.latest_verdicts(matches).select(
+    return CS.completed(matches, views.uploads(spark, d), views.consents(spark, d))
+
+
+@query("st_consent", CONSENT_SQL)
+def st_consent(spark, d):
+    return _stream_verdicts(spark, d).select(
         "upload_id", "borrower_id", "doc_type", F.col("session.session_id").cast("string").alias("session_id"), "status", "reason"
     )
 
 
-@query("st_score", using("scored", "ev", sql=f"""
-SELECT event_id AS upload_id, account_id, {r('pd',6)} AS pd, risk_score, risk_tier FROM ev JOIN scored ON account_id=user_id WHERE event_type IN ('purchase','click','view')"""))
+@query("st_score", using("scored", "ev", "verdicts", sql=f"""
+SELECT event_id AS upload_id, account_id, {r('pd',6)} AS pd, risk_score, risk_tier FROM ev JOIN scored ON account_id=user_id JOIN (SELECT upload_id FROM verdicts WHERE status=200) ON upload_id=event_id"""))
 def st_score(spark, d):
-    """Uploads scored as they arrive against the borrowers' feature table."""
+    """Uploads that the consent gate has accepted, scored as they arrive against the borrowers' feature table."""
+    accepted = cut_lineage(_stream_verdicts(spark, d).where(F.col("status") == 200).select("upload_id"))
     features = cut_lineage(P.features(spark, d))
     uploads = views.uploads_of(views.with_k(CS.stream_table(spark, d, "events")))
-    out = runner.drain(SS.score_stream(uploads, features, CARD), "scores")
+    out = runner.drain(SS.score_stream(uploads.join(accepted, "upload_id"), features, CARD), "scores")
     return out.select("upload_id", "account_id", rnd(F.col("pd"), 6).alias("pd"), "risk_score", "risk_tier")

@@ -248,8 +248,11 @@ view("verdicts", """
 SELECT *, CASE WHEN session_id IS NULL THEN 401 WHEN (doc_type='salary' AND NOT salary) OR (doc_type='utility' AND NOT utility) THEN 403 ELSE 200 END AS status FROM matched""", "matched")
 
 
-@query("jn_consent", using("verdicts", sql="""
-SELECT upload_id, borrower_id, doc_type, CAST(session_id AS VARCHAR) AS session_id, status, CASE status WHEN 401 THEN 'Invalid session' WHEN 403 THEN upper(doc_type[1])||doc_type[2:]||' consent required' END AS reason FROM verdicts"""))
+CONSENT_SQL = using("verdicts", sql="""
+SELECT upload_id, borrower_id, doc_type, CAST(session_id AS VARCHAR) AS session_id, status, CASE status WHEN 401 THEN 'Invalid session' WHEN 403 THEN upper(doc_type[1])||doc_type[2:]||' consent required' END AS reason FROM verdicts""")
+
+
+@query("jn_consent", CONSENT_SQL)
 def jn_consent(spark, d):
     m = C.match_uploads(views.uploads(spark, d), views.consents(spark, d))
     return m.select(

@@ -17,6 +17,7 @@ from . import views
 from .tables import spread, table
 
 LINES_PER_PAGE = 200
+SALTS = 16
 STATEMENT_HEAD = "Statement of Account - Branch NEFT UPI"
 
 
@@ -47,21 +48,26 @@ def prose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def statement_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Ledger rows with the statement page they are printed on."""
-    lines = views.ledger_lines(spark, d)
-    pages = lines.groupBy("account_id").agg(
-        F.ceil(F.count(F.lit(1)) / LINES_PER_PAGE).alias("n_pages")
-    )
-    return lines.join(pages, "account_id").select(
+    """Ledger rows with the statement page they are printed on.
+
+    The number of pages is counted in two steps and joined by account and salt, so that the
+    rows of one busy account are spread over SALTS tasks.
+    """
+    salt = (stable_hash("txn_id") % SALTS).alias("salt")
+    lines = views.ledger_lines(spark, d).select("*", salt)
+    parts = lines.groupBy("account_id", "salt").agg(F.count(F.lit(1)).alias("n"))
+    pages = parts.groupBy("account_id").agg(F.ceil(F.sum("n") / LINES_PER_PAGE).alias("n_pages"))
+    pages = pages.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    return lines.join(pages, ["account_id", "salt"]).select(
         F.concat(F.lit("S"), "account_id", F.lit("-"), stable_hash("txn_id") % F.col("n_pages")).alias("doc_id"),
         "account_id", "txn_id", "txn_date", "amount", "txn_type", "narration",
     )
 
 
 def _pages(lines: DataFrame, entry: Column) -> DataFrame:
-    """Entries of each page in (date, id) order."""
+    """Entries of each page in (date, id) order, grouped by the page alone: pages of one account go to different tasks."""
     item = F.struct("txn_date", "txn_id", entry.alias("entry"))
-    return lines.groupBy("account_id", "doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return lines.groupBy("doc_id").agg(F.max("account_id").alias("account_id"), F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def statements(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.vocab import CONSENT_MINUTES
-from ..operators.consent import FLAGS, open_sessions, slot_of, with_verdict
+from ..operators.consent import FLAGS, match_uploads, open_sessions, slot_of, with_verdict
 
 LATENESS = "10 minutes"
 
@@ -61,3 +61,9 @@ def latest_verdicts(matches: DataFrame) -> DataFrame:
     )
     rows = best.select("upload_id", F.coalesce("m", "any").alias("m")).select("upload_id", "m.*")
     return with_verdict(rows)
+
+
+def completed(matches: DataFrame, uploads: DataFrame, consents: DataFrame) -> DataFrame:
+    """Verdicts of a drained stream: those of its sink, and the batch gate's for uploads still behind the watermark."""
+    waiting = uploads.join(matches.select("upload_id").distinct(), "upload_id", "left_anti")
+    return latest_verdicts(matches).unionByName(match_uploads(waiting, consents))
