@@ -25,7 +25,10 @@ view("c_bill", """
 SELECT doc_id, coalesce(nullif(value,0), nullif(k::DOUBLE,0)) AS bill, strftime(CAST(ts AS DATE)+15,'%d/%m/%Y') AS due, nullif(k::DOUBLE,0) AS units,
   CASE WHEN event_type='purchase' THEN 'paid' ELSE 'overdue' END AS status FROM bill_docs""", "bill_docs")
 view("c_prose", f"""
-SELECT doc_id, string_split(text, chr(10))[1] AS words, {S.find_date('text')} AS date FROM document_docs""", "document_docs")
+SELECT doc_id, list(line ORDER BY i) FILTER (WHERE line<>'') AS words, list(date ORDER BY i) FILTER (WHERE date IS NOT NULL) AS dates,
+  count(DISTINCT string_split(date,'/')[2]||'/'||string_split(date,'/')[3]) FILTER (WHERE len(string_split(date,'/'))=3) AS months
+FROM (SELECT *, {S.find_date('line')} AS date FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)),1) AS i FROM document_docs))
+GROUP BY doc_id""", "document_docs")
 
 
 def _money(arr):
@@ -38,7 +41,7 @@ SELECT doc_id, coalesce(array_to_string(list_transform(credits, lambda x: printf
  array_to_string(list_transform(balances, lambda x: printf('%.2f',x)),',') AS balances, array_to_string(dates,',') AS dates, array_to_string(words,',') AS words,
  floor(coalesce(c_credit,0)*1e6+0.5)/1e6 AS credit_confidence FROM c_bank
 UNION ALL SELECT doc_id,'','','','','',0e0 FROM c_slip UNION ALL SELECT doc_id,'','','','','',0e0 FROM c_bill
-UNION ALL SELECT doc_id,'','','',coalesce(date,''),words,0e0 FROM c_prose WHERE words<>'' OR date IS NOT NULL"""))
+UNION ALL SELECT doc_id,'','','',coalesce(array_to_string(dates,','),''),coalesce(array_to_string(words,','),''),0e0 FROM c_prose WHERE words IS NOT NULL OR dates IS NOT NULL"""))
 def cm_collect(spark, d):
     c = C.canonical(D.entities(spark, d).where(F.col("raw_value") != ""))
     return c.select(
@@ -54,7 +57,7 @@ SELECT doc_id, credits, debits, balances, dates, months, NULL::DOUBLE AS gross,
   NULL::DOUBLE AS bill, NULL AS due, NULL::DOUBLE AS units, NULL AS status FROM c_bank
 UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 0, gross, net, pf, pay_period, employer, NULL, NULL, NULL, NULL FROM c_slip
 UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL, bill, due, units, status FROM c_bill
-UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE WHEN date IS NOT NULL THEN [date] END, CASE WHEN date LIKE '%/%/%' THEN 1 ELSE 0 END,
+UNION ALL SELECT doc_id, NULL, NULL, NULL, dates, months,
   NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM c_prose""", "c_bank", "c_slip", "c_bill", "c_prose")
 
 

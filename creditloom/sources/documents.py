@@ -298,12 +298,13 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
         ("units_consumed", None, F.col("units_consumed"), 1),
         ("consumer_number", F.col("consumer_number"), None, 1),
     )
-    first_line = F.split("text", "\n", 2)[0]
-    prose_rows = canonical.entity_rows(
-        prose(spark, d),
-        ("transaction_description", first_line, None, 0),
-        ("transaction_date", find_date("text"), None, 1),
+    lines = F.posexplode(F.split("text", "\n")).alias("pos", "line")
+    item = lambda name, raw: F.struct(
+        F.lit(name).alias("entity"), raw.alias("raw_value"), F.lit(None).cast("double").alias("numeric_value"),
+        (1.0 / (1 + F.col("pos"))).alias("confidence"), F.col("pos").alias("pos"),
     )
+    both = F.array(item("transaction_description", F.col("line")), item("transaction_date", find_date("line")))
+    prose_rows = prose(spark, d).select("doc_id", lines).select("doc_id", F.inline(both)).where("raw_value IS NOT NULL")
     out = canonical.statement_entities(statements(spark, d).select("doc_id", "text"))
     for rows in (slip_rows, bill_rows, prose_rows):
         out = out.unionByName(rows)
