@@ -242,9 +242,10 @@ def evaluate(docs: DataFrame) -> DataFrame:
         SALARY_NEEDS, slip,
         {"pf_contribution": F.coalesce(F.col("pf_contribution") > 0, F.lit(False)), "employer_name": employer},
     )
+    earned = lambda name: F.when(slip[name] & (F.col(name) > 0), 0.45).otherwise(0.0)
     s_conf = F.least(
         F.lit(1.0),
-        F.when(slip["gross_salary"], 0.45).otherwise(0.0) + F.when(slip["net_salary"], 0.45).otherwise(0.0)
+        earned("gross_salary") + earned("net_salary")
         + F.when(slip["pay_period"], 0.05).otherwise(0.0) + F.when(employer, 0.05).otherwise(0.0),
     )
     bill = {
