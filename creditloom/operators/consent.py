@@ -28,10 +28,6 @@ def open_sessions(consents: DataFrame) -> DataFrame:
     return consents.where(F.col("consent_bank") & F.col("consent_dpdpa"))
 
 
-def refused_consents(consents: DataFrame) -> DataFrame:
-    return consents.where(~(F.col("consent_bank") & F.col("consent_dpdpa"))).withColumn("status", F.lit(403))
-
-
 def match_uploads(uploads: DataFrame, consents: DataFrame) -> DataFrame:
     """Every upload with its session (or NULL), status and reason."""
     session = F.struct("session_id", "created_at", *FLAGS)

@@ -58,13 +58,6 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Small text files as one row each (whole files up to executor memory)."""
-    return spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
-    )
-
-
 def save_scorecard(spark: SparkSession, card: Scorecard, folder: str) -> None:
     """Bins, coefficients, intercept and missing WoE as parquet tables."""
     card.bins_table(spark).write.parquet(f"{folder}/bins")
