@@ -12,7 +12,9 @@ on cheap spare segments.  Each pair is looked for by its larger set only.
 Buckets of equal signatures are read as one sorted stream and tied to their first set (a star, not
 all pairs), so that thousands of similar texts give thousands of candidates, not millions.  Every
 candidate is verified on the two whole sets.  Only bucket members that are not connected
-by verified links yet are then compared with each other, block by block, inside the tasks.
+by verified links yet are then screened against each other by a lower bound of their difference (the counts of
+their elements in fixed segments), and the groups of those that may be linked are compared, block by block, inside
+the tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch
@@ -28,9 +30,10 @@ from .common import if_small, written
 from .graph import components
 
 INDEX, PROBE = 1, 2
+BINS, BIN_SALT, BUCKET_ROWS = 128, 0x3C6EF372FE94F82B, 512
 NODE_SALT, CHECK_SALT = 0x51ED270B76A5A5A5, 0x2545F4914F6CDD1D
 BROADCAST_ROWS = 500_000  # node ids: about 20 MB as a hash relation
-BLOCK_ROWS, BLOCK_BYTES = 128, 8 << 20  # sets that meet in one group: two blocks of this size at most, about
+BLOCK_ROWS, BLOCK_BYTES = 256, 24 << 20  # sets that meet in one group: two blocks of this size at most, about
 
 
 def schemes(num: int, den: int) -> dict[str, np.ndarray]:
@@ -52,8 +55,17 @@ def identity(value, owner, n: int):
     return (textbatch.sums(textbatch.mix(value ^ s), owner, n) for s in (one, two))
 
 
+def bins_of(value, owner, n: int) -> np.ndarray:
+    """Elements of each set in BINS fixed segments of the universe, 255 at most.
+
+    Two sets differ in no fewer elements than their bins differ in sum, which screens candidates without their sets.
+    """
+    place = (textbatch.mix(value ^ np.uint64(BIN_SALT)) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(owner * BINS + place, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
 def facts_of(width: int):
-    """Task function: doc_id, n_shingles, node and check of each document; node is NULL for the empty set."""
+    """Task function: doc_id, n_shingles, node, check and bins of each document; node is NULL for the empty set."""
     import pyarrow as pa
 
     def run(batches):
@@ -62,6 +74,7 @@ def facts_of(width: int):
                 value, owner = textbatch.shingle_sets(*textbatch.flat(part.column(1)), width)
                 count = np.bincount(owner, minlength=part.num_rows)
                 node, check = identity(value, owner, part.num_rows)
+                bins = bins_of(value, owner, part.num_rows)
                 empty = count == 0
                 yield pa.record_batch(
                     [
@@ -69,8 +82,9 @@ def facts_of(width: int):
                         pa.array(count, pa.int64()),
                         pa.array(node.view(np.int64), pa.int64(), mask=empty),
                         pa.array(check.view(np.int64), pa.int64(), mask=empty),
+                        pa.array([b.tobytes() for b in bins], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "mark"],
+                    names=["doc_id", "n_shingles", "node", "mark", "bins"],
                 )
 
     return run
@@ -168,8 +182,14 @@ def signatures(value, first, count, bands: dict):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def signed(width: int, num: int, den: int):
-    """Task function: sig, node and meta (size and flags) of all entries; copies within the task once."""
+ENTRY = np.dtype([("sig", "<u8"), ("flags", "u1")])
+
+
+def signed(width: int, num: int, den: int, keys: np.ndarray):
+    """Task function: all entries of each set, packed by the part they go to: key, node, size, entries.
+
+    A signature's part follows from its own bits; ``keys`` names the parts.  Copies within the task count once.
+    """
     import pyarrow as pa
 
     bands = schemes(num, den) | {"num": num, "den": den}
@@ -185,20 +205,52 @@ def signed(width: int, num: int, den: int):
                 rows = np.flatnonzero(count > 0)
                 rows = rows[fresh_rows(node[rows], seen)]
                 sig, doc, flags = signatures(value, first[rows], count[rows], bands)
-                for i in range(0, len(sig), 200_000):
-                    d = rows[doc[i : i + 200_000]]
-                    yield pa.record_batch(
-                        [
-                            pa.array(sig[i : i + 200_000].view(np.int64)),
-                            pa.array(node[d].view(np.int64)),
-                            pa.array((count[d] << 8) | flags[i : i + 200_000], pa.int64()),
-                        ],
-                        names=["sig", "node", "meta"],
-                    )
+                part_no = (((sig >> np.uint64(32)) * np.uint64(len(keys))) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(doc * len(keys) + part_no, kind="stable")
+                doc, part_no = doc[order], part_no[order]
+                entries = np.empty(len(order), ENTRY)
+                entries["sig"], entries["flags"] = sig[order], flags[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (part_no[1:] != part_no[:-1])
+                first = np.flatnonzero(new)
+                places = (np.append(first, len(order)) * ENTRY.itemsize).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(entries)])
+                d = rows[doc[first]]
+                columns = [pa.array(keys[part_no[first]]), pa.array(node[d].view(np.int64)), pa.array(count[d], pa.int64()), packed]
+                yield pa.record_batch(columns, names=["key", "node", "size", "entries"])
 
     return run
 
 
+def unpacked(batches):
+    """Task function: sig, node and meta (size and flags) of each packed entry."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            column = part.column(3)
+            _, places, data = column.buffers()
+            places = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1]
+            entries = np.frombuffer(data, np.uint8)[places[0] : places[-1]].view(ENTRY)
+            many = np.diff(places) // ENTRY.itemsize
+            node, size = (np.repeat(np.asarray(part.column(i)), many) for i in (1, 2))
+            columns = [pa.array(entries["sig"].view(np.int64)), pa.array(node), pa.array((size << 8) | entries["flags"])]
+            yield pa.record_batch(columns, names=["sig", "node", "meta"])
+
+
+def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """One key for each of ``parts`` partitions, so that hashing the keys deals them out evenly."""
+    found: dict[int, int] = {}
+    step = 64 * parts
+    for start in range(0, 64 * step, step):
+        rows = spark.range(start, start + step).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("key"))
+        for r in rows.collect():
+            found.setdefault(r.part, r.key)
+        if len(found) == parts:
+            break
+    return np.array([found.get(p, p) for p in range(parts)], np.int64)
+
+
 def starred(batches):
     """Task function over rows sorted by sig, size and node: each row after its bucket's first index entry, with that entry.
 
@@ -318,6 +370,93 @@ def crossed(num: int, den: int):
     return run
 
 
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    left, out = np.ones(len(near), bool), []
+    for start in range(len(near)):
+        if not left[start]:
+            continue
+        left[start] = False
+        queue = [start]
+        while queue:
+            x = queue.pop()
+            found = np.flatnonzero(near[x] & left)
+            left[found] = False
+            out += [(x, int(y)) for y in found]
+            queue += found.tolist()
+    return out
+
+
+def may_link(bins: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs whose sizes and bins allow a link."""
+    wide = bins.astype(np.int16)
+    least = np.empty((len(size), len(size)), np.int64)
+    for i in range(0, len(size), 32):
+        least[i : i + 32] = np.abs(wide[i : i + 32, None] - wide[None]).sum(2, dtype=np.int64)
+    small, big = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
+    return (least * (den + num) <= (size[:, None] + size) * (den - num)) & (small * den >= big * num)
+
+
+def alike(num: int, den: int):
+    """Task function over rows sorted by bucket and pair of blocks: ties a, b that connect the members which may be linked.
+
+    Only pairs that are not linked to the same first set count.  Only the current pair of blocks is held.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        rest = None
+        for batch in _and_last(batches):
+            table = pa.Table.from_batches([batch]) if batch is not None else None
+            if rest is not None:
+                table = pa.concat_tables([rest, table]) if table is not None else rest
+            if table is None or not table.num_rows:
+                continue
+            sig, i, j, node, size, top = (np.asarray(table.column(c).combine_chunks()) for c in ("sig", "i", "j", "node", "size", "top"))
+            new = np.flatnonzero((sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges = np.concatenate(([0], new, [len(sig)]))
+            if batch is not None:  # the last group may go on
+                rest, edges = table.slice(edges[-2]).combine_chunks(), edges[:-1]
+            packed = table.column("bins").combine_chunks()
+            _, places, data = packed.buffers()
+            places = np.frombuffer(places, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+            bins = np.frombuffer(data, np.uint8)[places[0] : places[-1]].reshape(-1, BINS)
+            a, b = [], []
+            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if end - begin < 2 or (top[begin:end] == top[begin]).all():
+                    continue
+                near = may_link(bins[begin:end], size[begin:end], num, den)
+                near &= top[begin:end, None] != top[None, begin:end]
+                for x, y in forest(near):
+                    a.append(node[begin + x])
+                    b.append(node[begin + y])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def screened(num: int, den: int):
+    """Task function: the pairs whose sizes and bins allow a link."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            bins = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (4, 5)]
+            least = np.abs(bins[0] - bins[1]).sum(1, dtype=np.int64)
+            keep = pa.array(least * (den + num) <= size * (den - num))
+            yield pa.record_batch([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _and_last(batches):
+    yield from batches
+    yield None
+
+
 def linked(num: int, den: int):
     """Task function: pairs a, b with whether den * intersection >= num * union of their sets."""
     import pyarrow as pa
@@ -348,10 +487,10 @@ class JaccardJoin:
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest doc_id reachable) of every row."""
-        facts = self.docs.mapInArrow(facts_of(self.width), "doc_id long, n_shingles long, node long, mark long")
+        facts = self.docs.mapInArrow(facts_of(self.width), "doc_id long, n_shingles long, node long, mark long, bins binary")
         facts = written(facts, "facts")
         classes = facts.where("node IS NOT NULL").groupBy("node")
-        classes = written(classes.agg(F.min("doc_id").alias("first_doc"), F.min("mark").alias("low"), F.max("mark").alias("high")), "classes")
+        classes = written(classes.agg(F.min("doc_id").alias("first_doc"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.first("n_shingles").alias("size"), F.first("bins").alias("bins")), "classes")
         if not classes.where("low <> high").isEmpty():
             raise RuntimeError("two different sets share a 64-bit name: change NODE_SALT")
         roots = self.roots(classes)
@@ -366,17 +505,24 @@ class JaccardJoin:
         """node, root of every class that is linked with another one."""
         spark = self.docs.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self.docs.select("text").mapInArrow(signed(self.width, self.num, self.den), "sig long, node long, meta long")
-        rows = rows.repartition(parts, "sig").sortWithinPartitions("sig", F.shiftright("meta", 8), "node")
+        task = signed(self.width, self.num, self.den, even_keys(spark, parts))
+        rows = self.docs.select("text").mapInArrow(task, "key long, node long, size long, entries binary").repartition(parts, "key")
+        rows = rows.mapInArrow(unpacked, "sig long, node long, meta long")
+        rows = rows.sortWithinPartitions("sig", F.shiftright("meta", 8), "node")
         stars = rows.mapInArrow(starred, "sig long, node long, meta long, pivot long, pivot_meta long")
         stars = written(stars.where("node <> pivot"), "stars")
         pairs = self.possible(stars.selectExpr("pivot a", "pivot_meta a_meta", "node b", "meta b_meta"))
         done = written(self.verified(pairs, classes).where("linked").select("a", "b"), "links")
-        tied = stars.select("sig", "node", "pivot").join(done.selectExpr("a pivot", "b node", "a top"), ["pivot", "node"], "left")
-        members = written(tied.select("sig", "node", F.coalesce("top", "node").alias("top")), "members")
-        held = members.groupBy("sig").agg(F.min("node").alias("a"), F.min("top").alias("low"), F.max("top").alias("high"))
-        held = written(held.where("low <> high").select("sig", "a"), "open")
-        ties = members.join(held, "sig").select("a", F.col("node").alias("b"))
+        tied = stars.select("sig", "node", "meta", "pivot").join(done.selectExpr("a pivot", "b node", "a top"), ["pivot", "node"], "left")
+        members = written(tied.select("sig", "node", "meta", F.coalesce("top", "node").alias("top")), "members")
+        held = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("top").alias("low"), F.max("top").alias("high"))
+        held = written(held.where("low <> high").select("sig", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks")), "open")
+        rows = members.join(held, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(classes.select("node", "bins"), "node")
+        block = (F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        rows = rows.select("sig", *block, "own", "node", F.shiftright("meta", 8).alias("size"), "top", "bins")
+        rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "node")
+        ties = written(rows.mapInArrow(alike(self.num, self.den), "a long, b long"), "ties")
         more = self.across(components(ties, "a", "b"), done.groupBy("b").agg(F.min("a").alias("top")), classes)
         return components(done.unionByName(more), "a", "b")
 
@@ -405,8 +551,11 @@ class JaccardJoin:
         return pairs.where(roles & order & (a * self.den >= b * self.num)).select("a", "b").distinct()
 
     def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """a, b, linked of candidate pairs, by their whole sets."""
-        pairs = written(pairs, "pairs")
+        """a, b, linked of candidate pairs, by their whole sets; pairs whose bins rule a link out are left away."""
+        one = written(pairs, "pairs").join(classes.selectExpr("node a", "size a_size", "bins a_bins"), "a")
+        both = one.join(classes.selectExpr("node b", "size b_size", "bins b_bins"), "b")
+        both = both.select("a", "b", "a_size", "b_size", "a_bins", "b_bins")
+        pairs = written(both.mapInArrow(screened(self.num, self.den), "a long, b long"), "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         sets = self.sets(ends.distinct(), classes)
         left = sets.withColumnsRenamed({"node": "a", "shingles": "x"})
