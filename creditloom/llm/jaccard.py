@@ -32,6 +32,7 @@ from .graph import components
 INDEX, PROBE = 1, 2
 BINS, BIN_SALT, BUCKET_ROWS = 128, 0x3C6EF372FE94F82B, 512
 NODE_SALT, CHECK_SALT = 0x51ED270B76A5A5A5, 0x2545F4914F6CDD1D
+FINE_BINS, REFINE_BYTES = 2048, 128 << 20  # clusters that would ship more bytes of sets are first split by finer bins
 BROADCAST_ROWS = 500_000  # node ids: about 20 MB as a hash relation
 BLOCK_ROWS, BLOCK_BYTES = 256, 24 << 20  # sets that meet in one group: two blocks of this size at most, about
 
@@ -55,13 +56,13 @@ def identity(value, owner, n: int):
     return (textbatch.sums(textbatch.mix(value ^ s), owner, n) for s in (one, two))
 
 
-def bins_of(value, owner, n: int) -> np.ndarray:
-    """Elements of each set in BINS fixed segments of the universe, 255 at most.
+def bins_of(value, owner, n: int, width: int = BINS) -> np.ndarray:
+    """Elements of each set in ``width`` (a power of two) fixed segments of the universe, 255 at most.
 
     Two sets differ in no fewer elements than their bins differ in sum, which screens candidates without their sets.
     """
-    place = (textbatch.mix(value ^ np.uint64(BIN_SALT)) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(owner * BINS + place, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+    place = (textbatch.mix(value ^ np.uint64(BIN_SALT)) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(owner * width + place, minlength=n * width), 255).astype(np.uint8).reshape(n, width)
 
 
 def facts_of(width: int):
@@ -391,13 +392,14 @@ def may_link(bins: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarr
     """Pairs whose sizes and bins allow a link."""
     wide = bins.astype(np.int16)
     least = np.empty((len(size), len(size)), np.int64)
-    for i in range(0, len(size), 32):
-        least[i : i + 32] = np.abs(wide[i : i + 32, None] - wide[None]).sum(2, dtype=np.int64)
+    step = max(1, (1 << 22) // max(1, wide.size))  # about 8 MB of differences at a time
+    for i in range(0, len(size), step):
+        least[i : i + step] = np.abs(wide[i : i + step, None] - wide[None]).sum(2, dtype=np.int64)
     small, big = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
     return (least * (den + num) <= (size[:, None] + size) * (den - num)) & (small * den >= big * num)
 
 
-def alike(num: int, den: int):
+def alike(num: int, den: int, width: int):
     """Task function over rows sorted by bucket and pair of blocks: ties a, b that connect the members which may be linked.
 
     Only pairs that are not linked to the same first set count.  Only the current pair of blocks is held.
@@ -420,7 +422,7 @@ def alike(num: int, den: int):
             packed = table.column("bins").combine_chunks()
             _, places, data = packed.buffers()
             places = np.frombuffer(places, np.int32)[packed.offset : packed.offset + len(packed) + 1]
-            bins = np.frombuffer(data, np.uint8)[places[0] : places[-1]].reshape(-1, BINS)
+            bins = np.frombuffer(data, np.uint8)[places[0] : places[-1]].reshape(-1, width)
             a, b = [], []
             for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if end - begin < 2 or (top[begin:end] == top[begin]).all():
@@ -457,6 +459,19 @@ def _and_last(batches):
     yield None
 
 
+def fine_bins(batches):
+    """Task function: node, size and FINE_BINS bins of each set; enough to tell long texts apart."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+            size = np.array([len(x) for x in sets], np.int64)
+            bins = bins_of(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets), FINE_BINS)
+            columns = [part.column(0), pa.array(size), pa.array([b.tobytes() for b in bins], pa.binary())]
+            yield pa.record_batch(columns, names=["node", "size", "bins"])
+
+
 def linked(num: int, den: int):
     """Task function: pairs a, b with whether den * intersection >= num * union of their sets."""
     import pyarrow as pa
@@ -517,12 +532,8 @@ class JaccardJoin:
         members = written(tied.select("sig", "node", "meta", F.coalesce("top", "node").alias("top")), "members")
         held = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("top").alias("low"), F.max("top").alias("high"))
         held = written(held.where("low <> high").select("sig", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks")), "open")
-        rows = members.join(held, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(classes.select("node", "bins"), "node")
-        block = (F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        rows = rows.select("sig", *block, "own", "node", F.shiftright("meta", 8).alias("size"), "top", "bins")
-        rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "node")
-        ties = written(rows.mapInArrow(alike(self.num, self.den), "a long, b long"), "ties")
+        rows = members.join(held.select("sig"), "sig", "left_semi").join(classes.select("node", "bins"), "node").select("sig", "node", F.shiftright("meta", 8).alias("size"), "top", "bins")
+        ties = self.ties(rows, held, BINS)
         more = self.across(components(ties, "a", "b"), done.groupBy("b").agg(F.min("a").alias("top")), classes)
         return components(done.unionByName(more), "a", "b")
 
@@ -535,14 +546,35 @@ class JaccardJoin:
         clusters = clusters.withColumnRenamed("root", "cluster").join(tops.withColumnRenamed("b", "node"), "node", "left")
         clusters = written(clusters.select("node", "cluster", F.coalesce("top", "node").alias("root")), "clusters")
         sets = self.sets(clusters.select("node"), classes)
-        near = sets.join(clusters, "node").withColumn("bytes", F.octet_length("shingles").cast("long"))
-        size = clusters.join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node").groupBy("cluster")
-        size = size.agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-        dealt = near.join(written(size, "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        blocks = self.blocks(clusters, sets)
+        if (blocks.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0) > REFINE_BYTES:
+            rows = sets.mapInArrow(fine_bins, "node long, size long, bins binary").join(clusters, "node")
+            rows = rows.select(F.col("cluster").alias("sig"), "node", "size", F.col("root").alias("top"), "bins")
+            held = clusters.groupBy(F.col("cluster").alias("sig")).agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("blocks"))
+            finer = components(self.ties(rows, written(held, "open"), FINE_BINS), "a", "b").withColumnRenamed("root", "cluster")
+            clusters = written(finer.join(clusters.select("node", "root"), "node").select("node", "cluster", "root"), "clusters")
+            blocks = self.blocks(clusters, sets)
+        near = sets.join(clusters, "node")
+        dealt = near.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "shingles")
         return written(dealt.groupBy("cluster", "i", "j").applyInArrow(crossed(self.num, self.den), "a long, b long"), "crossed")
 
+    def blocks(self, clusters: DataFrame, sets: DataFrame) -> DataFrame:
+        """Bytes and number of blocks of each cluster."""
+        size = clusters.join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node").groupBy("cluster")
+        count = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+        return written(size.agg(F.sum("bytes").alias("bytes"), count.alias("blocks")), "blocks")
+
+    def ties(self, rows: DataFrame, held: DataFrame, width: int) -> DataFrame:
+        """Ties a, b of rows (sig, node, size, top, bins) whose sig is held; large groups meet in pairs of blocks."""
+        rows = rows.join(held.select("sig", "blocks"), "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        block = (F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        rows = rows.select("sig", *block, "own", "node", "size", "top", "bins")
+        rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "node")
+        return written(rows.mapInArrow(alike(self.num, self.den, width), "a long, b long"), "ties")
+
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs of an index entry a and a larger probe b whose sizes allow a link."""
         a, b = F.shiftright("a_meta", 8), F.shiftright("b_meta", 8)
