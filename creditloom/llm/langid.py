@@ -123,7 +123,7 @@ def guess(net: ByteNetwork, texts):
     data, offsets = flat(texts)
     n = len(offsets) - 1
     votes = np.zeros((n, len(net.labels)))
-    step = max(1, (1 << 22) // max(1, len(data) // max(n, 1)))  # texts of about 4 MB at a time
+    step = max(1, (1 << 20) // max(1, len(data) // max(n, 1)))  # texts of about 1 MB at a time
     for i in range(0, n, step):
         part = offsets[i : min(i + step, n) + 1]
         first = part[0]
