@@ -79,15 +79,16 @@ class OrdinalModel:
         return cls(known[kept], w[kept], cuts)
 
 
-def severity(row_words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Training grades: 0 for texts that are not toxic, else by the number of distinct telling words."""
-    rows = np.repeat(np.arange(len(row_words)), [len(w) for w in row_words])
-    words, name = np.unique(np.concatenate(row_words) if row_words else np.zeros(0, np.uint64), return_inverse=True)
-    bad = np.bincount(name, weights=toxic[rows], minlength=len(words))
-    good = np.bincount(name, weights=1 - toxic[rows], minlength=len(words))
+def severity(row: np.ndarray, name: np.ndarray, n_names: int, toxic: np.ndarray) -> np.ndarray:
+    """Training grades: 0 for texts that are not toxic, else by the number of distinct telling words.
+
+    (row, name) are the distinct words of each text, words as numbers below ``n_names``.
+    """
+    bad = np.bincount(name, weights=toxic[row], minlength=n_names)
+    good = np.bincount(name, minlength=n_names) - bad
     ratio = ((bad + 0.5) / (toxic.sum() + 1)) / ((good + 0.5) / ((1 - toxic).sum() + 1))
     telling = (bad >= TELLING_ROWS) & (ratio >= TELLING_RATIO)
-    n = np.bincount(rows, weights=telling[name], minlength=len(row_words))
+    n = np.bincount(row, weights=telling[name], minlength=len(toxic))
     return np.where(toxic == 0, 0, np.where(n <= MILD, 1, np.where(n <= STRONG, 2, 3))).astype(np.int64)
 
 
@@ -138,11 +139,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
         return None
     rows.sort(key=lambda r: (r.toxic, bytes(r.words)))
     toxic = np.array([r.toxic for r in rows])
-    words = [np.frombuffer(bytes(r.words), np.uint64) for r in rows]
-    counts = np.concatenate([np.frombuffer(bytes(r.counts), np.float32) for r in rows])
-    grade = severity(words, toxic)
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    known, name, often = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    size = np.array([len(r.words) // 8 for r in rows])
+    counts = np.concatenate([np.frombuffer(r.counts, np.float32) for r in rows])
+    words = np.concatenate([np.frombuffer(r.words, np.uint64) for r in rows])
+    del rows
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    known, name, often = np.unique(words, return_inverse=True, return_counts=True)
+    name = name.astype(np.int32)
+    del words
+    grade = severity(row, name, len(known), toxic)
     common = often >= TELLING_ROWS
     place = np.cumsum(common) - 1
     used = common[name]

@@ -63,7 +63,7 @@ def test_ordinal_gradient_recovers_order():
     grade = np.clip(count - (rng.random(n) < 0.1), 0, 3)
     row = np.flatnonzero(count > 0)
     model = toxicity.OrdinalModel.fit(row, np.zeros(len(row), np.int64), np.log1p(count[row].astype(float)), grade, np.ones(n), np.array([7], np.uint64))
-    mean = [float(model.chances(np.array([np.log1p(c) * model.weights.sum()])) @ np.arange(4)) for c in range(6)]
+    mean = [float((model.chances(np.array([np.log1p(c) * model.weights.sum()])) @ np.arange(4))[0]) for c in range(6)]
     assert mean == sorted(mean) and mean[0] < 0.6 and mean[-1] > 2.5
 
 
