@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features, textbatch
+from .common import drawn
 
 UNKNOWN = "unknown"
 #: Notices and opening sentences of public licences.
@@ -219,7 +220,7 @@ def train(corpus: list[str], seed: int = 11) -> LicenceModel:
 def fit(docs: DataFrame, text: str = "text") -> LicenceModel:
     """A model whose unknown class has seen a bounded sample of the corpus' paragraphs, chosen by a hash of the text."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    rows = rows.withColumn("place", F.xxhash64("text")).orderBy("place").limit(CORPUS_PARAGRAPHS // 3)
+    rows = drawn(rows.withColumn("place", F.xxhash64("text")), CORPUS_PARAGRAPHS // 3)
     parts = rows.select("place", F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda p: F.substring(p, 1, 600)).alias("parts"))
     corpus = [p for r in sorted(parts.collect(), key=lambda r: (r.place, r.parts)) for p in r.parts if p.strip()]
     return train(corpus[:CORPUS_PARAGRAPHS])

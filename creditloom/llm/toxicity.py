@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features, textbatch
+from .common import drawn
 
 #: The bounded training sample: labelled rows of each class at most, chosen by a hash.
 SAMPLE_ROWS = 4000
@@ -131,9 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
     totals = {int(r.toxic): r["count"] for r in clean.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return None
-    drawn = [clean.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id")).limit(SAMPLE_ROWS) for t in (0, 1)]
-    drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * SAMPLE_ROWS short rows
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(drawn, "doc_id").select("toxic", "text")
+    placed = clean.withColumn("place", F.xxhash64("doc_id"))
+    some = [drawn(placed.where(F.col("toxic") == t), SAMPLE_ROWS).select("doc_id", "toxic") for t in (0, 1)]
+    some = F.broadcast(some[0].unionByName(some[1]))  # 2 * SAMPLE_ROWS short rows
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(some, "doc_id").select("toxic", "text")
     rows = texts.mapInArrow(word_counts, "toxic double, words binary, counts binary").limit(4 * SAMPLE_ROWS).collect()
     if len({r.toxic for r in rows}) < 2:
         return None
