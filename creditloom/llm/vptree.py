@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHARD_ROWS, BLOCK_QUERIES, GROUPS, LEAF = 1024, 256, 4, 48
+SHARD_ROWS, BLOCK_QUERIES, GROUPS, LEAF = 1024, 256, 4, 256
 MARGIN = 1e-9  # relative: products are screened by matrix products, then summed exactly
 TREE = "dim int, shard int, ids binary, vectors binary, nodes binary"
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from creditloom.llm import vptree
 from creditloom.llm.queries import QUERIES
 from creditloom.llm.vptree import Search, Tree, nearest
 
@@ -28,7 +29,8 @@ def test_exact_at_factor_one(spark):
 
 
 @pytest.mark.parametrize("factor", [1.0, 1.5, 3.0])
-def test_factor_trades_visits_for_recall(factor):
+def test_factor_trades_visits_for_recall(factor, monkeypatch):
+    monkeypatch.setattr(vptree, "LEAF", 48)
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(3000, 3)) * rng.uniform(0.2, 2, (3000, 1))
     tree = Tree.build(np.arange(3000), vectors)
