@@ -6,6 +6,7 @@ are running totals of the lengths of matches and of the gaps that splitting leav
 
 The patterns here find what the plain ones beside them find.  They start only where a run of characters starts
 (or where the match before ended) and never give characters back, so that long runs take linear time.
+A bank account may be followed by more capitals or digits, so each end of a word in its run is a candidate.
 """
 
 from __future__ import annotations
@@ -67,6 +68,17 @@ class Kind:
     base: bool = True
 
 
+#: Characters of a bank account number by country.
+ACCOUNT_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A whole account number without blanks: of its country's size, or of 15 to 34 characters where the country is not listed.
+ACCOUNT = "^(?:{}|(?!{})[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})$".format(
+    "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, c in ACCOUNT_SIZES.items()), "|".join(ACCOUNT_SIZES.values()).replace(" ", "|")
+)
 #: Kinds in the order in which spans with one start are listed.  Their plain patterns:
 #: email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 #: ip     [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -77,7 +89,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, ("ip", "host", "server", "address", "login"), ("version", "release")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){11,}+", r"[0-9](?:[\x20-]?[0-9]){11}", 0.7, ("card", "visa", "credit", "debit", "payment"), ("order", "invoice", "tracking")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"+", 0.7, ("phone", "tel", "call", "mobile", "fax"), ("score",)),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", 0.8, ("iban", "account", "bank", "transfer"), (), False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", 0.8, ("iban", "account", "bank", "transfer"), (), False),
 )
 
 
@@ -86,14 +98,51 @@ def confirmed(kind: str, found: Column) -> Column:
         return F.lit(True)
     if kind == "ip":
         return in_range(found)
-    if kind == "iban":
-        return mod97(F.regexp_replace(found, " ", ""))
     n = F.length(digits(found))
     if kind == "phone":
         return n.between(9, 15)
     return F.when(n.between(12, 19), luhn(digits(found))).otherwise(False)
 
 
+def hinted(text: Column, kind: Kind) -> Column:
+    return F.contains(text, F.lit(kind.hint)) if len(kind.hint) == 1 else text.rlike(kind.hint)
+
+
+def account_size(run: Column) -> Column:
+    """Characters, blanks included, of the longest account number that a run starts with and that ends with a word; 0 if none."""
+
+    def step(acc: Column, word: Column) -> Column:
+        number = F.concat(acc["number"], word)
+        good = F.when(number.rlike(ACCOUNT), mod97(number)).otherwise(False)
+        size = F.when(good, F.char_length(number) + acc["blanks"]).otherwise(acc["size"])
+        return F.struct(number.alias("number"), (acc["blanks"] + 1).alias("blanks"), size.alias("size"))
+
+    start = F.struct(F.lit("").alias("number"), F.lit(0).alias("blanks"), F.lit(0).alias("size"))
+    return F.aggregate(F.split(run, " "), start, step, lambda acc: acc["size"])
+
+
+def accounts(text: Column, kind: Kind) -> Column:
+    """Bank accounts with their positions; each start is looked at by itself, and none starts inside the one before.
+
+    The pattern takes the first four characters and looks ahead at the run, up to the character after it.
+    """
+    runs = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))
+    gaps = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(runs))
+    steps = F.zip_with(gaps, runs, lambda g, r: F.struct(F.char_length(g).alias("gap"), r.alias("run"), account_size(r).alias("size")))
+    none = F.array().cast(SPAN)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
+        span = F.struct(start.alias("start"), end.alias("end"), F.substring(x["run"], F.lit(1), x["size"]).alias("found"))
+        fits = (x["size"] > 0) & (start >= acc["done"])
+        spans = F.when(fits, F.array_append(acc["spans"], span).cast(SPAN)).otherwise(acc["spans"])
+        return F.struct(spans.alias("spans"), (start + 4).alias("at"), F.when(fits, end).otherwise(acc["done"]).alias("done"))
+
+    first = F.struct(none.alias("spans"), F.lit(0).alias("at"), F.lit(0).alias("done"))
+    return F.when(hinted(text, kind), F.aggregate(steps, first, step, lambda acc: acc["spans"])).otherwise(none)
+
+
 def proposed(text: Column, kind: Kind) -> Column:
     """All matches of a kind's pattern with their positions."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -108,8 +157,7 @@ def proposed(text: Column, kind: Kind) -> Column:
         return F.struct(F.array_append(acc["spans"], span).cast(SPAN).alias("spans"), end.alias("at"))
 
     all_spans = F.aggregate(steps, F.struct(none.alias("spans"), F.lit(0).alias("at")), step, lambda acc: acc["spans"])
-    hinted = F.contains(text, F.lit(kind.hint)) if len(kind.hint) == 1 else text.rlike(kind.hint)
-    return F.when(hinted, all_spans).otherwise(none)
+    return F.when(hinted(text, kind), all_spans).otherwise(none)
 
 
 def score_of(text: Column, kind: Kind, span: Column) -> Column:
@@ -136,6 +184,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     text = F.col("pii_text")
 
     def valid(k: Kind) -> Column:
+        if k.name == "iban":
+            return accounts(text, k)
         return F.filter(proposed(text, k), lambda s: confirmed(k.name, s["found"]))
 
     found = found.withColumns({n: valid(k) for n, k in zip(names, KINDS, strict=True)})

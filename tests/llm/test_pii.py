@@ -73,6 +73,24 @@ def test_accounts_and_context(spark):
     assert rows[4].spans == "phone:5:22" and float(rows[4].scores) == 0.85
 
 
+def test_accounts_before_other_words(spark):
+    german, british = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    texts = {
+        1: f"IBAN {german} Thanks", 2: f"IBAN {spaced} BIC COBADEFF", 3: "pay GB82WEST12345698765432 2 times", 4: f"{german} {british} X",
+        5: f"é {german} 12 34 {german}", 6: f"{german}Thanks", 7: f"x{german}", 8: "DE89370400440532013001 Thanks", 9: f"AB12 CD34 EF56 {german} OK",
+        10: "XX90 0000 0000 0000 000 BIC", 11: f"{british}7 a", 12: "NO9386011117947 A" + "B" * 40, 13: "AB12CD34 " * 20_000 + german + " Q1",
+    }
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    found = {k: [texts[k][int(a) : int(b)] for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "iban"] for k, r in rows.items()}
+    assert [found[k] for k in (1, 2, 3)] == [[german], [spaced], ["GB82WEST12345698765432"]]
+    assert found[4] == [german, british] and found[5] == [german, german] and found[9] == found[13] == [german]
+    assert found[6] == found[7] == found[8] == found[11] == [] and found[12] == ["NO9386011117947"]
+    assert found[10] == ["XX90 0000 0000 0000 000"]  # of no listed country
+    masked = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert masked[1] == "IBAN [IBAN] Thanks" and masked[2] == "IBAN [IBAN] BIC COBADEFF" and masked[4] == "[IBAN] [IBAN] X"
+
+
 def test_masks(spark):
     texts = {1: "a@b.co, 1.2.3.4!", 2: "1.2.3.4@x.yy end", 3: None, 4: "nothing"}
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
