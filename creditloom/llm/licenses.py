@@ -4,7 +4,8 @@ The classifier is trained on the templates below, varied at random (words lost,
 paragraphs of the corpus and against paragraphs that only use licence words.  A temperature fitted on
 held-out variants calibrates its probabilities, and the acceptance threshold is the one that held-out unknown
 paragraphs stay below.  A predicted family counts as confirmed when enough of some template's word pairs stand
-in the paragraph.
+in the paragraph.  Notices that are wrapped over several lines are proposed by the word pairs of the templates, looked
+for across the line feeds between two lines with words, and classified in the same way.
 """
 
 from __future__ import annotations
@@ -85,19 +86,22 @@ class LicenceModel:
     pairs: list[tuple[int, np.ndarray]]  # family, sorted word-pair hashes of a template
 
 
-def windows(data: np.ndarray, offsets: np.ndarray):
-    """Windows of all paragraphs (lines) of all texts: word hashes, window of each, and document and paragraph of each window.
+def placed(data: np.ndarray, offsets: np.ndarray):
+    """Hash, document and line of every word; lines are counted from 0 in each document."""
+    word, doc, starts, _ = features.tokens(data, offsets)
+    breaks = np.flatnonzero(data == 10)
+    return word, doc, np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[doc])
+
+
+def windows(word: np.ndarray, doc: np.ndarray, line: np.ndarray):
+    """Windows of all lines of all texts: word hashes, window of each, and document and line of each window.
 
     A paragraph of up to WINDOW words is one window; longer ones give one every STRIDE words, so a notice inside a
     long paragraph fills most of a window.
     """
-    word, doc, starts, _ = features.tokens(data, offsets)
     if not len(word):
         none = np.zeros(0, np.int64)
         return word, none, none, none
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, starts)  # counted over the whole slice
-    line_of_doc = line - np.searchsorted(breaks, offsets[doc])
     new = np.ones(len(word), bool)
     new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
@@ -109,7 +113,47 @@ def windows(data: np.ndarray, offsets: np.ndarray):
     length = np.minimum(begin[para] + size[para] - start, WINDOW)
     owner = np.repeat(np.arange(len(para)), length)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length) + start[owner]
-    return word[at], owner, doc[begin[para]], line_of_doc[begin[para]]
+    return word[at], owner, doc[begin[para]], line[begin[para]]
+
+
+def wrapped(pairs: list[np.ndarray], word: np.ndarray, doc: np.ndarray, line: np.ndarray) -> list[tuple[int, int]]:
+    """First and last word of the places that may hold a wrapped notice, from its first to its last word pair.
+
+    A place has CONFIRMED_AT of a template's pairs at least within WINDOW words, lies in successive lines that all have
+    words, and touches two of them.  Of starts in reach of each other the one with most pairs counts.
+    """
+    if len(word) < 2:
+        return []
+    new = (doc[1:] != doc[:-1]) | (line[1:] > line[:-1] + 1)
+    block = np.concatenate(([0], np.cumsum(new)))
+    found = features.ngrams(word, block, 2)[0][len(word) :]
+    place = np.flatnonzero(~new)
+    names = np.unique(np.concatenate(pairs))
+    known, name = features.Lookup(names).find(found)
+    place = place[known]
+    out = []
+    for own in pairs:
+        need = max(1, int(np.ceil(CONFIRMED_AT * len(own))))
+        mine = np.flatnonzero(np.isin(name, np.searchsorted(names, own)))
+        at, which = place[mine], name[mine]
+        if len(at) < need:
+            continue
+        first, last = at[: len(at) - need + 1], at[need - 1 :]
+        best = (0, 0, 0)
+        for i in np.flatnonzero((last - first <= WINDOW - 2) & (block[first] == block[last])).tolist():
+            stop = int(np.searchsorted(at, at[i] + WINDOW - 1))
+            stop = min(stop, int(np.searchsorted(block[at], block[at[i]], "right")))
+            count, end = len(set(which[i:stop].tolist())), int(at[stop - 1]) + 1
+            if count < need or line[at[i]] == line[end]:
+                continue
+            if best[0] and at[i] > best[2]:
+                out.append(best[1:])
+                best = (0, 0, 0)
+            if count >= best[0]:
+                best = (count, int(at[i]), end)
+        if best[0]:
+            out.append(best[1:])
+    return sorted(set(out))
 
 
 def scores(model: LicenceModel, lookup: features.Lookup, word: np.ndarray, owner: np.ndarray, n: int):
@@ -129,6 +173,22 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
     return np.unique(hashed[len(words) :] if len(words) > 1 else hashed)
 
 
+def wrapped_notices(model: LicenceModel, lookup: features.Lookup, word: np.ndarray, doc: np.ndarray, line: np.ndarray):
+    """document, first and last line, (similarity, probability, family) of each wrapped notice; of those that overlap, the most similar."""
+    places = wrapped([pairs for _, pairs in model.pairs], word, doc, line)
+    if not places:
+        return []
+    own = [word[a : b + 1] for a, b in places]
+    p = scores(model, lookup, np.concatenate(own), np.repeat(np.arange(len(own)), [len(w) for w in own]), len(own))
+    best = p[:, :-1].argmax(1)
+    rows = [(similarity(model, int(f), w), float(c[f]), model.families[f], *at) for f, c, w, at in zip(best, p, own, places, strict=True) if c[f] >= model.threshold]
+    kept: list[tuple] = []
+    for row in sorted(rows, reverse=True):
+        if row[0] >= CONFIRMED_AT and all(row[4] < a or row[3] > b for *_, a, b in kept):
+            kept.append(row)
+    return sorted((int(doc[a]), int(line[a]), int(line[b]), (close, chance, family)) for close, chance, family, a, b in kept)
+
+
 def similarity(model: LicenceModel, family: int, words: np.ndarray) -> float:
     """Largest share of a template's word pairs that the window has, over the family's templates."""
     own = pair_hashes(words)
@@ -243,7 +303,8 @@ def found_in(model: LicenceModel, texts):
     while start < n:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + textbatch.SLICE_BYTES, "right")) - 1)
         part = offsets[start : stop + 1] - offsets[start]
-        word, owner, doc, para = windows(data[offsets[start] : offsets[stop]], part)
+        words, doc_of, line_of = placed(data[offsets[start] : offsets[stop]], part)
+        word, owner, doc, para = windows(words, doc_of, line_of)
         p = scores(ranked, lookup, word, owner, len(doc))
         best = p[:, :-1].argmax(1) if len(doc) else np.zeros(0, np.int64)
         hit = np.flatnonzero(p[np.arange(len(doc)), best] >= model.threshold)
@@ -254,7 +315,16 @@ def found_in(model: LicenceModel, texts):
             row = (close, float(p[i, best[i]]), model.families[best[i]])
             key = (int(doc[i]), int(para[i]))
             seen[key] = max(seen.get(key, row), row)
-        for (d, paragraph), (close, chance, family) in sorted(seen.items()):
+        rows = {(*key, row[2]): row for key, row in seen.items()}
+        for d, first, last, row in wrapped_notices(ranked, lookup, words, doc_of, line_of):
+            inside = [(d, k, f) for k in range(first, last + 1) for f in model.families if (d, k, f) in rows]
+            if any(f == row[2] and rows[d, k, f][0] >= row[0] for d, k, f in inside):
+                continue  # one line holds it as well
+            for key in inside:
+                if rows[key][0] < row[0]:  # a part of this notice
+                    del rows[key]
+            rows[d, first, row[2]] = row
+        for (d, paragraph, _), (close, chance, family) in sorted(rows.items()):
             out[start + d].append({"paragraph": paragraph, "family": family, "probability": chance, "similarity": close, "confirmed": close >= CONFIRMED_AT})
         start = stop
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
@@ -264,7 +334,9 @@ def found_in(model: LicenceModel, texts):
 def licences(model: LicenceModel, text: Column) -> Column:
     """Array of (paragraph, family, probability, similarity, confirmed) of each whole text; NULL and empty texts have none.
 
-    Paragraphs are lines counted from 0, blank ones too; those below the threshold are unknown and not listed.
+    Paragraphs are lines counted from 0, blank ones too; those below the threshold are unknown and not listed.  A notice
+    wrapped over several lines has the number of its first line and stands for the less similar parts found in its lines.
+    A line can have two families: its own, and that of a wrapped notice that starts in it.
     """
     import pyarrow as pa
     from pyspark.sql.functions import arrow_udf

@@ -1,5 +1,7 @@
 """The three trained models: held-out quality, odd rows, nothing to learn from."""
 
+import textwrap
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -100,3 +102,30 @@ def test_licence_lines(spark):
     assert licenses.scan(odd_docs(spark), model).collect() == []
     assert licenses.scan(no_docs(spark), model).collect() == []
     assert licenses.fit(no_docs(spark)).threshold >= 0.5
+
+
+def test_wrapped_licence_notices(spark):
+    model = licenses.fit(spark.read.parquet(f"{MIDDLE}/documents.parquet"))
+    prose = "The river rose in spring and the mill stood still.\nNobody in the village spoke of it again."
+    cases = []
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for width in (24, 45, 60):
+                lines = textwrap.wrap(notice, width)
+                cases += [(family, 0, "\n".join(lines)), (family, 3, f"{prose}\n\n" + "\n".join(f" * {x}" for x in lines) + f"\n\n{prose}")]
+    lgpl = (
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+        "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    )
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    )
+    cases += [("lgpl", 0, lgpl), ("gpl", 0, gpl), ("lgpl", 2, f"{prose}\n{lgpl}\n{prose}"), ("gpl", 2, f"{prose}\n{gpl}\n{prose}")]
+    docs = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(cases)], "doc_id long, text string").repartition(4)
+    found = {}
+    for r in licenses.scan(docs, model).collect():
+        found.setdefault(r.doc_id, []).append((r.family, r.paragraph))
+    assert [(c, found.get(i)) for i, c in enumerate(cases) if found.get(i) != [c[:2]]] == []
+    apart = spark.createDataFrame([(1, prose), (2, lgpl.replace("\n", "\n\n"))], "doc_id long, text string")
+    assert licenses.scan(apart, model).collect() == []
