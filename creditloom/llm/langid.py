@@ -14,14 +14,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import if_small, written
 from .textbatch import flat
 
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: The bounded training sample: rows for each language at most, and windows taken from each of them.
-SAMPLE_ROWS, SAMPLE_WINDOWS, MAX_LANGUAGES = 800, 4, 200
+#: The bounded training sample: texts of each language at most, windows taken from each of them, and texts of all languages about.
+SAMPLE_ROWS, SAMPLE_WINDOWS, ALL_ROWS = 800, 4, 160_000
 BLOCK = 64  # windows computed at a time, so that intermediate tables stay in the cache
 
 
@@ -140,25 +141,33 @@ def lettered(text: Column) -> Column:
 
 
 def sample(docs: DataFrame, text: str, label: str) -> list[tuple[str, bytes]]:
-    """Windows of a bounded sample: up to SAMPLE_ROWS rows for each label, chosen by a hash, SAMPLE_WINDOWS each."""
+    """Windows of a bounded sample: for each label the SAMPLE_ROWS distinct texts that a hash puts first, SAMPLE_WINDOWS each.
+
+    Copies count once.  Every label has a bound of its own, and none is left out: with more labels than ALL_ROWS / SAMPLE_ROWS
+    each gives fewer texts.
+    """
     rows = docs.where(F.col(label).isNotNull() & lettered(F.col(text))).select(F.col(text).alias("text"), F.col(label).alias("label"))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("label") == r.label, min(1.0, 2 * SAMPLE_ROWS / r["count"])).otherwise(share)
-    place = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 40))
-    drawn = rows.withColumn("place", place).where(F.col("place") < share * float(1 << 40))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("text", "label"), F.lit(1 << 62)))
+    texts = written(rows.select("label", "place").distinct(), "places")
+    counts = texts.groupBy("label").agg(F.count("*").alias("n"))
+    n_labels = counts.count()
+    most = max(1, min(SAMPLE_ROWS, ALL_ROWS // max(1, n_labels)))
+    reach = 2 * most + 50  # texts expected in the share, so that hardly ever fewer than ``most`` are
+    share = F.least(F.lit(1.0), F.lit(float(reach)) / F.col("n")) * float(1 << 62)
+    places: dict = {}
+    shares = if_small(counts.select("label", share.alias("share")), n_labels, ALL_ROWS)
+    for r in texts.join(shares, "label").where(F.col("place") <= F.col("share")).select("label", "place").collect():
+        places.setdefault(r.label, []).append(r.place)
+    if not places:
+        return []
+    bounds = docs.sparkSession.createDataFrame([(x, sorted(p)[:most][-1]) for x, p in sorted(places.items())], "label string, bound long")
     body = F.encode(F.lower("text"), "UTF-8")
     size = F.octet_length(F.lower("text"))
     starts = [F.pmod(F.hash("place", F.lit(k)), F.greatest(size - WINDOW, F.lit(1))) for k in range(SAMPLE_WINDOWS)]
     parts = F.array(*[F.substring(body, s.cast("int") + 1, F.lit(WINDOW)) for s in starts])
-    drawn = drawn.select("place", "label", parts.alias("parts")).orderBy("place").limit(3 * SAMPLE_ROWS * max(1, len(counts)))
-    out, held = [], {}
-    for r in drawn.collect():
-        held[r.label] = held.get(r.label, 0) + 1
-        if held[r.label] <= SAMPLE_ROWS:
-            out += [(r.label, bytes(p)) for p in r.parts]
-    return out
+    drawn = rows.join(if_small(bounds, n_labels, ALL_ROWS), "label").where(F.col("place") <= F.col("bound")).select("label", "place", parts.alias("parts"))
+    drawn = drawn.groupBy("label", "place").agg(F.first("parts").alias("parts"))
+    return [(r.label, bytes(p)) for r in sorted(drawn.collect(), key=lambda r: (r.place, r.label)) for p in r.parts]
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> ByteNetwork | None:
@@ -170,7 +179,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> ByteNetwork
     windows = np.zeros((len(drawn), WINDOW), np.uint8)
     for i, (_, part) in enumerate(drawn):
         windows[i, : len(part)] = np.frombuffer(part, np.uint8)
-    return ByteNetwork.train(windows, np.array([labels.index(x) for x, _ in drawn]), labels)
+    number = {x: i for i, x in enumerate(labels)}
+    return ByteNetwork.train(windows, np.array([number[x] for x, _ in drawn]), labels)
 
 
 def identify(net: ByteNetwork | None, text: Column) -> Column:

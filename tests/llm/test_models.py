@@ -31,6 +31,24 @@ def test_language_odd_rows(spark):
     assert {r.x.label for r in docs.select(langid.identify(None, F.col("text")).alias("x")).collect()} == {"und"}
 
 
+def test_language_sample_counts_copies_once(spark):
+    """Languages of few texts in many copies, and more languages than 200: each gives its distinct texts, up to its own bound."""
+    few = F.concat(F.lit("few "), (F.col("id") % 7).cast("string")).alias("text")
+    many = F.concat(F.lit("many "), F.col("id").cast("string")).alias("text")
+    rare = F.concat(F.lit("rare "), F.col("id").cast("string")).alias("text")
+    docs = spark.range(20_000).select(few, F.lit("few").alias("lang"))
+    docs = docs.unionByName(spark.range(3000).select(many, F.lit("many").alias("lang")))
+    docs = docs.unionByName(spark.range(250).select(rare, F.concat(F.lit("r"), F.col("id").cast("string")).alias("lang")))
+    drawn = langid.sample(docs, "text", "lang")
+    texts = {}
+    for x, part in drawn:
+        texts.setdefault(x, []).append(part)
+    assert len(texts) == 252 and set(texts["few"]) == {f"few {i}".encode() for i in range(7)} and len(texts["few"]) == 28
+    most = langid.ALL_ROWS // 252
+    assert len(set(texts["many"])) == most and all(len(texts[f"r{i}"]) == 4 for i in range(250))
+    assert drawn == langid.sample(docs.repartition(5), "text", "lang")
+
+
 def test_convolution_is_the_largest_window_sum():
     rng = np.random.default_rng(0)
     net = langid.ByteNetwork(["a", "b"], [rng.normal(size=(3, 256, 2)).astype(np.float32)], np.eye(2, dtype=np.float32), np.zeros(2, np.float32))
