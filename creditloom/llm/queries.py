@@ -13,6 +13,7 @@ from . import langid, licenses, pii, toxicity
 from .common import crc_mod, fresh_folder
 from .decontaminate import contaminated
 from .jaccard import JaccardJoin
+from .merkle import every_fifth, manifest
 from .packing import pack_documents
 from .separators import count_tokens, write_token_files
 from .slots import shard_documents
@@ -110,3 +111,67 @@ def op7_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op1_licence_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return licenses.scan(docs, licenses.fit(docs))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(table(spark, folder, "documents"), every_fifth(F.col("doc_id")))
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || {name}, '-')"
+
+
+def _climb(name: str, base: str) -> str:
+    """All nodes of a forest: runs of sixteen are hashed until one node remains."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, pos, n, digest FROM {base}
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE n > 1
+  GROUP BY tree, level, pos // 16, n)"""
+
+
+def _sides(name: str, nodes: str) -> str:
+    return f"""{name} AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM {nodes} a JOIN {nodes} b ON a.tree = b.tree AND a.level = b.level AND a.pos // 16 = b.pos // 16
+  WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos)"""
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, _: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1))))"""
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n,
+    sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS digest,
+    sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_field(_LOWER)}) AS lowered,
+    xor({_CRC}, 4294967295) % 5 = 0 AS altered
+  FROM documents),
+{_climb("nodes", "leaves")},
+subroots AS (
+  SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, digest FROM nodes WHERE n = 1),
+{_climb("tops", "subroots")},
+{_sides("sides", "nodes")},
+{_sides("top_sides", "tops")},
+steps AS (
+  SELECT tree, doc_id, row_number() OVER (PARTITION BY tree, doc_id ORDER BY step) AS step, before, after FROM (
+    SELECT l.tree, l.doc_id, s.level AS step, before, after FROM leaves l JOIN sides s ON s.tree = l.tree AND s.pos = l.pos >> (4 * s.level)
+    UNION ALL
+    SELECT l.tree, l.doc_id, 100 + s.level, before, after FROM leaves l JOIN subroots r ON r.name = l.tree
+    JOIN top_sides s ON s.pos = r.pos >> (4 * s.level))),
+proofs AS (SELECT tree, doc_id, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256, max(step) AS last FROM steps GROUP BY tree, doc_id),
+folded AS (
+  SELECT tree, doc_id, 0 AS step, CASE WHEN altered THEN lowered ELSE digest END AS node FROM leaves
+  UNION ALL
+  SELECT f.tree, f.doc_id, f.step + 1, sha256(s.before || f.node || s.after)
+  FROM folded f JOIN steps s ON s.tree = f.tree AND s.doc_id = f.doc_id AND s.step = f.step + 1)
+SELECT l.doc_id, l.digest AS leaf, r.digest AS subroot, t.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+  f.node AS folded_root, f.node = t.digest AS verified
+FROM leaves l JOIN subroots r ON r.name = l.tree CROSS JOIN (SELECT digest FROM tops WHERE n = 1) t
+LEFT JOIN proofs p ON p.tree = l.tree AND p.doc_id = l.doc_id
+JOIN folded f ON f.tree = l.tree AND f.doc_id = l.doc_id AND f.step = coalesce(p.last, 0)
+"""
