@@ -14,6 +14,7 @@ from .common import crc_mod, fresh_folder
 from .decontaminate import contaminated
 from .jaccard import JaccardJoin
 from .merkle import every_fifth, manifest
+from .negatives import mine
 from .packing import pack_documents
 from .separators import count_tokens, write_token_files
 from .slots import shard_documents
@@ -175,3 +176,31 @@ FROM leaves l JOIN subroots r ON r.name = l.tree CROSS JOIN (SELECT digest FROM
 LEFT JOIN proofs p ON p.tree = l.tree AND p.doc_id = l.doc_id
 JOIN folded f ON f.tree = l.tree AND f.doc_id = l.doc_id AND f.step = coalesce(p.last, 0)
 """
+
+
+@query
+def op13_angular_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+SQL["op13_angular_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id AND len(a.e) = len(v.e)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
