@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from creditloom.sources.tables import table
 
-from . import langid, licenses, pii, toxicity
-from .common import crc_mod, fresh_folder
+from . import langid, licenses, pii, quality, toxicity
+from .common import crc_mod, fresh_folder, written
 from .decontaminate import contaminated
 from .jaccard import JaccardJoin
 from .merkle import every_fifth, manifest
@@ -204,3 +204,13 @@ FROM positives JOIN pairs USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY rank <= 5
 """
+
+
+@query
+def op12_quadratic_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out")
+    found = written(docs.select("doc_id", held_out, quality.statistics(F.col("text")).alias("x")), "statistics")
+    model = quality.fit(found.where(~F.col("held_out")), table(spark, folder, "labels"))
+    rated = found.select("doc_id", "held_out", quality.rated(model, F.col("x")).alias("score"))
+    return rated.withColumn("predicted", (F.col("score") >= quality.ACCEPTED).cast("int"))
