@@ -9,7 +9,7 @@ from ..functions import vocab as V
 from ..functions.columns import rnd
 from ..operators import learners as L
 from ..session import cut_lineage
-from ..sources import applicants as P, views
+from ..sources import applicants as P, files, views
 from ..sources.tables import table
 from ..streaming import consent_stream as CS, runner, scoring_stream as SS
 from .registry import query
@@ -60,17 +60,22 @@ def ml_cv(spark, d):
     return spark.createDataFrame(rows, "fold int, auc double, mean_auc double")
 
 
-def _stream_verdicts(spark, d):
-    """The consent gate over event streams, read back from its sink, with a verdict for every upload."""
-    events = views.with_k(CS.stream_table(spark, d, "events"))
-    again = views.with_k(CS.stream_table(spark, d, "events"))
-    matches = runner.drain(CS.gate(views.uploads_of(events), views.consents_of(again)), "consent")
-    return CS.completed(matches, views.uploads(spark, d), views.consents(spark, d))
+def stream_verdicts(spark, d):
+    """The consent gate over event streams, read back from its sink: a verdict for every upload."""
+    ticks = files.fresh_dir(spark, "clock")
+
+    def start():
+        events = views.with_k(CS.stream_table(spark, d, "events"))
+        again = views.with_k(CS.stream_table(spark, d, "events"))
+        return CS.gate(views.uploads_of(events), views.consents_of(again), CS.clock_folder(spark, ticks))
+
+    last = CS.closing_tick(table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at")))
+    return CS.verdicts(start, spark, ticks, last)
 
 
 @query("st_consent", CONSENT_SQL)
 def st_consent(spark, d):
-    return _stream_verdicts(spark, d).select(
+    return stream_verdicts(spark, d).select(
         "upload_id", "borrower_id", "doc_type", F.col("session.session_id").cast("string").alias("session_id"), "status", "reason"
     )
 
@@ -79,8 +84,8 @@ def st_consent(spark, d):
 SELECT event_id AS upload_id, account_id, {r('pd',6)} AS pd, risk_score, risk_tier FROM ev JOIN scored ON account_id=user_id JOIN (SELECT upload_id FROM verdicts WHERE status=200) ON upload_id=event_id"""))
 def st_score(spark, d):
     """Uploads that the consent gate has accepted, scored as they arrive against the borrowers' feature table."""
-    accepted = cut_lineage(_stream_verdicts(spark, d).where(F.col("status") == 200).select("upload_id"))
+    accepted = cut_lineage(stream_verdicts(spark, d).where(F.col("status") == 200).select("upload_id"))
     features = cut_lineage(P.features(spark, d))
     uploads = views.uploads_of(views.with_k(CS.stream_table(spark, d, "events")))
-    out = runner.drain(SS.score_stream(uploads.join(accepted, "upload_id"), features, CARD), "scores")
+    out = runner.drain(SS.score_stream(uploads.join(accepted, "upload_id"), features, CARD), "scores").frame
     return out.select("upload_id", "account_id", rnd(F.col("pd"), 6).alias("pd"), "risk_score", "risk_tier")

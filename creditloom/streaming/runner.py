@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..sources.files import fresh_dir
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Process all available input into a parquet sink and read the sink."""
-    spark = stream.sparkSession
-    folder = fresh_dir(spark, name)
+@dataclass(frozen=True)
+class Drained:
+    """A parquet sink and the checkpoint of the stream that fills it."""
+
+    spark: SparkSession
+    schema: StructType
+    folder: str
+
+    @property
+    def frame(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/out")
+
+
+def _run(stream: DataFrame, folder: str) -> None:
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -20,4 +33,16 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def drain(stream: DataFrame, name: str) -> Drained:
+    """Process all available input into a parquet sink."""
+    folder = fresh_dir(stream.sparkSession, name)
+    _run(stream, folder)
+    return Drained(stream.sparkSession, stream.schema, folder)
+
+
+def drain_again(stream: DataFrame, before: Drained) -> Drained:
+    """Go on from the checkpoint of an earlier run with the input that has come since."""
+    _run(stream, before.folder)
+    return before

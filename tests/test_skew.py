@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from creditloom.operators import consent as C, extract as E, ledger as L, utility as U
 from creditloom.sources import documents as D, views
-from creditloom.streaming import consent_stream as CS, runner
+from creditloom.plans.learner_plans import stream_verdicts
 
 
 def hot_lines(n=3000):
@@ -106,9 +106,7 @@ def test_consent_of_a_busy_borrower(spark):
 
 
 def test_stream_agrees_with_batch(spark):
-    events = lambda: views.with_k(CS.stream_table(spark, SMALL, "events"))
-    out = runner.drain(CS.gate(views.uploads_of(events()), views.consents_of(events())), "consent")
-    full = CS.completed(out, views.uploads(spark, SMALL), views.consents(spark, SMALL)).collect()
+    full = stream_verdicts(spark, SMALL).collect()
     stream = {(r.upload_id, r.session and r.session.session_id, r.status) for r in full}
     batch = C.match_uploads(views.uploads(spark, SMALL), views.consents(spark, SMALL)).collect()
     assert stream == {(r.upload_id, r.session and r.session.session_id, r.status) for r in batch}
