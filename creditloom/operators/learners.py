@@ -1,66 +1,18 @@
-"""Learners around the scorecard: text risk by TF-IDF, label codes, boosted trees, cross-validation."""
+"""Learners around the scorecard: label codes, boosted trees, cross-validation."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    ElementwiseProduct,
-    Normalizer,
-    RegexTokenizer,
-    StopWordsRemover,
-    StringIndexer,
-    VectorAssembler,
-)
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 # Settings of the boosted trees and the folds; BINS is the number of cuts tried for a feature.
 TREE_DEPTH, STEP, ROUNDS, BINS, FOLDS, SEED = 4, 0.1, 100, 32, 5, 42
-WORD = r"(?U)\b\w\w+\b"
-
-
-def words_of(text: str) -> list:
-    """Stages that cut a text into words and drop stop words, to the column ``kept``."""
-    return [
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=WORD, gaps=False, toLowercase=True),
-        StopWordsRemover(inputCol="words", outputCol="kept"),
-    ]
-
-
-def count_terms(df: DataFrame, text: str) -> int:
-    """Number of distinct terms, so that the vocabulary can hold every one."""
-    kept = PipelineModel(words_of(text)).transform(df.select(text))
-    return kept.select(F.explode("kept").alias("term")).distinct().count()
-
-
-def fit_text_risk(train: DataFrame, text: str = "text", label: str = "label") -> PipelineModel:
-    """Words -> counts -> counts x (idf + 1) -> unit length -> logistic regression (C = 1).
-
-    The vocabulary has all terms of the training texts, without a limit; it and its weights are held by the driver.
-    """
-    terms = max(1, count_terms(train, text))
-    words = [*words_of(text), CountVectorizer(inputCol="kept", outputCol="counts", vocabSize=terms)]
-    counting = Pipeline(stages=words).fit(train)
-    counted = counting.transform(train)
-    idf = IDF(inputCol="counts", outputCol="idf").fit(counted)
-    weights = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="counts", outputCol="weighted"
-    )
-    unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-    n = train.count()
-    lr = LogisticRegression(
-        featuresCol="features", labelCol=label, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100
-    )
-    model = lr.fit(unit.transform(weights.transform(counted)).select("features", label))
-    return PipelineModel(stages=[*counting.stages, weights, unit, model])
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:

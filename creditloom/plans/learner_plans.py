@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.columns import rnd
-from ..operators import learners as L
+from ..operators import learners as L, text_risk as T
 from ..session import cut_lineage
 from ..sources import applicants as P, files, views
 from ..sources.tables import table
@@ -18,20 +17,58 @@ from .sqlscore import CARD
 from .sqlviews import r, using
 
 
+def _labelled_texts(spark, d):
+    """Documents with label 1 for low quality and their part; read by every step."""
+    labels = table(spark, d, "labels").select("doc_id", (1.0 - F.col("quality")).alias("label"))
+    docs = table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return cut_lineage(docs.withColumn("split", P.split_of("doc_id")))
+
+
 @query("ml_tfidf_lr")
 def ml_tfidf_lr(spark, d):
     """Text risk of labelled documents: fitted on the training part, applied to the rest."""
-    labels = table(spark, d, "labels").select("doc_id", (1.0 - F.col("quality")).alias("label"))
-    docs = table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
-    docs = cut_lineage(docs.withColumn("split", P.split_of("doc_id")))
-    model = L.fit_text_risk(docs.where(F.col("split") == "train"))
-    out = model.transform(docs.where(F.col("split") == "test"))
+    docs = _labelled_texts(spark, d)
+    model = T.fit(docs.where(F.col("split") == "train"))
+    out = model.apply(docs.where(F.col("split") == "test"))
     return out.select(
-        "doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("text_pred"),
-        rnd(vector_to_array("probability")[1], 6).alias("prob"),
+        "doc_id", F.col("label").cast("int").alias("label"), (F.col("prob") > 0.5).cast("int").alias("text_pred"),
+        rnd(F.col("prob"), 6).alias("prob"),
     )
 
 
+STEPS = 3
+STOP = ("the", "of", "and", "to", "in", "is", "for", "on", "with", "der", "die", "de", "la")
+
+
+def _steps_sql() -> str:
+    """The gradient steps unrolled."""
+    last, parts = "w0", []
+    for k in range(STEPS):
+        parts.append(f"""
+e{k} AS (SELECT doc_id, 1/(1+exp(-(coalesce(z,0)+b)))-label AS e FROM docs LEFT JOIN (SELECT doc_id, sum(x*w) AS z FROM entries JOIN w{k} USING(term) GROUP BY 1) USING(doc_id), b{k} WHERE split='train'),
+w{k + 1} AS (SELECT term, w-rate*(w+coalesce(g,0)) AS w FROM w{k} LEFT JOIN (SELECT term, sum(x*e) AS g FROM entries JOIN e{k} USING(doc_id) GROUP BY 1) USING(term), n),
+b{k + 1} AS (SELECT b-rate*(SELECT sum(e) FROM e{k}) AS b FROM b{k}, n)""")
+        last = k + 1
+    return f"""WITH docs AS (SELECT doc_id, text, 1-quality AS label, CASE WHEN CAST('0x'||substr(md5(CAST(doc_id AS VARCHAR)),1,8) AS BIGINT)%10<8 THEN 'train' ELSE 'test' END AS split FROM documents JOIN labels USING(doc_id)),
+n AS (SELECT count(*)::DOUBLE AS n, 1/(count(*)/2e0+1) AS rate FROM docs WHERE split='train'),
+tf AS (SELECT doc_id, split, term, count(*) AS tf FROM (SELECT doc_id, split, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM docs) WHERE term NOT IN {STOP} GROUP BY ALL),
+idf AS (SELECT term, ln((1+any_value(n))/(1+count(*)))+1 AS idf FROM tf, n WHERE split='train' GROUP BY term),
+entries AS (SELECT doc_id, term, v/sqrt(sum(v*v) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, term, tf*idf AS v FROM tf JOIN idf USING(term))),
+w0 AS (SELECT term, 0e0 AS w FROM idf), b0 AS (SELECT 0e0 AS b),{",".join(parts)}
+SELECT doc_id, CAST(label AS INTEGER) AS label, {r(f'1/(1+exp(-(coalesce(z,0)+b)))', 8)} AS prob FROM docs
+LEFT JOIN (SELECT doc_id, sum(x*w) AS z FROM entries JOIN w{last} USING(term) GROUP BY 1) USING(doc_id), b{last} WHERE split='test'"""
+
+
+@query("ml_tfidf_steps", _steps_sql())
+def ml_tfidf_steps(spark, d):
+    """The same tables after a few plain gradient steps, which SQL can follow."""
+    docs = _labelled_texts(spark, d)
+    known, idf, entries = T.training_tables(docs.where(F.col("split") == "train"), "doc_id", "text", "label", STOP)
+    weights, level = T.gradient_steps(known, entries, idf, STEPS, 1 / (known.count() / 2 + 1))
+    out = T.TextRisk(weights, level, 0.0, STOP).apply(docs.where(F.col("split") == "test"))
+    return out.select("doc_id", F.col("label").cast("int").alias("label"), rnd(F.col("prob"), 8).alias("prob"))
+
+
 @query("ml_label_encode", """
 SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority)-1)::DOUBLE AS o_orderpriority_code FROM orders""")
 def ml_label_encode(spark, d):

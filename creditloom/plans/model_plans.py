@@ -316,7 +316,52 @@ def lr_vif(spark, d):
     return L.vif(_train(spark, d))
 
 
-@query("lr_fit")
+# Newton's method again in SQL: recursive steps over the same cells, the linear system solved by elimination.
+SIZE, SQL_STEPS = len(V.FEATURES) + 1, 12
+
+
+def _eliminated(source: str) -> str:
+    """Solve the symmetric system a x = g of a row, as nested selections; gives the columns d0, d1, ..."""
+    upper = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
+    for k in range(SIZE):
+        a = [f"a{i}{j}-a{k}{i}/a{k}{k}*a{k}{j} AS a{i}{j}" if i > k else f"a{i}{j}" for i, j in upper]
+        g = [f"g{i}-a{k}{i}/a{k}{k}*g{k} AS g{i}" if i > k else f"g{i}" for i in range(SIZE)]
+        source = f"(SELECT k, {BETAS}, {', '.join(a + g)} FROM {source})"
+    for i in reversed(range(SIZE)):
+        known = "".join(f"-a{i}{j}*d{j}" for j in range(i + 1, SIZE))
+        source = f"(SELECT *, (g{i}{known})/a{i}{i} AS d{i} FROM {source})"
+    return source
+
+
+BETAS = ", ".join(f"b{i}" for i in range(SIZE))
+_X = ["1e0", *[f + "_woe" for f in V.FEATURES]]
+_SUMS = ", ".join(
+    [f"sum(w*p*(1-p)*{_X[i]}*{_X[j]}){'+1' if i == j and i else ''} AS a{i}{j}" for i in range(SIZE) for j in range(i, SIZE)]
+    + [f"sum(w*(p-y)*{_X[i]}){f'+b{i}' if i else ''} AS g{i}" for i in range(SIZE)]
+)
+_LINEAR = "+".join(f"b{i}*{x}" for i, x in enumerate(_X))
+NEWTON_SQL = f"""
+, cells AS (
+ SELECT y, {", ".join(_X[1:])}, count(*)::DOUBLE AS n FROM (SELECT y, {", ".join(
+    f"CASE WHEN {f} IS NULL THEN 0e0 ELSE (SELECT woe FROM fitted b WHERE b.feature='{f}' AND t.{f}>=lo AND t.{f}<hi) END AS {f}_woe" for f in V.FEATURES)} FROM train t) GROUP BY ALL),
+weighted AS (SELECT *, n*(SELECT sum(n) FROM cells)/(2*sum(n) OVER (PARTITION BY y)) AS w FROM cells),
+newton AS (
+ SELECT 0 AS k, {", ".join(f"0e0 AS b{i}" for i in range(SIZE))}
+ UNION ALL SELECT k+1, {", ".join(f"b{i}-d{i}" for i in range(SIZE))} FROM {_eliminated(
+    f"(SELECT k, {BETAS}, {_SUMS} FROM (SELECT *, 1/(1+exp(-({_LINEAR}))) AS p FROM newton, weighted WHERE k<{SQL_STEPS}) GROUP BY k, {BETAS})")})
+"""
+_NAMES = ["(intercept)", *V.FEATURES]
+
+
+def _newton_sql() -> str:
+    """Bins and coefficients from the training part only."""
+    sql = _fit_sql("").replace("\ntrain AS (", "\nevery_part AS (", 1)
+    sql = sql.replace("long_train AS (", "train AS (SELECT * FROM every_part WHERE split='train'),\nlong_train AS (", 1)
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS feature, {r(f'b{i}', 6)} AS beta FROM newton WHERE k={SQL_STEPS}" for i, name in enumerate(_NAMES))
+    return sql.rstrip() + NEWTON_SQL + rows
+
+
+@query("lr_fit", _newton_sql())
 def lr_fit(spark, d):
     """Bins, WoE and balanced coefficients fitted on the training part."""
     df = cut_lineage(P.train(spark, d).where(F.col("split") == "train"))

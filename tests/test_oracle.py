@@ -19,4 +19,4 @@ def test_same_rows(spark, con, name):
 
 def test_sql_belongs_to_plans():
     assert set(SQL) <= set(PLANS)
-    assert set(PLANS) - set(SQL) == {"lr_fit", "ml_tfidf_lr", "ml_gbt", "ml_cv"}
+    assert set(PLANS) - set(SQL) == {"ml_tfidf_lr", "ml_gbt", "ml_cv"}
