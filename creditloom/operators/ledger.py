@@ -95,6 +95,12 @@ def daily_rollup(ledger: DataFrame) -> DataFrame:
     )
 
 
+def merged_days(partials: DataFrame, *keep: str) -> DataFrame:
+    """Partials of the same account and day (from several batches) as one row; ``keep`` names columns the account decides."""
+    sums = ("flow", "credit", "n_credit", "debit", "salary_credit", "n_salary", "n_emi")
+    return partials.groupBy("account_id", "txn_date", *keep).agg(*[F.sum(c).alias(c) for c in sums], F.min("low").alias("low"))
+
+
 def with_latest_date(days: DataFrame) -> DataFrame:
     return days.withColumn("latest", F.max("txn_date").over(W.partitionBy("account_id")))
 
@@ -119,7 +125,12 @@ def monthly_rollup(days: DataFrame) -> DataFrame:
 
 
 def bank_features(ledger: DataFrame) -> DataFrame:
-    """The seven features of every account, from one shared day and month roll-up.
+    """The seven features of every account, from one shared day and month roll-up."""
+    return bank_features_of(daily_rollup(coerce_ledger(ledger)))
+
+
+def bank_features_of(days: DataFrame) -> DataFrame:
+    """The seven features from day roll-ups.
 
     Borrowers without ledger rows get no feature row.  The lowest balance is 0 when no row falls in the last three
     months, and NULL when rows do and none of them states a balance.
@@ -128,7 +139,7 @@ def bank_features(ledger: DataFrame) -> DataFrame:
     paid_in = dated & (F.col("n_credit") > 0)
     zero = F.lit(0)
     total = lambda c: F.coalesce(F.sum(c), zero)
-    months = monthly_rollup(daily_rollup(coerce_ledger(ledger)))
+    months = monthly_rollup(days)
     sums = months.groupBy("account_id").agg(
         F.sum(F.when(paid_in, F.coalesce("credit", zero))).alias("dated_credit"),
         F.count_if(paid_in).alias("credit_months"),

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.columns import rnd
-from ..operators import learners as L, text_risk as T
+from ..operators import assembly as A, learners as L, text_risk as T
 from ..session import cut_lineage
 from ..sources import applicants as P, files, views
 from ..sources.tables import table
-from ..streaming import consent_stream as CS, runner, scoring_stream as SS
+from ..streaming import consent_stream as CS, feature_stream as FS, runner, scoring_stream as SS
 from .registry import query
 from .rule_plans import CONSENT_SQL
 from .sqlscore import CARD
@@ -120,9 +120,31 @@ def st_consent(spark, d):
 @query("st_score", using("scored", "ev", "verdicts", sql=f"""
 SELECT event_id AS upload_id, account_id, {r('pd',6)} AS pd, risk_score, risk_tier FROM ev JOIN scored ON account_id=user_id JOIN (SELECT upload_id FROM verdicts WHERE status=200) ON upload_id=event_id"""))
 def st_score(spark, d):
-    """Uploads that the consent gate has accepted, scored as they arrive against the borrowers' feature table."""
+    """Accepted uploads scored as they arrive, against bank features that a stream of ledger rows has kept up to date."""
     accepted = cut_lineage(stream_verdicts(spark, d).where(F.col("status") == 200).select("upload_id"))
-    features = cut_lineage(P.features(spark, d))
+    bank = _streamed_bank_features(spark, d)
+    sources = {**views.feature_sources(spark, d), "bank": bank}
+    features = cut_lineage(A.model_features(A.join_sources(**sources)))
     uploads = views.uploads_of(views.with_k(CS.stream_table(spark, d, "events")))
     out = runner.drain(SS.score_stream(uploads.join(accepted, "upload_id"), features, CARD), "scores").frame
     return out.select("upload_id", "account_id", rnd(F.col("pd"), 6).alias("pd"), "risk_score", "risk_tier")
+
+
+LEDGER_FILES = 4
+
+
+def _streamed_bank_features(spark, d):
+    """Ledger rows as files that a stream takes in one by one; every account comes in several of them."""
+    lines, folder = files.fresh_dir(spark, "ledger"), files.fresh_dir(spark, "features")
+    ledger = views.ledger(spark, d)
+    ledger.repartition(LEDGER_FILES, F.xxhash64("txn_id")).write.parquet(lines)
+    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 1).parquet(lines)
+    features = FS.FeatureTable(spark, folder, fold_after=3)
+    FS.maintain(stream, features, f"{folder}/state")
+    return features.current()
+
+
+@query("st_features", using("bank", sql="SELECT * FROM bank"))
+def st_features(spark, d):
+    """The feature table that the ledger stream has kept, account by account."""
+    return _streamed_bank_features(spark, d)
