@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,15 @@ def drawn(rows: DataFrame, n: int) -> DataFrame:
     """
     share = min(1.0, 2 * n / max(1, rows.count()))
     return rows.where(F.pmod("place", F.lit(1 << 40)) < share * float(1 << 40)).orderBy("place").limit(n)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Hand rows that carry whole texts or sets to Python in smaller batches than the default, for the jobs run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

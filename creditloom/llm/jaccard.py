@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch
@@ -183,13 +183,10 @@ def signatures(value, first, count, bands: dict):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ENTRY = np.dtype([("sig", "<u8"), ("flags", "u1")])
+def signed(width: int, num: int, den: int):
+    """Task function: sig, node and meta (size and flags) of all entries of each set.
 
-
-def signed(width: int, num: int, den: int, keys: np.ndarray):
-    """Task function: all entries of each set, packed by the part they go to: key, node, size, entries.
-
-    A signature's part follows from its own bits; ``keys`` names the parts.  Copies within the task count once.
+    The number of entries follows from the set alone, whatever the partitions.  Copies within the task count once.
     """
     import pyarrow as pa
 
@@ -206,52 +203,13 @@ def signed(width: int, num: int, den: int, keys: np.ndarray):
                 rows = np.flatnonzero(count > 0)
                 rows = rows[fresh_rows(node[rows], seen)]
                 sig, doc, flags = signatures(value, first[rows], count[rows], bands)
-                part_no = (((sig >> np.uint64(32)) * np.uint64(len(keys))) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(doc * len(keys) + part_no, kind="stable")
-                doc, part_no = doc[order], part_no[order]
-                entries = np.empty(len(order), ENTRY)
-                entries["sig"], entries["flags"] = sig[order], flags[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (part_no[1:] != part_no[:-1])
-                first = np.flatnonzero(new)
-                places = (np.append(first, len(order)) * ENTRY.itemsize).astype(np.int32)
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(entries)])
-                d = rows[doc[first]]
-                columns = [pa.array(keys[part_no[first]]), pa.array(node[d].view(np.int64)), pa.array(count[d], pa.int64()), packed]
-                yield pa.record_batch(columns, names=["key", "node", "size", "entries"])
+                d = rows[doc]
+                columns = [pa.array(sig.view(np.int64)), pa.array(node[d].view(np.int64)), pa.array((count[d] << 8) | flags)]
+                yield pa.record_batch(columns, names=["sig", "node", "meta"])
 
     return run
 
 
-def unpacked(batches):
-    """Task function: sig, node and meta (size and flags) of each packed entry."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-            column = part.column(3)
-            _, places, data = column.buffers()
-            places = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1]
-            entries = np.frombuffer(data, np.uint8)[places[0] : places[-1]].view(ENTRY)
-            many = np.diff(places) // ENTRY.itemsize
-            node, size = (np.repeat(np.asarray(part.column(i)), many) for i in (1, 2))
-            columns = [pa.array(entries["sig"].view(np.int64)), pa.array(node), pa.array((size << 8) | entries["flags"])]
-            yield pa.record_batch(columns, names=["sig", "node", "meta"])
-
-
-def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
-    """One key for each of ``parts`` partitions, so that hashing the keys deals them out evenly."""
-    found: dict[int, int] = {}
-    step = 64 * parts
-    for start in range(0, 64 * step, step):
-        rows = spark.range(start, start + step).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("key"))
-        for r in rows.collect():
-            found.setdefault(r.part, r.key)
-        if len(found) == parts:
-            break
-    return np.array([found.get(p, p) for p in range(parts)], np.int64)
-
-
 def starred(batches):
     """Task function over rows sorted by sig, size and node: each row after its bucket's first index entry, with that entry.
 
@@ -520,9 +478,8 @@ class JaccardJoin:
         """node, root of every class that is linked with another one."""
         spark = self.docs.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        task = signed(self.width, self.num, self.den, even_keys(spark, parts))
-        rows = self.docs.select("text").mapInArrow(task, "key long, node long, size long, entries binary").repartition(parts, "key")
-        rows = rows.mapInArrow(unpacked, "sig long, node long, meta long")
+        task = signed(self.width, self.num, self.den)
+        rows = self.docs.select("text").mapInArrow(task, "sig long, node long, meta long").repartition(parts, "sig")
         rows = rows.sortWithinPartitions("sig", F.shiftright("meta", 8), "node")
         stars = rows.mapInArrow(starred, "sig long, node long, meta long, pivot long, pivot_meta long")
         stars = written(stars.where("node <> pivot"), "stars")

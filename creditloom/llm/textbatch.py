@@ -56,10 +56,10 @@ def slices(batch, text_at: int, limit: int = SLICE_BYTES):
 
 
 def powers(n: int):
-    """The first n powers of the base and of its inverse."""
-    kept = worker_cache("powers")
+    """The first n powers of the base and of its inverse; those for one slice of texts are kept."""
+    kept = worker_cache("powers") if n <= SLICE_BYTES else {}
     if len(kept.get("up", ())) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES)
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         for name, b in (("up", BASE), ("down", inverse)):
             steps = np.full(size, b, np.uint64)
