@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.llm import stages
-from creditloom.llm.common import fresh_folder
+from creditloom.llm.common import fresh_folder, small_batches
 from creditloom.llm.queries import QUERIES, SQL
 from creditloom.sources.tables import table
 
@@ -31,10 +31,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        folder = fresh_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            folder = fresh_folder(spark, name)
+            stage(spark, docs, sf_dir).write.parquet(folder)
+            docs = spark.read.parquet(folder)
     return docs
 
 
