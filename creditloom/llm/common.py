@@ -24,10 +24,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
+    """A dictionary that lives in the Python worker across its tasks of one stage; the next stage starts with empty ones."""
     import pyspark
-
-    return pyspark.__dict__.setdefault("_llm_worker_cache", {}).setdefault(name, {})
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    kept = pyspark.__dict__.setdefault("_llm_worker_cache", {})
+    if kept.get("stage") != stage:
+        kept.clear()
+        kept["stage"] = stage
+    return kept.setdefault(name, {})
 
 
 def crc_mod(column: Column, n: int) -> Column:

@@ -23,6 +23,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: The bounded training sample: texts of each language at most, windows taken from each of them, and texts of all languages about.
 SAMPLE_ROWS, SAMPLE_WINDOWS, ALL_ROWS = 800, 4, 160_000
+STEP_BYTES = 1 << 20  # a multiple of WINDOW
 BLOCK = 64  # windows computed at a time, so that intermediate tables stay in the cache
 
 
@@ -124,12 +125,15 @@ def guess(net: ByteNetwork, texts):
     data, offsets = flat(texts)
     n = len(offsets) - 1
     votes = np.zeros((n, len(net.labels)))
-    step = max(1, (1 << 20) // max(1, len(data) // max(n, 1)))  # texts of about 1 MB at a time
-    for i in range(0, n, step):
-        part = offsets[i : min(i + step, n) + 1]
-        first = part[0]
-        windows, text, length = cut(data[first : part[-1]], part - first)
-        np.add.at(votes, i + text, net.probabilities(windows) * length[:, None])
+    i = 0
+    while i < n:  # texts of about STEP_BYTES at a time, a longer one in pieces of whole windows
+        stop = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, "right")) - 1)
+        for first in range(int(offsets[i]), int(offsets[stop]), STEP_BYTES):
+            last = min(first + STEP_BYTES, int(offsets[stop]))
+            part = np.clip(offsets[i : stop + 1], first, last) - first
+            windows, text, length = cut(data[first:last], part)
+            np.add.at(votes, i + text, net.probabilities(windows) * length[:, None])
+        i = stop
     total = votes.sum(1)
     best = votes.argmax(1)
     score = np.where(total > 0, votes[np.arange(n), best] / np.maximum(total, 1e-12), 0.0)

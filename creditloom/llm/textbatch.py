@@ -26,6 +26,7 @@ def flat(column):
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    worker_cache("powers")  # a new stage drops what the one before has kept
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -65,6 +65,18 @@ def test_windows_cover_whole_texts():
     assert np.concatenate([w[:n] for w, n in zip(windows, length, strict=True)]).tolist() == data.tolist()
 
 
+def test_steps_by_bytes_change_nothing(monkeypatch):
+    """Runs of long texts and one very long text are worked off in steps; votes are those of one step."""
+    rng = np.random.default_rng(3)
+    net = langid.ByteNetwork(["a", "b"], [rng.normal(size=(2, 256, 4)).astype(np.float32)], rng.normal(size=(4, 2)).astype(np.float32), np.zeros(2, np.float32))
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 5000, None, "ab", "", *["word " * int(k) for k in rng.integers(1, 400, 30)], "z y " * 3000])
+    whole = langid.guess(net, texts)
+    monkeypatch.setattr(langid, "STEP_BYTES", 1024)
+    assert all(np.allclose(a, b) for a, b in zip(whole, langid.guess(net, texts), strict=True))
+
+
 def test_toxicity_of_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, labels.where("doc_id % 3 <> 0"))
