@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.columns import rnd
-from ..operators import assembly as A, learners as L, text_risk as T
+from ..operators import assembly as A, learners as L, rules as U, text_risk as T
 from ..session import cut_lineage
 from ..sources import applicants as P, files, views
 from ..sources.tables import table
 from ..streaming import consent_stream as CS, feature_stream as FS, runner, scoring_stream as SS
 from .registry import query
-from .rule_plans import CONSENT_SQL
+from .rule_plans import CONSENT_SQL, behaviour
 from .sqlscore import CARD
-from .sqlviews import r, using
+from .sqlviews import r, using, view
 
 
 def _labelled_texts(spark, d):
@@ -40,8 +40,8 @@ STEPS = 3
 STOP = ("the", "of", "and", "to", "in", "is", "for", "on", "with", "der", "die", "de", "la")
 
 
-def _steps_sql() -> str:
-    """The gradient steps unrolled."""
+def _steps_sql(columns: str) -> str:
+    """The gradient steps unrolled; ``columns`` of the held-out documents."""
     last, parts = "w0", []
     for k in range(STEPS):
         parts.append(f"""
@@ -55,20 +55,54 @@ tf AS (SELECT doc_id, split, term, count(*) AS tf FROM (SELECT doc_id, split, un
 idf AS (SELECT term, ln((1+any_value(n))/(1+count(*)))+1 AS idf FROM tf, n WHERE split='train' GROUP BY term),
 entries AS (SELECT doc_id, term, v/sqrt(sum(v*v) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, term, tf*idf AS v FROM tf JOIN idf USING(term))),
 w0 AS (SELECT term, 0e0 AS w FROM idf), b0 AS (SELECT 0e0 AS b),{",".join(parts)}
-SELECT doc_id, CAST(label AS INTEGER) AS label, {r(f'1/(1+exp(-(coalesce(z,0)+b)))', 8)} AS prob FROM docs
+SELECT {columns} FROM docs
 LEFT JOIN (SELECT doc_id, sum(x*w) AS z FROM entries JOIN w{last} USING(term) GROUP BY 1) USING(doc_id), b{last} WHERE split='test'"""
 
 
-@query("ml_tfidf_steps", _steps_sql())
-def ml_tfidf_steps(spark, d):
-    """The same tables after a few plain gradient steps, which SQL can follow."""
+CHANCE = "1/(1+exp(-(coalesce(z,0)+b)))"
+
+
+def _after_steps(spark, d):
+    """Held-out documents with prob, and the training share of label 1."""
     docs = _labelled_texts(spark, d)
     known, idf, entries = T.training_tables(docs.where(F.col("split") == "train"), "doc_id", "text", "label", STOP)
-    weights, level = T.gradient_steps(known, entries, idf, STEPS, 1 / (known.count() / 2 + 1))
-    out = T.TextRisk(weights, level, 0.0, STOP).apply(docs.where(F.col("split") == "test"))
+    counts = known.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share")).first()
+    weights, level = T.gradient_steps(known, entries, idf, STEPS, 1 / (counts.n / 2 + 1))
+    return T.TextRisk(weights, level, 0.0, STOP).apply(docs.where(F.col("split") == "test")), counts.share
+
+
+@query("ml_tfidf_steps", _steps_sql(f"doc_id, CAST(label AS INTEGER) AS label, {r(CHANCE, 8)} AS prob"))
+def ml_tfidf_steps(spark, d):
+    """The same tables after a few plain gradient steps, which SQL can follow."""
+    out, _ = _after_steps(spark, d)
     return out.select("doc_id", F.col("label").cast("int").alias("label"), rnd(F.col("prob"), 8).alias("prob"))
 
 
+def _fused(spark, d):
+    """Held-out borrowers whose document has a text vote: risky where the text or the behaviour says so.
+
+    The text says so where its chance is above the training share of risky texts.
+    """
+    out, share = _after_steps(spark, d)
+    text = out.select(F.col("doc_id").alias("account_id"), (F.col("prob") > share).cast("int").alias("text_pred"))
+    return behaviour(spark, d).join(text, "account_id").withColumn("final_pred", U.either(F.col("text_pred"), F.col("guess")))
+
+
+TEXT_VOTE = f"CASE WHEN {CHANCE}>(SELECT avg(label) FROM docs WHERE split='train') THEN 1 ELSE 0 END"
+view("text_votes", _steps_sql(f"doc_id AS account_id, {TEXT_VOTE} AS text_pred"))
+view("fused", "SELECT b.*, text_pred, greatest(b.guess, text_pred) AS final_pred FROM behave_out b JOIN text_votes USING(account_id)", "behave_out", "text_votes")
+
+
+@query("rule_fusion", using("fused", sql="SELECT account_id, text_pred, guess AS behaviour_pred, final_pred FROM fused"))
+def rule_fusion(spark, d):
+    return _fused(spark, d).select("account_id", "text_pred", F.col("guess").alias("behaviour_pred"), "final_pred")
+
+
+@query("agg_portfolio_risk", using("fused", sql=f"SELECT {r('avg(final_pred)',3)} AS portfolio_risk, count(*) AS n FROM fused"))
+def agg_portfolio_risk(spark, d):
+    return _fused(spark, d).agg(rnd(F.avg("final_pred"), 3).alias("portfolio_risk"), F.count(F.lit(1)).alias("n"))
+
+
 @query("ml_label_encode", """
 SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority)-1)::DOUBLE AS o_orderpriority_code FROM orders""")
 def ml_label_encode(spark, d):

@@ -112,31 +112,13 @@ def rule_fraud4(spark, d):
     )
 
 
-def _behaviour(spark, d):
+def behaviour(spark, d):
     return P.behaviour_inputs(spark, d).withColumn("guess", U.behaviour_votes())
 
 
 @query("rule_behaviour", using("behave_out", sql="SELECT account_id, variance_income, bill_delay_days, job_changes, guess FROM behave_out"))
 def rule_behaviour(spark, d):
-    return _behaviour(spark, d).select("account_id", "variance_income", "bill_delay_days", "job_changes", "guess")
-
-
-def _fused(spark, d):
-    text = _fraud(spark, d).select("account_id", F.col("guess").alias("text_pred"))
-    return _behaviour(spark, d).join(text, "account_id").withColumn("final_pred", U.either(F.col("text_pred"), F.col("guess")))
-
-
-view("fused", "SELECT b.*, f.guess AS text_pred, greatest(b.guess, f.guess) AS final_pred FROM behave_out b JOIN fraud_out f USING(account_id)", "behave_out", "fraud_out")
-
-
-@query("rule_fusion", using("fused", sql="SELECT account_id, text_pred, guess AS behaviour_pred, final_pred FROM fused"))
-def rule_fusion(spark, d):
-    return _fused(spark, d).select("account_id", "text_pred", F.col("guess").alias("behaviour_pred"), "final_pred")
-
-
-@query("agg_portfolio_risk", using("fused", sql=f"SELECT {r('avg(final_pred)',3)} AS portfolio_risk, count(*) AS n FROM fused"))
-def agg_portfolio_risk(spark, d):
-    return _fused(spark, d).agg(rnd(F.avg("final_pred"), 3).alias("portfolio_risk"), F.count(F.lit(1)).alias("n"))
+    return behaviour(spark, d).select("account_id", "variance_income", "bill_delay_days", "job_changes", "guess")
 
 
 # Evaluation.
@@ -148,7 +130,7 @@ BOTH = "(SELECT 'fraud' AS rule, label, guess FROM fraud_out UNION ALL SELECT 'b
 
 def _judged(spark, d):
     a = _fraud(spark, d).select(F.lit("fraud").alias("rule"), "label", "guess")
-    return a.unionByName(_behaviour(spark, d).select(F.lit("behaviour").alias("rule"), "label", "guess"))
+    return a.unionByName(behaviour(spark, d).select(F.lit("behaviour").alias("rule"), "label", "guess"))
 
 
 @query("eval_confusion", using("fraud_out", "behave_out", sql=f"SELECT rule, {CONFUSION} FROM {BOTH} GROUP BY rule"))
