@@ -96,9 +96,11 @@ def training_tables(train: DataFrame, key: str, text: str, label: str, stop: Seq
     return docs, idf, cut_lineage(unit_rows(counts, idf))
 
 
-def gradient_steps(docs: DataFrame, entries: DataFrame, idf: DataFrame, steps: int, rate: float, c: float = 1.0) -> tuple[DataFrame, float]:
-    """Weights (term, idf, w) and intercept after plain gradient steps from zero."""
-    weights, intercept = idf.withColumn("w", F.lit(0.0)), 0.0
+def gradient_steps(
+    docs: DataFrame, entries: DataFrame, idf: DataFrame, steps: int, rate: float, c: float = 1.0, intercept: float = 0.0
+) -> tuple[DataFrame, float]:
+    """Weights (term, idf, w) and intercept after plain gradient steps from zero weights and the given intercept."""
+    weights = idf.withColumn("w", F.lit(0.0))
     for _ in range(steps):
         margin = docs.join(doc_sums(entries, weights, F.col("w")), "key", "left")
         errors = cut_lineage(margin.select("key", (chance(F.coalesce("total", F.lit(0.0)) + intercept) - F.col("y")).alias("e")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -54,7 +56,7 @@ n AS (SELECT count(*)::DOUBLE AS n, 1/(count(*)/2e0+1) AS rate FROM docs WHERE s
 tf AS (SELECT doc_id, split, term, count(*) AS tf FROM (SELECT doc_id, split, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM docs) WHERE term NOT IN {STOP} GROUP BY ALL),
 idf AS (SELECT term, ln((1+any_value(n))/(1+count(*)))+1 AS idf FROM tf, n WHERE split='train' GROUP BY term),
 entries AS (SELECT doc_id, term, v/sqrt(sum(v*v) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, term, tf*idf AS v FROM tf JOIN idf USING(term))),
-w0 AS (SELECT term, 0e0 AS w FROM idf), b0 AS (SELECT 0e0 AS b),{",".join(parts)}
+w0 AS (SELECT term, 0e0 AS w FROM idf), b0 AS (SELECT ln((sum(label)+0.5e0)/(sum(1-label)+0.5e0)) AS b FROM docs WHERE split='train'),{",".join(parts)}
 SELECT {columns} FROM docs
 LEFT JOIN (SELECT doc_id, sum(x*w) AS z FROM entries JOIN w{last} USING(term) GROUP BY 1) USING(doc_id), b{last} WHERE split='test'"""
 
@@ -63,12 +65,13 @@ CHANCE = "1/(1+exp(-(coalesce(z,0)+b)))"
 
 
 def _after_steps(spark, d):
-    """Held-out documents with prob, and the training share of label 1."""
+    """Held-out documents with prob, and the chance that the steps start from: that of the training labels."""
     docs = _labelled_texts(spark, d)
     known, idf, entries = T.training_tables(docs.where(F.col("split") == "train"), "doc_id", "text", "label", STOP)
-    counts = known.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share")).first()
-    weights, level = T.gradient_steps(known, entries, idf, STEPS, 1 / (counts.n / 2 + 1))
-    return T.TextRisk(weights, level, 0.0, STOP).apply(docs.where(F.col("split") == "test")), counts.share
+    counts = known.agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).first()
+    odds = (counts.bad + 0.5) / (counts.good + 0.5)
+    weights, level = T.gradient_steps(known, entries, idf, STEPS, 1 / ((counts.bad + counts.good) / 2 + 1), intercept=math.log(odds))
+    return T.TextRisk(weights, level, 0.0, STOP).apply(docs.where(F.col("split") == "test")), odds / (1 + odds)
 
 
 @query("ml_tfidf_steps", _steps_sql(f"doc_id, CAST(label AS INTEGER) AS label, {r(CHANCE, 8)} AS prob"))
@@ -81,14 +84,14 @@ def ml_tfidf_steps(spark, d):
 def _fused(spark, d):
     """Held-out borrowers whose document has a text vote: risky where the text or the behaviour says so.
 
-    The text says so where its chance is above the training share of risky texts.
+    The text says so where its chance is above that of the training labels.
     """
-    out, share = _after_steps(spark, d)
-    text = out.select(F.col("doc_id").alias("account_id"), (F.col("prob") > share).cast("int").alias("text_pred"))
+    out, usual = _after_steps(spark, d)
+    text = out.select(F.col("doc_id").alias("account_id"), (F.col("prob") > usual).cast("int").alias("text_pred"))
     return behaviour(spark, d).join(text, "account_id").withColumn("final_pred", U.either(F.col("text_pred"), F.col("guess")))
 
 
-TEXT_VOTE = f"CASE WHEN {CHANCE}>(SELECT avg(label) FROM docs WHERE split='train') THEN 1 ELSE 0 END"
+TEXT_VOTE = f"CASE WHEN {CHANCE}>(SELECT 1/(1+exp(-b)) FROM b0) THEN 1 ELSE 0 END"
 view("text_votes", _steps_sql(f"doc_id AS account_id, {TEXT_VOTE} AS text_pred"))
 view("fused", "SELECT b.*, text_pred, greatest(b.guess, text_pred) AS final_pred FROM behave_out b JOIN text_votes USING(account_id)", "behave_out", "text_votes")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.columns import rnd
 from ..operators import assembly as A, explain as X, scoring as S
+from ..session import cut_lineage
 from ..sources import applicants as P, views
 from .registry import query
 from .sqlscore import CARD, SCORE, SIGMOID, clip, num, woe_case
@@ -201,8 +202,8 @@ def agg_describe(spark, d):
     )
 
 
-# Explanations. The background means come from the applicants themselves.
-view("means", "SELECT " + ", ".join(f"avg({f}_woe) AS {f}_mean" for f in V.FEATURES) + " FROM woe5", "woe5")
+# Explanations. The background means come from the training part of the applicants.
+view("means", "SELECT " + ", ".join(f"avg({f}_woe) AS {f}_mean" for f in V.FEATURES) + " FROM woe5 WHERE CAST('0x'||substr(md5(CAST(account_id AS VARCHAR)),1,8) AS BIGINT)%10<8", "woe5")
 view("shap", "SELECT account_id, " + ", ".join(
     f"{num(CARD.betas[f])}*({f}_woe-(SELECT {f}_mean FROM means)) AS {f}_shap" for f in V.FEATURES) + " FROM woe5", "woe5", "means")
 
@@ -210,8 +211,8 @@ view("shap", "SELECT account_id, " + ", ".join(
 def _explained(spark, d):
     from dataclasses import replace
 
-    scored = _scored(spark, d)
-    model = replace(MODEL, mean_woe=X.mean_woe(scored, MODEL))
+    scored = cut_lineage(_scored(spark, d))  # the features are built once, for the means and for the output
+    model = replace(MODEL, mean_woe=X.mean_woe(scored.where(P.split_of("account_id") == "train"), MODEL))
     return X.with_shap(scored, model), model
 
 
