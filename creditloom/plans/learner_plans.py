@@ -53,7 +53,7 @@ b{k + 1} AS (SELECT b-rate*(SELECT sum(e) FROM e{k}) AS b FROM b{k}, n)""")
         last = k + 1
     return f"""WITH docs AS (SELECT doc_id, text, 1-quality AS label, CASE WHEN CAST('0x'||substr(md5(CAST(doc_id AS VARCHAR)),1,8) AS BIGINT)%10<8 THEN 'train' ELSE 'test' END AS split FROM documents JOIN labels USING(doc_id)),
 n AS (SELECT count(*)::DOUBLE AS n, 1/(count(*)/2e0+1) AS rate FROM docs WHERE split='train'),
-tf AS (SELECT doc_id, split, term, count(*) AS tf FROM (SELECT doc_id, split, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM docs) WHERE term NOT IN {STOP} GROUP BY ALL),
+tf AS (SELECT doc_id, split, term, count(*) AS tf FROM (SELECT doc_id, split, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM docs) WHERE term NOT IN {STOP} GROUP BY ALL),
 idf AS (SELECT term, ln((1+any_value(n))/(1+count(*)))+1 AS idf FROM tf, n WHERE split='train' GROUP BY term),
 entries AS (SELECT doc_id, term, v/sqrt(sum(v*v) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, term, tf*idf AS v FROM tf JOIN idf USING(term))),
 w0 AS (SELECT term, 0e0 AS w FROM idf), b0 AS (SELECT ln((sum(label)+0.5e0)/(sum(1-label)+0.5e0)) AS b FROM docs WHERE split='train'),{",".join(parts)}
