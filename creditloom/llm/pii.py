@@ -11,12 +11,17 @@ A bank account may be followed by more capitals or digits, so each end of a word
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,found:string>>"
+ONE_SPAN = "struct<start:int,end:int,found:string>"
+SPAN = f"array<{ONE_SPAN}>"
+BLOCK = 64  # spans whose running totals grow one array
+CHUNK_BITS = 10
+CHUNK = 1 << CHUNK_BITS  # characters; an even cut that positions are looked up in
 CONTEXT_BEFORE, CONTEXT_AFTER, CONTEXT_STEP = 40, 25, 0.15
 ADDED_AT = 0.5  # score from which the method's own kinds are reported
 
@@ -121,50 +126,124 @@ def account_size(run: Column) -> Column:
     return F.aggregate(F.split(run, " "), start, step, lambda acc: acc["size"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def in_blocks(rows: Column) -> Column:
+    """An array cut into arrays of BLOCK entries, one at least."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(BLOCK)), lambda at: F.slice(rows, at, BLOCK))
+
+
+def laid_out(steps: Column) -> Column:
+    """Spans of (gap, found, size, move) entries: each starts a gap after the entry before, which covers ``move`` characters.
+
+    Running totals are taken inside blocks, then over blocks: growing one long array entry by entry would copy it each time.
+    """
+    none = F.struct(F.array().cast(SPAN).alias("spans"), F.lit(0).alias("at"))
+
+    def inside(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["found"].alias("found"))
+        return F.struct(F.array_append(acc["spans"], span).cast(SPAN).alias("spans"), (start + x["move"]).alias("at"))
+
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(block["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["found"].alias("found")))
+
+    def joined_up(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + b["at"]))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), moved))
+
+    def spans_of(rows: Column) -> Column:
+        per_block = F.transform(in_blocks(rows), lambda block: F.aggregate(block, none, inside))
+        few = F.aggregate(rows, none, inside, lambda acc: acc["spans"])
+        return F.when(F.size(rows) <= BLOCK, few).otherwise(let(per_block, joined_up).cast(SPAN))
+
+    return let(steps, spans_of)
+
+
+def apart(spans: Column) -> Column:
+    """Of spans by start, those that do not start inside the one taken before."""
+    none = F.array().cast(SPAN)
+
+    def inside(acc: Column, s: Column) -> Column:
+        fits = s["start"] >= acc["done"]
+        spans = F.when(fits, F.array_append(acc["spans"], s).cast(SPAN)).otherwise(acc["spans"])
+        return F.struct(spans.alias("spans"), F.when(fits, s["end"]).otherwise(acc["done"]).alias("done"))
+
+    def over(acc: Column, block: Column) -> Column:
+        taken = F.aggregate(block, F.struct(none.alias("spans"), acc["done"].alias("done")), inside)
+        return let(taken, lambda t: F.struct(F.array_append(acc["blocks"], t["spans"]).cast(f"array<{SPAN}>").alias("blocks"), t["done"].alias("done")))
+
+    first = F.struct(F.array().cast(f"array<{SPAN}>").alias("blocks"), F.lit(0).alias("done"))
+    return let(spans, lambda rows: F.aggregate(in_blocks(rows), first, over, lambda acc: F.flatten(acc["blocks"])))
+
+
+def groups_of(spans: Column) -> Column:
+    """Spans by start, each one that overlaps the ones before made one with them; the first gives ``found``."""
+    none = F.array().cast(SPAN)
+    empty = F.lit(None).cast(ONE_SPAN)
+
+    def inside(acc: Column, s: Column) -> Column:
+        last = acc["last"]
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["found"].alias("found")).cast(ONE_SPAN)
+        new = last.isNull() | (s["start"] >= last["end"])
+        done = F.when(new & last.isNotNull(), F.array_append(acc["spans"], last).cast(SPAN)).otherwise(acc["spans"])
+        return F.struct(done.alias("spans"), F.when(new, s.cast(ONE_SPAN)).otherwise(wider).alias("last"))
+
+    def over(acc: Column, block: Column) -> Column:
+        taken = F.aggregate(block, F.struct(none.alias("spans"), acc["last"].alias("last")), inside)
+        return let(taken, lambda t: F.struct(F.array_append(acc["blocks"], t["spans"]).cast(f"array<{SPAN}>").alias("blocks"), t["last"].alias("last")))
+
+    def closed(acc: Column) -> Column:
+        return F.flatten(F.array_append(acc["blocks"], F.array(acc["last"])).cast(f"array<{SPAN}>"))
+
+    first = F.struct(F.array().cast(f"array<{SPAN}>").alias("blocks"), empty.alias("last"))
+    return let(spans, lambda rows: F.aggregate(in_blocks(rows), first, over, closed))
+
+
 def accounts(text: Column, kind: Kind) -> Column:
     """Bank accounts with their positions; each start is looked at by itself, and none starts inside the one before.
 
     The pattern takes the first four characters and looks ahead at the run, up to the character after it.
     """
     runs = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))
-    gaps = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(runs))
-    steps = F.zip_with(gaps, runs, lambda g, r: F.struct(F.char_length(g).alias("gap"), r.alias("run"), account_size(r).alias("size")))
-    none = F.array().cast(SPAN)
+    gaps = F.split(text, kind.pattern, -1)
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(runs)), runs, lambda g, r: let(account_size(r), lambda n: step_of(g, F.substring(r, F.lit(1), n), n, F.lit(4))))
+    found = F.filter(laid_out(steps), lambda s: s["end"] > s["start"])
+    return F.when(hinted(text, kind), apart(found)).otherwise(F.array().cast(SPAN))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        span = F.struct(start.alias("start"), end.alias("end"), F.substring(x["run"], F.lit(1), x["size"]).alias("found"))
-        fits = (x["size"] > 0) & (start >= acc["done"])
-        spans = F.when(fits, F.array_append(acc["spans"], span).cast(SPAN)).otherwise(acc["spans"])
-        return F.struct(spans.alias("spans"), (start + 4).alias("at"), F.when(fits, end).otherwise(acc["done"]).alias("done"))
 
-    first = F.struct(none.alias("spans"), F.lit(0).alias("at"), F.lit(0).alias("done"))
-    return F.when(hinted(text, kind), F.aggregate(steps, first, step, lambda acc: acc["spans"])).otherwise(none)
+def step_of(gap: Column, found: Column, size: Column, move: Column) -> Column:
+    return F.struct(F.char_length(gap).alias("gap"), found.alias("found"), size.alias("size"), move.alias("move"))
 
 
 def proposed(text: Column, kind: Kind) -> Column:
     """All matches of a kind's pattern with their positions."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("found")))
-    none = F.array().cast(SPAN)
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: let(F.char_length(m), lambda n: step_of(g, m, n, n)))
+    return F.when(hinted(text, kind), laid_out(steps)).otherwise(F.array().cast(SPAN))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(F.array_append(acc["spans"], span).cast(SPAN).alias("spans"), end.alias("at"))
 
-    all_spans = F.aggregate(steps, F.struct(none.alias("spans"), F.lit(0).alias("at")), step, lambda acc: acc["spans"])
-    return F.when(hinted(text, kind), all_spans).otherwise(none)
+def chunks_of(text: Column) -> Column:
+    """A text as an array of CHUNK characters each, the last one shorter."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.octet_length(text) <= CHUNK, F.array(text)).otherwise(cut)
 
 
-def score_of(text: Column, kind: Kind, span: Column) -> Column:
+def stretch(chunks: Column, begin: Column, end: Column) -> Column:
+    """Characters begin to end of a text cut by ``chunks_of``, without walking the text from its start."""
+    first = F.shiftright(begin, CHUNK_BITS)
+    part = F.array_join(F.slice(chunks, first + 1, F.shiftright(end, CHUNK_BITS) - first + 1), "")
+    return F.substring(part, begin - F.shiftleft(first, CHUNK_BITS) + 1, F.greatest(end - begin, F.lit(0)))
+
+
+def score_of(chunks: Column, kind: Kind, span: Column) -> Column:
     """The kind's score, moved up by a word for it nearby and down by one against it."""
-    begin = F.greatest(span["start"] - CONTEXT_BEFORE, F.lit(0))
-    before = F.lower(F.substring(text, begin + 1, span["start"] - begin))
-    after = F.lower(F.substring(text, span["end"] + 1, F.lit(CONTEXT_AFTER)))
+    before = F.lower(stretch(chunks, F.greatest(span["start"] - CONTEXT_BEFORE, F.lit(0)), span["start"]))
+    after = F.lower(stretch(chunks, span["end"], span["end"] + CONTEXT_AFTER))
     near = F.concat(before, F.lit(" "), after)
 
     def has(words: tuple[str, ...]) -> Column:
@@ -175,9 +254,9 @@ def score_of(text: Column, kind: Kind, span: Column) -> Column:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with pii_spans: array of (start, rank, kind, end, score, base) by start, then kind; and pii_text, the text read.
+    """``docs`` with pii_spans: array of (start, rank, kind, end, score, base) by start, then kind; and pii_text and pii_chunks, the text read.
 
-    NULL text counts as empty; every row is read by itself, so repeated rows repeat.  Columns of those two names are replaced.
+    NULL text counts as empty; every row is read by itself, so repeated rows repeat.  Columns of those three names are replaced.
     """
     found = docs.withColumn("pii_text", F.coalesce("text", F.lit("")))
     names = [f"_pii_{k.name}" for k in KINDS]
@@ -190,6 +269,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
     found = found.withColumns({n: valid(k) for n, k in zip(names, KINDS, strict=True)})
 
+    any_span = F.greatest(*[F.size(n) for n in names]) > 0
+    found = found.withColumn("pii_chunks", F.when(any_span, chunks_of(text)).otherwise(F.array(F.lit(""))))
+
     def full(n: str, rank: int, k: Kind) -> Column:
         return F.transform(
             F.col(n),
@@ -198,7 +280,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 F.lit(rank).alias("rank"),
                 F.lit(k.name).alias("kind"),
                 s["end"].alias("end"),
-                score_of(text, k, s).alias("score"),
+                score_of(F.col("pii_chunks"), k, s).alias("score"),
                 F.lit(k.base).alias("base"),
             ),
         )
@@ -231,17 +313,16 @@ def redact(docs: DataFrame) -> DataFrame:
 
     The columns stay as they are; n_chars is counted anew where there is one.  NULL texts stay NULL.
     """
-    text = F.col("pii_text")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    chunks, spans = F.col("pii_chunks"), F.col("pii_spans")
+    length = F.char_length("text")
+    bare = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("found")))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        masked = F.concat(acc["done"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(apart, masked).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def pieces(taken: Column) -> Column:
+        """Each mask and the text up to the next one."""
+        until = F.concat(F.slice(F.transform(taken, lambda s: s["start"]), 2, F.size(taken)), F.array(length))
+        return F.zip_with(taken, until, lambda s, end: F.concat(s["found"], stretch(chunks, s["end"], end)))
 
-    rest = lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.char_length(text)))
-    masked = F.aggregate("pii_spans", start, step, rest)
+    masked = let(groups_of(bare), lambda g: F.concat(stretch(chunks, F.lit(0), g[0]["start"]), F.array_join(pieces(g), "")))
     out = find_spans(docs).withColumn("text", F.when(F.col("text").isNull() | (F.size("pii_spans") == 0), F.col("text")).otherwise(masked))
     if "n_chars" in docs.columns:
         changed = F.when(F.size("pii_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

@@ -19,7 +19,7 @@ ODD = [
     (9, "!!! ... 123"),
 ]
 CLASHES = (
-    "node sig meta root cluster rid bucket length piece size shard slot part virtual_slot pii_text pii_spans found "
+    "node sig meta root cluster rid bucket length piece size shard slot part virtual_slot pii_text pii_spans pii_chunks found "
     "label score place row _row key grade shingles n start kind"
 ).split()
 

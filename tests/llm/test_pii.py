@@ -99,6 +99,27 @@ def test_masks(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_many_spans_in_one_text(spark):
+    account, n = "DE89370400440532013000", 4000
+    text = "".join(f"é write u{i}@a.bc or {account} Now {i % 256}.1.2.3\n" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 5000 + " a@b.co " + "y" * 5000)], "doc_id long, text string")
+    compare(pii.report(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
+    row = pii.report(docs.where("doc_id = 1")).first()
+    assert row.spans.count("iban") == n
+    scores = dict(zip(row.spans.split(","), row.scores.split(","), strict=True))
+    low = text.lower()
+    for k in range(0, 3 * n, 611):
+        span = row.spans.split(",")[k]
+        kind, a, b = span.split(":")
+        near = low[max(int(a) - 40, 0) : int(a)] + " " + low[int(b) : int(b) + 25]
+        rule = next(x for x in pii.KINDS if x.name == kind)
+        hit = [bool(words) and re.search(r"\b(?:" + "|".join(words) + ")", near) is not None for words in (rule.words, rule.against)]
+        assert abs(float(scores[span]) - min(1.0, rule.score + 0.15 * hit[0] - 0.15 * hit[1])) < 0.006
+    masked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert masked[1] == "é write [EMAIL] or [IBAN] Now [IP]\n" * n
+    assert masked[2] == "x" * 5000 + " [EMAIL] " + "y" * 5000
+
+
 def test_odd_and_no_rows(spark):
     docs = odd_docs(spark)
     assert len(pii.report(docs).collect()) == 11
