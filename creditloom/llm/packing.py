@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -29,6 +30,10 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.02, 0.02)
     rule: str = "norm"  # or "dot"
 
+    def longest(self) -> int:
+        """Tokens of the longest piece that fits an empty sequence."""
+        return self.tokens if self.attention is None else min(self.tokens, math.isqrt(self.attention))
+
     def vector(self) -> np.ndarray:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], float)
 
@@ -143,15 +148,17 @@ def pack_documents(
 
     ``docs`` needs doc_id and text; other columns are ignored.  A document is its ids and one separator, so NULL, empty
     and blank texts are the separator alone; each row is packed, repeated ones too.  Documents beyond the token
-    capacity are cut into full pieces and a last one.  Full pieces are sequences of their own; the others are dealt at
+    capacity, or beyond the length whose square the attention capacity holds, are cut into full pieces and a last one.
+    Pieces that fill the token capacity are sequences of their own; the others are dealt at
     random over buckets of about ``bucket_pieces`` (a hash of the row, so that no key can be hot) and packed
     there.  A bucket leaves a few bins partly empty, far below one in a hundred.
     """
     capacity = capacity or Capacity()
-    if capacity.attention is not None and capacity.attention < capacity.tokens**2:
-        capacity = Capacity(min(capacity.tokens, int(capacity.attention**0.5)), capacity.documents, capacity.attention, capacity.weights, capacity.rule)
+    longest = capacity.longest()
+    if longest < 1:
+        raise ValueError("the capacities hold no token")
     schema = PIECE + (", ids binary" if with_ids else "")
-    pieces = docs.select("doc_id", "text").mapInArrow(pieces_of(tokenizer, capacity.tokens, separator, with_ids), schema)
+    pieces = docs.select("doc_id", "text").mapInArrow(pieces_of(tokenizer, longest, separator, with_ids), schema)
     pieces = written(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     columns = [c for c in pieces.columns if c != "rid"]
     short = F.col("length") < capacity.tokens

@@ -83,6 +83,22 @@ def test_all_three_capacities_hold(rule):
         assert sorted(place[where == b]) == list(range(len(own)))
 
 
+def test_attention_cuts_pieces_not_sequences(spark):
+    docs = spark.createDataFrame([(i, "one two three " * 40) for i in range(48)] + [(99, "word " * 3000)], "doc_id long, text string")
+    n = len(ids_of("one two three " * 40)) + 1
+    quarter = Capacity(attention=2048**2 // 4)
+    rows = pack_documents(docs, word_tokenizer(), quarter).collect()
+    assert max(r.length for r in rows) == 1024 and sum(r.length for r in rows if r.doc_id == 99) == 3001
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append(r.length)
+    assert all(sum(x) <= 2048 and sum(v * v for v in x) <= 2048**2 // 4 for x in held.values())
+    short = pack_documents(docs.where("doc_id < 99"), word_tokenizer(), quarter)
+    assert short.select("sequence_id").distinct().count() == math.ceil(48 / (2048 // n))
+    with pytest.raises(ValueError):
+        pack_documents(docs, word_tokenizer(), Capacity(attention=0))
+
+
 def test_an_item_beyond_the_capacities_is_an_error():
     with pytest.raises(ValueError):
         pack(np.array([10, 2000]), Capacity(tokens=1000))
