@@ -49,9 +49,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
-    placed, at = shard_documents(table(spark, folder, "documents"), shards=24)
-    at.save(spark, fresh_folder(spark, "slot-map"))
-    return placed.withColumn("map_version", F.lit(at.version))
+    placed, maps = shard_documents(table(spark, folder, "documents"), shards=24)
+    stored = fresh_folder(spark, "slot-map")
+    for at in maps:
+        at.save(spark, stored)
+    return placed.withColumns({"map_version": F.lit(maps[-2].version), "next_version": F.lit(maps[-1].version)})
 
 
 @query
