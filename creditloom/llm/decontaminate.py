@@ -3,7 +3,8 @@
 An occurrence of an m-character item with at most k edits keeps at least m + 1 - q (k + 1) of its q-grams, on
 diagonals (place in the text less place in the item) that lie at most k apart.  Diagonals are counted
 in bands of 2 (k + 1) that overlap by half, so one band sees all of them.  Bands below the bound are dropped;
-the others are verified by an edit-distance alignment inside the band.
+the others are verified by an edit-distance alignment inside the band.  q is 8, and less for items so short that
+8-grams would leave no bound: then m // (k + 1), so that items of any length keep their whole budget of edits.
 
 Texts and items are compared in lower case with white space runs as one blank; positions are code
 points of the original text, ends exclusive.
@@ -11,12 +12,15 @@ points of the original text, ends exclusive.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .textbatch import mix, powers
 
 Q = 8
@@ -113,6 +117,11 @@ def exact(item, text, begin: int, end: int) -> int:
     return begin + at // 4 if at >= 0 else -1
 
 
+def gram_length(size: int, share: float) -> int:
+    """Length of the q-grams for an item: Q, or as long as one of them survives the item's budget of edits."""
+    return max(1, min(Q, size // (int(size * share) + 1)))
+
+
 @dataclass
 class ItemIndex:
     """q-grams of the items of one pass, with a bit table that most q-grams of a text fail."""
@@ -127,17 +136,19 @@ class ItemIndex:
     place: np.ndarray
     bits: np.ndarray
     shift: int
+    q: int = Q
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], share: float, q: int = Q) -> ItemIndex:
+        """The index of those items whose q-gram length is ``q``."""
         ids, codes = [], []
         for name, text in items:
             code, _ = normal((text or "").strip())
-            if len(code) >= q:
+            if len(code) and gram_length(len(code), share) == q:
                 ids.append(name)
                 codes.append(code)
         size = np.array([len(c) for c in codes], np.int64)
-        budget = np.minimum((size * share).astype(np.int64), size // q - 1)  # one shared q-gram at least
+        budget = (size * share).astype(np.int64)
         found = [grams(c, q) for c in codes]
         owner = np.repeat(np.arange(len(codes)), [len(g) for g in found])
         place = np.concatenate([np.arange(len(g)) for g in found]) if found else np.zeros(0, np.int64)
@@ -148,12 +159,12 @@ class ItemIndex:
         log = min(24, max(10, int(len(unique) * 32).bit_length()))
         bits = np.zeros(1 << log, bool)
         bits[(unique >> np.uint64(64 - log)).astype(np.int64)] = True
-        return cls(ids, codes, budget, size + 1 - q * (budget + 1), unique, np.append(begin, len(gram)), owner, place, bits, 64 - log)
+        return cls(ids, codes, budget, size + 1 - q * (budget + 1), unique, np.append(begin, len(gram)), owner, place, bits, 64 - log, q)
 
     def regions(self, code):
         """Item, lowest and highest diagonal of the bands of a text that reach their item's bound."""
         none = np.zeros(0, np.int64)
-        hashed = grams(code)
+        hashed = grams(code, self.q)
         at = np.flatnonzero(self.bits.take((hashed >> np.uint64(self.shift)).astype(np.int64)))
         if not len(at) or not len(self.gram):
             return none, none, none
@@ -173,6 +184,14 @@ class ItemIndex:
         item, low = item[good], band[good] * (self.budget[item[good]] + 1) - (1 << 31)
         return item, low, low + 2 * (self.budget[item] + 1) - 1
 
+    def whole(self, item: int, code, start: int, end: int) -> bool:
+        """An item of fewer than Q characters counts as whole words only: no letter or digit goes on beyond its own at an edge."""
+        if len(self.codes[item]) >= Q:
+            return True
+        first, last = self.codes[item][0], self.codes[item][-1]
+        before = start > 0 and chr(first).isalnum() and chr(code[start - 1]).isalnum()
+        return not (before or (end < len(code) and chr(last).isalnum() and chr(code[end]).isalnum()))
+
     def search(self, forms: list[tuple]) -> list[list[tuple[int, int, int, int]]]:
         """All occurrences in each text's normal form: item, start, end, edits, one for each stretch of a text.
 
@@ -198,12 +217,12 @@ class ItemIndex:
             start = end - length if again <= edits else max(0, end - len(job[0]))
             best[f][i].append((edits, start, end))
         out = []
-        for (_, at), items in zip(forms, best, strict=True):
+        for (code, at), items in zip(forms, best, strict=True):
             rows = []
             for i, found in items.items():
                 taken: list[tuple[int, int]] = []
                 for edits, start, end in sorted(found):
-                    if start < end and all(end <= s or start >= e for s, e in taken):
+                    if start < end and self.whole(i, code, start, end) and all(end <= s or start >= e for s, e in taken):
                         taken.append((start, end))
                         rows.append((self.ids[i], int(at[start]), int(at[end - 1]) + 1, edits))
             out.append(sorted(rows, key=lambda x: (x[1], x[0])))
@@ -244,36 +263,63 @@ def searched(index: ItemIndex, texts):
     return pa.array([[dict(zip(names, x, strict=True)) for x in row] for row in out], kind)
 
 
-def _searcher(index: ItemIndex):
+def _searcher(rows: list[tuple[int, str]], share: float):
+    """Column function: the occurrences of one part's items in a text, by start."""
     import pyarrow as pa
     from pyspark.sql.functions import arrow_udf
 
+    indexes = [ItemIndex.build(rows, share, q) for q in range(1, Q + 1)]
+    indexes = [x for x in indexes if x.ids]
+
     def run(texts):
-        return searched(index, texts)
+        found = [searched(x, texts) for x in indexes]
+        if len(found) == 1:
+            return found[0]
+        merged = [sorted((x for f in found for x in f[i].as_py()), key=lambda x: (x["start"], x["item"])) for i in range(len(texts))]
+        kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
+        return pa.array(merged, kind)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return arrow_udf(run, FOUND)
 
 
-def occurrences(benchmark: DataFrame, text: Column, share: float = EDIT_SHARE) -> Column:
-    """Array of (item, start, end, edits) of the benchmark's items in a text, by start.
-
-    ``benchmark`` needs item_id and text.  Items of fewer than Q characters, NULL or empty ones are found nowhere; repeated
-    items are found each.  NULL and empty texts hold nothing.  Items go to the tasks in parts of ITEM_CHARS characters,
-    so what a task holds is bounded however large the benchmark is.
-    """
+def parts_of(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many parts of about ITEM_CHARS characters the items make, and the items of one part after the other."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     parts = max(1, -(-total // ITEM_CHARS))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    found = []
-    for p in range(parts):
-        rows = sorted((r.item_id if r.item_id is not None else -1, r.text) for r in items.where(part == p).collect())
-        found.append(_searcher(ItemIndex.build(rows, share))(text))
-    return F.concat(*found) if parts > 1 else found[0]
+    if parts > 1:
+        part = F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(parts))  # repeats spread
+        items = written(items.withColumn("part", part), "items")
+
+    def rows(part: int) -> list[tuple[int, str]]:
+        own = items.where(F.col("part") == part) if parts > 1 else items
+        return sorted((r.item_id if r.item_id is not None else -1, r.text) for r in own.collect())
+
+    return parts, (rows(p) for p in range(parts))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """doc_id, item_id, start, end, edits: one row for each occurrence; documents without any give no row."""
-    found = docs.select("doc_id", F.explode(occurrences(benchmark, F.col("text"), share)).alias("x"))
-    return found.select("doc_id", F.col("x.item").alias("item_id"), "x.start", "x.end", "x.edits")
+    """doc_id, item_id, start, end, edits: one row for each occurrence; documents without any give no row.
+
+    ``benchmark`` needs item_id and text.  NULL, empty and blank items are found nowhere; items of fewer than Q characters
+    only as whole words; repeated items are found each.  NULL and empty texts hold nothing.  Items go to the tasks in parts
+    of ITEM_CHARS characters, one pass over the documents for each, written before the next part is read: the driver
+    and a task hold one part, however large the benchmark is.
+    """
+    parts, each = parts_of(benchmark)
+    passes = []
+    for rows in each:
+        found = docs.select("doc_id", F.explode(_searcher(rows, share)(F.col("text"))).alias("x"))
+        found = found.select("doc_id", F.col("x.item").alias("item_id"), "x.start", "x.end", "x.edits")
+        passes.append(written(found, "hits") if parts > 1 else found)
+    return functools.reduce(DataFrame.unionByName, passes)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+    """``docs`` without those in which an item occurs, by the same passes; each works on what the one before kept."""
+    parts, each = parts_of(benchmark)
+    for rows in each:
+        kept = docs.where(F.size(_searcher(rows, share)(F.col("text"))) == 0)
+        docs = written(kept, "clean") if parts > 1 else kept
+    return docs

@@ -10,7 +10,7 @@ from creditloom.sources.tables import table
 
 from . import langid, pii
 from .common import if_small, written
-from .decontaminate import occurrences
+from .decontaminate import clean
 from .jaccard import BROADCAST_ROWS, JaccardJoin
 from .packing import pack_documents
 from .queries import word_tokenizer
@@ -70,8 +70,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
-    found = docs.withColumn("_leaks", occurrences(table(spark, sf_dir, "benchmark"), F.col("text")))
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,40 @@ def test_many_parts_give_the_same(spark, monkeypatch):
     one = sorted(d.contaminated(docs, items).collect())
     monkeypatch.setattr(d, "ITEM_CHARS", 3000)
     assert sorted(d.contaminated(docs, items).collect()) == one
+    hit = {r.doc_id for r in one}
+    assert sorted(r.doc_id for r in d.clean(docs, items).collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id not in hit)
+
+
+def test_short_items(spark):
+    """Items of every length up to 40, with as many edits as their budget, against a full search."""
+    import re
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = {m: "".join(rng.choice(letters) for _ in range(m)) for m in range(2, 41)}
+    texts = []
+    for m, item in items.items():
+        for edits in {0, m // 10, m // 10 + 1}:
+            own = list(item)
+            for k in rng.sample(range(m), edits):
+                own[k] = rng.choice("0123456789")
+            texts.append(f"0 {''.join(own)} 9")
+        texts.append(f"00{item}99")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(sorted(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.edits for r in d.contaminated(docs, bench).collect()}
+    want = {}
+    for k, text in enumerate(texts):
+        for m, item in items.items():
+            if m < 8:
+                if re.search(rf"\b{item}\b", text):
+                    want[k, m] = 0
+            elif (least := least_edits(item, text)) <= m // 10:
+                want[k, m] = least
+    assert found == want and {m for _, m in want} == set(items)
+    rows = spark.createDataFrame([(1, "The cat\n SAT on it."), (2, "bobcat sat"), (3, "a+b, a+ b"), (4, "cat  sat")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "cat sat"), (2, "a+"), (3, " ")], "item_id long, text string")
+    assert sorted(tuple(r) for r in d.contaminated(rows, bench).collect()) == [(1, 1, 4, 12, 0), (3, 2, 0, 2, 0), (3, 2, 5, 7, 0), (4, 1, 0, 8, 0)]
 
 
 def test_odd_rows(spark):
