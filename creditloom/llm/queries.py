@@ -20,7 +20,7 @@ from .separators import count_tokens, write_token_files
 from .slots import shard_documents
 from .vptree import nearest
 
-END_OF_TEXT = 49407  # of word_bpe_49k.json
+END_OF_TEXT = 65535  # beyond the vocabulary: its own end id is also what a literal <|endoftext|> in a text gives
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

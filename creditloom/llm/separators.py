@@ -32,9 +32,9 @@ def opened(uri: str):
 
 
 def token_writer(folder: str, tokenizer: str, end: int, width: int):
-    """Task function: the tokens of a partition's texts as one flat file, named after the partition.
+    """Task function: the tokens of a partition's texts as one flat file, named after the partition and the attempt.
 
-    A task that runs twice writes the same bytes under the same name; the file appears when it is complete.
+    A task that runs again writes a file of its own; only files named by the rows that come out count.
     """
     import pyarrow as pa
 
@@ -46,17 +46,17 @@ def token_writer(folder: str, tokenizer: str, end: int, width: int):
         system, path = opened(folder)
         system.create_dir(path, recursive=True)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}.bin"
-        temporary = f"{path}/.{name}.{task.taskAttemptId()}"
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         encode, size = encoder(tokenizer), 0
-        with system.open_output_stream(temporary) as out:
+        with system.open_output_stream(f"{path}/{name}") as out:
             for batch in batches:
                 for text in batch.column(0).cast(pa.large_string()).cast(pa.large_binary()):
                     ids = np.frombuffer(encode.ids(text.as_py() or b""), "<u4")
+                    if (ids == end).any():
+                        raise ValueError(f"token {end} occurs in a text and cannot end documents")
                     data = ids.astype(kind).tobytes() + mark
                     out.write(data)
                     size += len(data)
-        system.move(temporary, f"{path}/{name}")
         yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64())], names=["file", "bytes"])
 
     return run
@@ -65,7 +65,8 @@ def token_writer(folder: str, tokenizer: str, end: int, width: int):
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int, width: int = 2) -> DataFrame:
     """Flat token files of the texts of ``docs``, one for each partition: file, bytes.
 
-    Each row is its ids and the end id; NULL, empty and blank texts are the end id alone.
+    Each row is its ids and the end id; NULL, empty and blank texts are the end id alone.  The end id must be one that no
+    text gives, such as one beyond the vocabulary; a text that holds it is an error, never two documents.
     """
     files = docs.select("text").mapInArrow(token_writer(folder, tokenizer, end, width), FILES)
     return written(files.where("bytes > 0"), "token-files")
@@ -145,11 +146,13 @@ def count_tokens(files: DataFrame, end: int, width: int = 2, block_tokens: int =
     blocks = blocks.repartition("file", "block")
     found = written(blocks.mapInArrow(scanner(end, width), BLOCKS), "blocks")
     before = "OVER (PARTITION BY file ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    scanned = found.select(
-        "*",
+    scanned = found.select(  # numbers only: the places of the separators stay out of the window
+        "file",
+        "block",
         F.expr(f"coalesce(sum(n_ends) {before}, 0)").alias("docs_before"),
         F.expr(f"coalesce(last(last, true) {before}, -1)").alias("last_end"),
         F.expr("lead(block) OVER (PARTITION BY file ORDER BY block) IS NULL").alias("is_last"),
     )
+    scanned = found.select("file", "block", "first", "tokens", "ends").join(scanned, ["file", "block"])
     scanned = scanned.select("file", "first", "tokens", "ends", "docs_before", "last_end", "is_last")
     return scanned.mapInArrow(stitched, "file string, doc long, start long, n_tokens long, closed boolean")
