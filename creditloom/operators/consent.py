@@ -5,7 +5,8 @@ before.  Joining all uploads of a borrower with all sessions would pair them up
 quadratically, so both sides are laid on one time line instead, cut into short
 slots: every slot knows its own sessions and the last session of each slot in the
 hour before, and a window per (borrower, slot) carries the latest one forward.  A
-busy borrower spreads over many slots.
+busy borrower spreads over many slots, and a slot with more than its share of all
+rows over several pieces.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.vocab import CONSENT_MINUTES
+from . import segmented as G
 
 VALID_MICROS = CONSENT_MINUTES * 60 * 1_000_000
 SLOT_MINUTES = 5
@@ -28,7 +30,7 @@ def open_sessions(consents: DataFrame) -> DataFrame:
     return consents.where(F.col("consent_bank") & F.col("consent_dpdpa"))
 
 
-def match_uploads(uploads: DataFrame, consents: DataFrame) -> DataFrame:
+def match_uploads(uploads: DataFrame, consents: DataFrame, min_rows: int = G.MIN_ROWS) -> DataFrame:
     """Every upload with its session (or NULL), status and reason."""
     session = F.struct("session_id", "created_at", *FLAGS)
     none = lambda kind: F.lit(None).cast(kind)
@@ -49,8 +51,19 @@ def match_uploads(uploads: DataFrame, consents: DataFrame) -> DataFrame:
         F.lit(1).alias("kind"), F.col("upload_id").alias("seq"),
         none(marks.schema["session"].dataType).alias("session"), "upload_id", "doc_type",
     )
-    line = W.partitionBy("borrower_id", "slot").orderBy("at", "kind", "seq").rowsBetween(W.unboundedPreceding, 0)
-    timeline = marks.unionByName(sent).withColumn("session", F.last("session", ignorenulls=True).over(line))
+    slot, place = ["borrower_id", "slot"], ["at", "kind", "seq"]
+    timeline = G.with_pieces(marks.unionByName(sent), slot, place, min_rows)
+    piece = [*slot, G.PIECE]
+    session = F.when(F.col("kind") == 0, F.col("session"))
+    # Bounded by the number of pieces; a piece without sessions of its own has a start as well.
+    starts = timeline.where(F.col(G.PIECE) > 0).groupBy(*piece).agg(F.max_by(session, F.when(F.col("kind") == 0, F.struct(*place))).alias("end"))
+    starts = starts.select(
+        *piece, F.last("end", ignorenulls=True).over(W.partitionBy(*slot).orderBy(G.PIECE).rowsBetween(W.unboundedPreceding, -1)).alias("start")
+    )
+    line = W.partitionBy(*piece).orderBy(*place).rowsBetween(W.unboundedPreceding, 0)
+    timeline = timeline.join(F.broadcast(starts), piece, "left").withColumn(
+        "session", F.coalesce(F.last("session", ignorenulls=True).over(line), "start")
+    )
     fresh = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("session.created_at").cast("timestamp"))
     valid = F.when(fresh <= VALID_MICROS, F.col("session"))
     return with_verdict(

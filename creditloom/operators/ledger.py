@@ -3,7 +3,7 @@
 A single account may hold a large share of all rows, so nothing here puts the
 raw rows of one account into one task.  Rows are first rolled up per account and
 *day* (partial aggregation, spread over all tasks); whatever works per account
-afterwards sees at most one row per calendar day.
+afterwards sees at most one row per calendar day (the running balance: and per piece of a very large day).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.columns import cents, number, one_of_regex, ratio, rnd
 from ..functions.fields import parse_date
 from ..functions.vocab import EMI_KEYWORDS, SALARY_KEYWORDS
+from . import segmented as G
 
 MONEY = 100.0
 
@@ -45,36 +46,33 @@ def coerce_ledger(raw: DataFrame) -> DataFrame:
 _TYPED = {"txn_date", "amount", "txn_type", "narration", "closing_balance"}
 
 
-def with_running_balance(lines: DataFrame, opening: DataFrame) -> DataFrame:
+def with_running_balance(lines: DataFrame, opening: DataFrame, min_rows: int = G.MIN_ROWS) -> DataFrame:
     """closing_balance = opening + signed amounts up to and including each row.
 
-    Prefix sums in two steps: totals per account and day give each day its
-    starting balance, then a window inside (account, day) finishes the sum.
+    Prefix sums in three steps: totals per account, day and piece of a day give each piece its starting balance, then a
+    window inside the piece finishes the sum.  Only a day with more than its share of all rows has several pieces.
     """
     signed = F.when(F.col("txn_type") == "CR", cents("amount")).otherwise(-cents("amount"))
-    lines = lines.withColumn("signed", signed)
-    days = lines.groupBy("account_id", "txn_date").agg(F.sum("signed").alias("day_total"))
-    before = W.partitionBy("account_id").orderBy("txn_date").rowsBetween(
+    lines = G.with_pieces(lines.withColumn("signed", signed), ["account_id", "txn_date"], ["txn_id"], min_rows)
+    piece = ["account_id", "txn_date", G.PIECE]
+    totals = lines.groupBy(*piece).agg(F.sum("signed").alias("total"))
+    before = W.partitionBy("account_id").orderBy("txn_date", G.PIECE).rowsBetween(
         W.unboundedPreceding, -1
     )
     starts = (
-        days.withColumn("moved", F.coalesce(F.sum("day_total").over(before), F.lit(0)))
+        totals.withColumn("moved", F.coalesce(F.sum("total").over(before), F.lit(0)))
         .join(opening, "account_id")
-        .select(
-            "account_id",
-            "txn_date",
-            (cents("opening_balance") + F.col("moved")).alias("day_start"),
-        )
+        .select(*piece, (cents("opening_balance") + F.col("moved")).alias("start"))
     )
-    inside = W.partitionBy("account_id", "txn_date").orderBy("txn_id").rowsBetween(
+    inside = W.partitionBy(*piece).orderBy("txn_id").rowsBetween(
         W.unboundedPreceding, 0
     )
     return (
-        lines.join(starts, ["account_id", "txn_date"])
+        lines.join(starts, piece)
         .withColumn(
-            "closing_balance", (F.col("day_start") + F.sum("signed").over(inside)) / MONEY
+            "closing_balance", (F.col("start") + F.sum("signed").over(inside)) / MONEY
         )
-        .drop("signed", "day_start")
+        .drop("signed", "start", G.PIECE)
     )
 
 

@@ -4,10 +4,11 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from creditloom.operators import consent as C, extract as E, ledger as L, utility as U
+from creditloom.operators import consent as C, extract as E, ledger as L, segmented as G, utility as U
 from creditloom.sources import documents as D, views
 from creditloom.plans.learner_plans import stream_verdicts
 
@@ -39,6 +40,39 @@ def test_running_balance_of_a_hot_account(spark):
     assert np.allclose(both["closing_balance"], both["want"], atol=1e-6)
 
 
+def test_running_balance_of_a_hot_day(spark):
+    """One day of one account holds 30 % of all rows and is cut into pieces; each row gets the same balance."""
+    pdf = hot_lines()
+    pdf.loc[pdf.index[:1000], ["account_id", "txn_date"]] = [1, dt.date(2023, 3, 1)]
+    opening = pd.DataFrame({"account_id": range(1, 40), "opening_balance": 100.0})
+    lines, opening = spark.createDataFrame(pdf).repartition(5, "txn_id"), spark.createDataFrame(opening)
+    sizes = G.with_pieces(lines, ["account_id", "txn_date"], ["txn_id"], 50).groupBy("account_id", "txn_date", G.PIECE).count()
+    sizes = sizes.toPandas()
+    hot = sizes[(sizes["account_id"] == 1) & (sizes["txn_date"] == dt.date(2023, 3, 1))]
+    assert hot["count"].sum() > 900 and len(hot) > 8 and hot["count"].max() < 4 * 50 and hot[G.PIECE].min() == 1
+    assert set(sizes.loc[sizes["account_id"] != 1, G.PIECE]) == {0}
+    cut = {r.txn_id: r.closing_balance for r in L.with_running_balance(lines, opening, 50).collect()}
+    pdf = pdf.sort_values(["account_id", "txn_date", "txn_id"])
+    pdf["want"] = 100.0 + (pdf["amount"] * np.where(pdf["txn_type"] == "CR", 1, -1)).groupby(pdf["account_id"]).cumsum()
+    assert len(cut) == len(pdf)
+    assert np.allclose([cut[t] for t in pdf["txn_id"]], pdf["want"], atol=1e-6)
+    whole = {r.txn_id: r.closing_balance for r in L.with_running_balance(lines, opening).collect()}
+    assert whole == cut
+
+
+def test_pieces_of_odd_groups(spark):
+    """NULL keys and empty tables stay whole; equal places share a piece; NULL places come first."""
+    rows = [(None, i) for i in range(300)] + [(1, 7)] * 300 + [(2, i if i % 10 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, at int")
+    got = G.with_pieces(df, ["k"], ["at"], 20).toPandas()
+    assert len(got) == len(rows)
+    assert set(got.loc[got["k"].isna(), G.PIECE]) == {0}
+    assert got.loc[got["k"] == 1, G.PIECE].nunique() == 1
+    two = got[got["k"] == 2].sort_values("at", na_position="first")
+    assert two[G.PIECE].is_monotonic_increasing and two[G.PIECE].nunique() > 5
+    assert G.with_pieces(df.limit(0), ["k"], ["at"], 20).count() == 0
+
+
 def test_bank_features_of_a_hot_account(spark):
     pdf = hot_lines()
     pdf["closing_balance"] = pdf["amount"] - 500
@@ -72,13 +106,15 @@ def test_single_bill_has_no_stability(spark):
     assert got == {1: (0.5, None), 2: (0.5, 1.0)}
 
 
-def test_consent_of_a_busy_borrower(spark):
+@pytest.mark.parametrize("span, min_rows", [(20000, G.MIN_ROWS), (20000, 1), (9, 20)])
+def test_consent_of_a_busy_borrower(spark, span, min_rows):
+    """Also with all rows in two slots, which are cut into pieces."""
     base = dt.datetime(2024, 1, 1)
     rng = np.random.default_rng(9)
     consents = pd.DataFrame(
         {
             "session_id": range(200), "borrower_id": 1,
-            "created_at": [base + dt.timedelta(minutes=int(m)) for m in rng.integers(0, 20000, 200)],
+            "created_at": [base + dt.timedelta(minutes=int(m)) for m in rng.integers(0, span, 200)],
             "consent_bank": True, "consent_salary": rng.uniform(size=200) < 0.5, "consent_utility": True,
             "consent_dpdpa": rng.uniform(size=200) < 0.8,
         }
@@ -86,13 +122,13 @@ def test_consent_of_a_busy_borrower(spark):
     uploads = pd.DataFrame(
         {
             "upload_id": range(500), "borrower_id": 1,
-            "uploaded_at": [base + dt.timedelta(minutes=int(m)) for m in rng.integers(0, 20000, 500)],
+            "uploaded_at": [base + dt.timedelta(minutes=int(m)) for m in rng.integers(0, span, 500)],
             "doc_type": rng.choice(["bank", "salary", "utility"], 500),
         }
     )
     got = {
         r.upload_id: r.status
-        for r in C.match_uploads(spark.createDataFrame(uploads), spark.createDataFrame(consents)).collect()
+        for r in C.match_uploads(spark.createDataFrame(uploads), spark.createDataFrame(consents), min_rows).collect()
     }
     opened = consents[consents["consent_bank"] & consents["consent_dpdpa"]]
     for u in uploads.itertuples():
