@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import permutations
 
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.columns import rnd
-from ..operators import assembly as A, binning as B, metrics as M, model as L, ordered as O, scoring as S
+from ..operators import assembly as A, binning as B, explain as X, metrics as M, model as L, ordered as O, scoring as S
 from ..session import cut_lineage
-from ..sources import applicants as P
+from ..sources import applicants as P, artifacts as R, files
 from .registry import query
-from .sqlscore import CARD, num, woe_case
+from .sqlscore import CARD, SCORE, SIGMOID, clip, num, woe_case
 from .sqlviews import r, using, view
 
 MODEL = CARD
@@ -368,3 +369,32 @@ def lr_fit(spark, d):
     card = B.to_scorecard(B.fit_bins(df))
     intercept, betas = L.fit(S.with_woe(df, card), features=card.features)
     return L.coefficient_rows(spark, intercept, betas)
+
+
+# Published versions: the fixed card, and the same card with its intercept moved to the default rate of the training part.
+_SHAPS = ", ".join(f"{r(f'{num(CARD.betas[f])}*({f}_woe-(SELECT avg({f}_woe) FROM known))', 6)} AS {f}_shap" for f in V.FEATURES)
+_MOVED = "CASE version WHEN 2 THEN log_odds+(SELECT ln(avg(y)/(1-avg(y))) FROM known) ELSE log_odds END"
+
+
+@query("sink_artifact_versions", using("train", sql=f"""
+SELECT version, account_id, split, {", ".join(f"{r(f + '_woe', 6)} AS {f}_woe" for f in V.FEATURES)}, {r('pd', 6)} AS pd, {SCORE} AS risk_score, {_SHAPS}
+FROM (SELECT *, {clip(SIGMOID, V.PROB_EPS, 1 - V.PROB_EPS)} AS pd FROM (SELECT version, train.* REPLACE ({_MOVED} AS log_odds) FROM train, (VALUES (1), (2)) v(version)))""").replace(
+    "\nSELECT version, account_id", ", known AS (SELECT * FROM train WHERE split='train')\nSELECT version, account_id", 1))
+def sink_artifact_versions(spark, d):
+    """Two scoring runs published and loaded again by version: encoded features, PD, scores and SHAP values."""
+    rows = cut_lineage(P.train(spark, d))
+    known = rows.where(F.col("split") == "train")
+    first = replace(MODEL, mean_woe=X.mean_woe(S.with_woe(known, MODEL), MODEL))
+    rate = known.agg(F.avg("default")).first()[0]
+    second = replace(first, intercept=L.calibrated_intercept(first.intercept, rate))
+    store = R.ArtifactStore(spark, files.fresh_dir(spark, "artifacts"))
+    out = None
+    for card in (first, second):
+        version = store.publish(card, R.run_tables(rows, card))
+        woe, pd, scores, shap = (store.table(name, version) for name in ("woe", "pd", "scores", "shap"))
+        loaded = woe.join(pd, "account_id").join(scores, "account_id").join(shap, "account_id").select(
+            F.lit(version).alias("version"), "account_id", "split", *[rnd(F.col(f + "_woe"), 6).alias(f + "_woe") for f in V.FEATURES],
+            rnd(F.col("pd"), 6).alias("pd"), "risk_score", *[rnd(F.col(f + "_shap"), 6).alias(f + "_shap") for f in V.FEATURES],
+        )
+        out = loaded if out is None else out.unionByName(loaded)
+    return out

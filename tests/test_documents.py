@@ -1,5 +1,6 @@
 """Extraction on small hand-written documents."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from creditloom.operators import canonical as C, extract as E, routing as R
@@ -107,6 +108,33 @@ def test_scorecard_survives_saving(spark, tmp_path):
     assert files.load_scorecard(spark, str(tmp_path / "card")) == fixed_card()
 
 
+def test_artifact_versions(spark, tmp_path):
+    """Versions stay as published, the latest one is the default, and a run without its commit row is not seen."""
+    from dataclasses import replace
+
+    from creditloom.operators import learners as L
+    from creditloom.sources.applicants import fixed_card
+    from creditloom.sources.artifacts import ArtifactStore
+
+    store = ArtifactStore(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="nothing is published"):
+        store.card()
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), i % 2) for i in range(60)], "id int, a double, b double, y int")
+    data = L._assembled(df, ["a", "b"]).select("id", "features", "y")
+    model = L.boosted("y", rounds=3).fit(data)
+    one, two = fixed_card(), replace(fixed_card(), intercept=0.5)
+    assert store.publish(one, {"rows": df}, {"trees": model}) == 1
+    assert store.publish(two, {"rows": df.where("id < 10")}) == 2
+    (tmp_path / "store" / "version-3-left-behind").mkdir()
+    assert store.card() == two and store.card(1) == one
+    assert store.table("rows", 1).count() == 60 and store.table("rows").count() == 10
+    probs = lambda m: [(r.id, r.probability) for r in m.transform(data).orderBy("id").collect()]
+    assert probs(store.model("trees", 1)) == probs(model)
+    for wrong in (lambda: store.card(3), lambda: store.model("trees"), lambda: store.table("none", 1)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_prompts_hold_the_whole_text(spark):
     from creditloom.sources import documents as D
 
