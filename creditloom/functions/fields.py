@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from .columns import col, first_or_null
+from .columns import col, first_or_null, quoted, strings
 from .vocab import AMOUNT_PATTERN, DATE_PATTERNS, NUMBER_TOKEN_PATTERN, PAN_PATTERN
 
+#: Matches wherever one of DATE_PATTERNS does, and fails fast elsewhere (amounts included).
+DATE_HINT = r"\d(?:[/\-.]\d{1,2}[/\-.]\d\d|[\s\-]\s*[jfmasondJFMASOND])|\s\d{1,2},?\s+\d{4}"
+
 
 def find_date(c: str | Column) -> Column:
     """First match of the first pattern family that matches anywhere."""
     hits = [F.nullif(F.regexp_extract(col(c), p, 0), F.lit("")) for p in DATE_PATTERNS]
-    return F.when(has_digit(c), F.coalesce(*hits))
+    return F.when(has_digit(c) & col(c).rlike(DATE_HINT), F.coalesce(*hits))
 
 
 def has_digit(c: str | Column) -> Column:
@@ -22,14 +26,17 @@ def has_digit(c: str | Column) -> Column:
 
 
 def has_date(c: str | Column) -> Column:
-    return col(c).rlike("|".join(f"(?:{p})" for p in DATE_PATTERNS))
+    return has_digit(c) & col(c).rlike(DATE_HINT) & col(c).rlike("|".join(f"(?:{p})" for p in DATE_PATTERNS))
+
+
+def _numbers(c: str | Column) -> Column:
+    hits = F.regexp_extract_all(col(c), F.lit(AMOUNT_PATTERN), F.lit(0))
+    return F.transform(hits, lambda h: F.replace(h, F.lit(","), F.lit("")).try_cast("double"))
 
 
 def amounts(c: str | Column) -> Column:
     """All amounts, largest first."""
-    hits = F.regexp_extract_all(col(c), F.lit(AMOUNT_PATTERN), F.lit(0))
-    numbers = F.transform(hits, lambda h: F.replace(h, F.lit(","), F.lit("")).try_cast("double"))
-    found = F.sort_array(F.array_compact(numbers), asc=False)
+    found = F.sort_array(F.array_compact(_numbers(c)), asc=False)
     return F.when(has_digit(c), found).otherwise(F.array().cast("array<double>"))
 
 
@@ -38,7 +45,7 @@ def has_amount(c: str | Column) -> Column:
 
 
 def max_amount(c: str | Column) -> Column:
-    return first_or_null(amounts(c))
+    return F.when(has_digit(c), F.array_max(_numbers(c)))
 
 
 def clean_amount(c: str | Column) -> Column:
@@ -64,6 +71,60 @@ def count_words(c: str | Column, words: Iterable[str]) -> Column:
     return total
 
 
+def _tree(words: Iterable[str]) -> str:
+    """Pattern of the longest of the words that starts at a place: words share their beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = heads.pop("", None) is not None
+    out = [quoted(head) + _tree(rest) for head, rest in heads.items()]
+    if not out:
+        return ""
+    if len(out) == 1 and not ends:
+        return out[0]
+    return f"(?:{'|'.join(out)})" + ("?" if ends else "")
+
+
+def _by_heads(words: Iterable[str], letters: int = 4) -> str:
+    """The same as _tree, tested against few first letters at a time."""
+    words = sorted(set(words))
+    heads = sorted({w[0] for w in words})
+    some = [heads[at : at + letters] for at in range(0, len(heads), letters)]
+    return "|".join(f"(?=[{''.join(map(quoted, h))}]){_tree(w for w in words if w[0] in h)}" for h in some)
+
+
+@dataclass(frozen=True)
+class WordScan:
+    """Which of many words occur in a text as substrings, found in one pass whatever the number of words.
+
+    The longest word at each place is kept; the words that start there as well are its beginnings.
+    """
+
+    words: frozenset[str]
+
+    def found(self, c: str | Column) -> Column:
+        longest = F.lit(f"(?=({_by_heads(self.words)}))")
+        return F.array_distinct(F.regexp_extract_all(col(c), longest, F.lit(1)))
+
+    def _shown(self, word: str) -> list[str]:
+        """The words kept at a place where this one is."""
+        if word not in self.words:
+            raise ValueError(f"{word!r} is not looked for")
+        return sorted(w for w in self.words if w.startswith(word))
+
+    def any(self, found: Column, words: Iterable[str]) -> Column:
+        return F.arrays_overlap(found, strings(sorted({v for w in words for v in self._shown(w)})))
+
+    def count(self, found: Column, words: Iterable[str]) -> Column:
+        """How many of the words, none listed twice, occur."""
+        alone = [w for w in words if len(self._shown(w)) == 1]
+        total = F.size(F.array_intersect(found, strings(alone)))
+        for w in words:
+            if w not in alone:
+                total = total + self.any(found, [w]).cast("int")
+        return total
+
+
 def first_offset(c: str | Column, words: Iterable[str]) -> Column:
     """Zero-based offset of the earliest of the words, or NULL."""
     return F.least(*[F.nullif(F.instr(col(c), w), F.lit(0)) for w in words], F.lit(None)) - 1

@@ -122,47 +122,61 @@ def typed_transactions(rows: DataFrame) -> DataFrame:
     )
 
 
-def _first_amount(facts: Column, low: Column, words: list[str]) -> Column:
+def _first_amount(facts: Column, named: Column, words: list[str]) -> Column:
     """Amount of the first line with a label and an amount; documents without a label are skipped."""
-    hits = F.filter(facts, lambda f: (f["top"] != 0) & X.has_any(f["low"], words))
-    return F.when(X.has_any(low, words), first_or_null(F.transform(hits, lambda f: f["top"])))
+    hits = F.filter(facts, lambda f: f["top"].isNotNull() & (f["top"] != 0) & X.has_any(f["low"], words))
+    return F.when(named, first_or_null(F.transform(hits, lambda f: f["top"])))
 
 
-def _first_date(facts: Column, low: Column, words: list[str]) -> Column:
+def _first_date(facts: Column, named: Column, words: list[str]) -> Column:
     hits = F.filter(facts, lambda f: f["date"].isNotNull() & X.has_any(f["low"], words))
-    return F.when(X.has_any(low, words), first_or_null(F.transform(hits, lambda f: f["date"])))
+    return F.when(named, first_or_null(F.transform(hits, lambda f: f["date"])))
 
 
-def _with_facts(docs: DataFrame) -> DataFrame:
-    return computed_once(
-        docs, ["doc_id", "text"], line_facts().alias("facts"), F.lower("text").alias("low")
-    )
+def _labelled_number(facts: Column, named: Column, words: list[str], low: int, high: int) -> Column:
+    """First ``low``..``high``-digit number on a line that carries one of the words."""
+    pattern = rf"\b\d{{{low},{high}}}\b"
+    hits = F.filter(facts, lambda f: f["line"].rlike(rf"\d{{{low}}}") & f["line"].rlike(pattern) & X.has_any(f["low"], words))
+    return F.when(named, first_or_null(F.transform(hits, lambda f: F.regexp_extract(f["line"], pattern, 0))))
+
+
+def _with_facts(docs: DataFrame, scan: X.WordScan) -> DataFrame:
+    """Per document its line facts and which of the words it holds."""
+    return computed_once(docs, ["doc_id"], line_facts().alias("facts"), scan.found(F.lower("text")).alias("held"))
+
+
+_SAL, _UTL, _ACCOUNT = V.SALARY_SYNONYMS, V.UTILITY_SYNONYMS, V.BANK_SYNONYMS["account_number"]
+SALARY_WORDS = X.WordScan(frozenset(w for k in _SAL for w in _SAL[k]))
+UTILITY_WORDS = X.WordScan(frozenset(w for k in _UTL for w in _UTL[k]))
+ALL_WORDS = X.WordScan(SALARY_WORDS.words | UTILITY_WORDS.words | {*_ACCOUNT, *V.BANK_SIGNALS, *V.UTILITY_SIGNALS})
 
 
 def salary_fields(docs: DataFrame) -> DataFrame:
     """First amount behind each salary label, deduction flags and pay period."""
-    d = _with_facts(docs)
+    d = _with_facts(docs, SALARY_WORDS)
     facts, words = F.col("facts"), V.SALARY_SYNONYMS
+    named = lambda k: SALARY_WORDS.any(F.col("held"), words[k])
     return d.select(
         "doc_id",
-        *[_first_amount(facts, F.col("low"), words[k]).alias(k) for k in ("gross_salary", "net_salary", "basic_pay", "hra")],
-        X.has_any("low", words["pf"]).alias("pf_contribution_flag"),
-        X.has_any("low", words["tax"]).alias("tax_deduction_flag"),
-        _first_date(facts, F.col("low"), words["pay_period"]).alias("pay_period"),
+        *[_first_amount(facts, named(k), words[k]).alias(k) for k in ("gross_salary", "net_salary", "basic_pay", "hra")],
+        named("pf").alias("pf_contribution_flag"),
+        named("tax").alias("tax_deduction_flag"),
+        _first_date(facts, named("pay_period"), words["pay_period"]).alias("pay_period"),
     )
 
 
 def utility_fields(docs: DataFrame) -> DataFrame:
     """Bill amount, due date, units, consumer number and the paid flag."""
-    d = _with_facts(docs)
+    d = _with_facts(docs, UTILITY_WORDS)
     facts, words = F.col("facts"), V.UTILITY_SYNONYMS
+    named = lambda k: UTILITY_WORDS.any(F.col("held"), words[k])
     return d.select(
         "doc_id",
-        _first_amount(facts, F.col("low"), words["bill_amount"]).alias("bill_amount"),
-        _first_date(facts, F.col("low"), words["due_date"]).alias("due_date"),
-        _first_amount(facts, F.col("low"), words["units_consumed"]).alias("units_consumed"),
-        X.number_on_labelled_line("text", words["consumer_number"], 6, 15).alias("consumer_number"),
-        X.has_any("low", words["payment_status"]).alias("payment_discipline_flag"),
+        _first_amount(facts, named("bill_amount"), words["bill_amount"]).alias("bill_amount"),
+        _first_date(facts, named("due_date"), words["due_date"]).alias("due_date"),
+        _first_amount(facts, named("units_consumed"), words["units_consumed"]).alias("units_consumed"),
+        _labelled_number(facts, named("consumer_number"), words["consumer_number"], 6, 15).alias("consumer_number"),
+        named("payment_status").alias("payment_discipline_flag"),
     )
 
 
@@ -177,25 +191,28 @@ def hit_rates(found: Column, doc_type: str) -> tuple[Column, Column]:
 
 def document_facts(docs: DataFrame) -> DataFrame:
     """What the three extractors look for, found in one pass over the lines of a document."""
-    d = _with_facts(docs)
-    facts, low = F.col("facts"), F.col("low")
+    d = _with_facts(docs, ALL_WORDS)
+    facts, held = F.col("facts"), F.col("held")
     sal, utl = V.SALARY_SYNONYMS, V.UTILITY_SYNONYMS
+    holds = lambda words: ALL_WORDS.any(held, words)
+    amount = lambda words: _first_amount(facts, holds(words), words)
+    date = lambda words: _first_date(facts, holds(words), words)
     d = computed_once(
         d,
         ["doc_id"],
         F.size(F.filter(facts, lambda f: f["date"].isNotNull() & f["top"].isNotNull())).alias("n_rows"),
-        X.number_on_labelled_line("text", V.BANK_SYNONYMS["account_number"], 9, 18).alias("account"),
-        *[_first_amount(facts, F.col("low"), sal[k]).alias(k) for k in ("gross_salary", "net_salary", "basic_pay", "hra")],
-        X.has_any(low, sal["pf"]).alias("pf"),
-        _first_date(facts, F.col("low"), sal["pay_period"]).alias("pay_period"),
-        _first_amount(facts, F.col("low"), utl["bill_amount"]).alias("bill_amount"),
-        _first_date(facts, F.col("low"), utl["due_date"]).alias("due_date"),
-        _first_amount(facts, F.col("low"), utl["units_consumed"]).alias("units_consumed"),
-        X.number_on_labelled_line("text", utl["consumer_number"], 6, 15).alias("consumer_number"),
-        X.has_any(low, utl["payment_status"]).alias("payment_discipline_flag"),
-        X.count_words(low, V.BANK_SIGNALS).alias("bank_signals"),
-        X.count_words(low, V.UTILITY_SIGNALS).alias("utility_signals"),
-        X.count_words(low, sal["gross_salary"]).alias("gross_words"),
+        _labelled_number(facts, holds(_ACCOUNT), _ACCOUNT, 9, 18).alias("account"),
+        *[amount(sal[k]).alias(k) for k in ("gross_salary", "net_salary", "basic_pay", "hra")],
+        holds(sal["pf"]).alias("pf"),
+        date(sal["pay_period"]).alias("pay_period"),
+        amount(utl["bill_amount"]).alias("bill_amount"),
+        date(utl["due_date"]).alias("due_date"),
+        amount(utl["units_consumed"]).alias("units_consumed"),
+        _labelled_number(facts, holds(utl["consumer_number"]), utl["consumer_number"], 6, 15).alias("consumer_number"),
+        holds(utl["payment_status"]).alias("payment_discipline_flag"),
+        ALL_WORDS.count(held, V.BANK_SIGNALS).alias("bank_signals"),
+        ALL_WORDS.count(held, V.UTILITY_SIGNALS).alias("utility_signals"),
+        ALL_WORDS.count(held, sal["gross_salary"]).alias("gross_words"),
     )
     named = lambda ok, name: F.when(ok, F.lit(name))
     has = lambda name: named(F.col(name).isNotNull(), name)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from creditloom.functions import fields as X, jsontext as J, text as T
+from creditloom.functions import fields as X, jsontext as J, text as T, vocab as V
 
 
 def run(spark, value, fn):
@@ -86,3 +86,40 @@ def test_narration(spark):
     df = spark.createDataFrame([("05/01/2024 NEFT SALARY 45,000.00 61,250.50",)], "line string")
     got = df.select(X.narration(F.col("line"), X.find_date("line")).alias("x")).first().x
     assert got == "NEFT SALARY"
+
+
+def test_words_of_many_lists_are_found_in_one_scan(spark):
+    words = ["pf", "epf", "pf deduction", "due", "due date", "due by", "a/c no", "acc no.", "ca no", "no"]
+    texts = ["epf deduction", "due dat", "overdue date a/c no", "acc noo ca no", "", "pf\ndeduction due\nby", None, "xpf deductionepf"]
+    scan = X.WordScan(frozenset(words))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("f", scan.found("t"))
+    flags = [scan.any(F.col("f"), [w]).alias(f"w{k}") for k, w in enumerate(words)]
+    rows = df.select("t", scan.any(F.col("f"), words).alias("any"), scan.count(F.col("f"), words).alias("n"), *flags).collect()
+    for r in rows:
+        expected = None if r.t is None else [w in r.t for w in words]
+        assert [r[f"w{k}"] for k in range(len(words))] == (expected or [None] * len(words))
+        assert r.any == (None if expected is None else any(expected))
+        if expected is not None:
+            assert r.n == sum(expected)
+    assert "Contains(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_date_hint_passes_every_date(spark):
+    lines = ["1/2/2024", "on 01-02-24.", "3 jan 24", "03\t JANUARY.  2024", "4-Mar-99", "2024-05-06", "Sept. 7, 2024", "oct 7 2024", "12.50", "May 2024"]
+    df = spark.createDataFrame([(s,) for s in lines], "s string")
+    plain = F.coalesce(*[F.nullif(F.regexp_extract("s", p, 0), F.lit("")) for p in V.DATE_PATTERNS])
+    assert [r.a for r in df.select(X.find_date("s").alias("a")).collect()] == [r.a for r in df.select(plain.alias("a")).collect()]
+
+
+def test_labels_of_documents_are_looked_for_once(spark):
+    from creditloom.operators import extract as E
+
+    plan = E.document_facts(spark.createDataFrame([("a", "x")], "doc_id string, text string"))._jdf.queryExecution().optimizedPlan()
+    assert "Contains(low" not in plan.toString()
+
+
+def test_max_amount_is_the_first_of_all_amounts(spark):
+    lines = ["1,234.50 and 99.10", "12 345", "no", "", None, "0.00 7.5", "1.23 1.24"]
+    df = spark.createDataFrame([(s,) for s in lines], "s string")
+    for r in df.select(X.max_amount("s").alias("a"), F.try_element_at(X.amounts("s"), F.lit(1)).alias("b")).collect():
+        assert r.a == r.b
