@@ -54,7 +54,7 @@ class FeatureTable:
             return
         days = daily_rollup(coerce_ledger(lines)).withColumn("bucket", F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int"))
         mine = f"{self.folder}/days/batch={batch}"
-        days.write.mode("overwrite").partitionBy("bucket").parquet(mine)
+        days.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(mine)  # a file for each bucket
         fresh = self.spark.read.schema(days.schema).parquet(mine)
         touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
         if touched:
@@ -71,7 +71,7 @@ class FeatureTable:
     def fold(self, batches: list[int], base: int | None, batch: int) -> None:
         """Write all partials and the latest feature rows as one base."""
         days = merged_days(self.parts("days", batches, base), "bucket")
-        days.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/days-base/batch={batch}")
+        days.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/days-base/batch={batch}")
         self.latest(batches, base).write.mode("overwrite").parquet(f"{self.folder}/features-base/batch={batch}")
 
     def latest(self, batches: list[int], base: int | None) -> DataFrame | None:

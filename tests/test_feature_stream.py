@@ -77,3 +77,37 @@ def test_a_stream_goes_on_where_it_stopped(spark, lines):
     lines.where("txn_id >= 500").coalesce(1).write.mode("append").parquet(folder)
     maintain(stream(), table, state)
     assert rows_of(table.current()) == rows_of(bank_features(lines))
+
+
+def test_a_bucket_is_one_file(spark, lines):
+    """Days of one bucket are written together, however many tasks made them."""
+    table = FeatureTable(spark, fresh_dir(spark, "features"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table.absorb(lines, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = spark.read.parquet(f"{table.folder}/days/batch=0").select("bucket", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("bucket").count().where("count > 1").count() == 0
+
+
+def test_a_batch_of_the_ledger_has_a_file_for_each_core(spark, tmp_path, monkeypatch):
+    from creditloom.plans import learner_plans as P
+
+    rows = [(i % 7, i, dt.date(2023, 1, 1) + dt.timedelta(days=i % 50), float(i), "CR", "UPI", None) for i in range(500)]
+    monkeypatch.setattr(P.views, "ledger", lambda s, d: s.createDataFrame(rows, SHAPE))
+    seen = []
+    monkeypatch.setattr(P.FS, "maintain", lambda stream, features, state: maintain(stream, Counted(features, seen), state))
+    monkeypatch.setattr(P.FS.FeatureTable, "current", lambda self: None)
+    P._streamed_bank_features(spark, "unused")
+    assert len(seen) == P.LEDGER_BATCHES and min(seen) > 1
+
+
+class Counted:
+    """Files in each batch."""
+
+    def __init__(self, features, seen):
+        self.seen = seen
+
+    def absorb(self, lines, batch):
+        self.seen.append(lines.select(F.input_file_name()).distinct().count())
