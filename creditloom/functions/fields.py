@@ -14,10 +14,26 @@ from .vocab import AMOUNT_PATTERN, DATE_PATTERNS, NUMBER_TOKEN_PATTERN, PAN_PATT
 DATE_HINT = r"\d(?:[/\-.]\d{1,2}[/\-.]\d\d|[\s\-]\s*[jfmasondJFMASOND])|\s\d{1,2},?\s+\d{4}"
 
 
-def find_date(c: str | Column) -> Column:
-    """First match of the first pattern family that matches anywhere."""
-    hits = [F.nullif(F.regexp_extract(col(c), p, 0), F.lit("")) for p in DATE_PATTERNS]
-    return F.when(has_digit(c) & col(c).rlike(DATE_HINT), F.coalesce(*hits))
+def _from_digit(pattern: str) -> str:
+    """The same pattern, given up at once where no digit starts; for patterns whose matches all start with one."""
+    return rf"(?=[0-9])(?:{pattern})"
+
+
+#: What Spark searches for; the patterns of the vocabulary are shared with SQL, which knows no look-ahead.
+_DATES = [p if p.startswith(r"(?i)\b(?:") else _from_digit(p) for p in DATE_PATTERNS]
+_AMOUNT = _from_digit(AMOUNT_PATTERN)
+
+
+def may_have_date(c: str | Column) -> Column:
+    """True for every text with a date, and for few others."""
+    return has_digit(c) & col(c).rlike(DATE_HINT)
+
+
+def find_date(c: str | Column, tested: bool = False) -> Column:
+    """First match of the first pattern family that matches anywhere; ``tested`` texts have passed may_have_date."""
+    hits = [first_or_null(F.regexp_extract_all(col(c), F.lit(p), F.lit(0))) for p in _DATES]
+    found = F.coalesce(*hits)
+    return found if tested else F.when(may_have_date(c), found)
 
 
 def has_digit(c: str | Column) -> Column:
@@ -26,11 +42,11 @@ def has_digit(c: str | Column) -> Column:
 
 
 def has_date(c: str | Column) -> Column:
-    return has_digit(c) & col(c).rlike(DATE_HINT) & col(c).rlike("|".join(f"(?:{p})" for p in DATE_PATTERNS))
+    return may_have_date(c) & col(c).rlike("|".join(f"(?:{p})" for p in _DATES))
 
 
 def _numbers(c: str | Column) -> Column:
-    hits = F.regexp_extract_all(col(c), F.lit(AMOUNT_PATTERN), F.lit(0))
+    hits = F.regexp_extract_all(col(c), F.lit(_AMOUNT), F.lit(0))
     return F.transform(hits, lambda h: F.replace(h, F.lit(","), F.lit("")).try_cast("double"))
 
 
@@ -41,7 +57,7 @@ def amounts(c: str | Column) -> Column:
 
 
 def has_amount(c: str | Column) -> Column:
-    return col(c).rlike(AMOUNT_PATTERN)
+    return col(c).rlike(_AMOUNT)
 
 
 def max_amount(c: str | Column) -> Column:
@@ -127,7 +143,7 @@ class WordScan:
 
 def first_offset(c: str | Column, words: Iterable[str]) -> Column:
     """Zero-based offset of the earliest of the words, or NULL."""
-    return F.least(*[F.nullif(F.instr(col(c), w), F.lit(0)) for w in words], F.lit(None)) - 1
+    return F.array_min(F.filter(F.array(*[F.instr(col(c), w) for w in words]), lambda at: at > 0)) - 1
 
 
 def first_pan(c: str | Column) -> Column:

@@ -1,7 +1,8 @@
 """Entity table -> canonical document -> three feature sets -> best one -> gate.
 
-The entity table is long: (doc_id, entity, raw_value, numeric_value, confidence,
-pos).  One aggregation per document folds it into lists and best values; a
+The entity table has (doc_id, entity, raw_value, numeric_value, confidence, pos),
+as rows or as lists of items.  Sources give a list per line of a statement and per
+other document.  One aggregation per document folds it into lists and best values; a
 document is one statement page, slip or bill, so its lists are small.  All that
 follows are expressions on that one row.
 """
@@ -56,13 +57,18 @@ MIN_QUALITY = 0.25
 REASONS_SHOWN, MISSING_SHOWN = 5, 3
 
 
+def entity(name: str, raw: Column, number: Column, confidence: Column, pos: Column) -> Column:
+    """One item of a document's list."""
+    return F.struct(
+        F.lit(name).alias("entity"), raw.cast("string").alias("raw_value"), number.cast("double").alias("numeric_value"),
+        confidence.alias("confidence"), pos.alias("pos"),
+    )
+
+
 def statement_entities(statements: DataFrame) -> DataFrame:
-    """Entities of statement texts: amounts, balances, dates and narrations per line."""
+    """Entities of statement texts as a list per line: amounts, balances, date and narration."""
     t = X.typed_transactions(X.transactions(statements))
-    row = lambda name, raw, number: F.struct(
-        F.lit(name).alias("entity"), raw.cast("string").alias("raw_value"),
-        number.cast("double").alias("numeric_value"),
-    )
+    row = lambda name, raw, number: entity(name, raw, number, 1 / (1 + F.col("pos")), F.col("pos"))
     none = F.lit(None)
     items = compact(
         F.when(F.col("type") == "CR", row("credit_amount", F.col("amount"), F.col("amount"))),
@@ -71,44 +77,55 @@ def statement_entities(statements: DataFrame) -> DataFrame:
         row("transaction_date", F.col("date"), none),
         row("transaction_description", F.col("narration"), none),
     )
-    return t.select("doc_id", "pos", F.inline(items)).select(
-        "doc_id", "entity", "raw_value", "numeric_value", (1 / (1 + F.col("pos"))).alias("confidence"), "pos"
-    )
+    return computed_once(t, ["doc_id"], items.alias("items"))
 
 
-def entity_rows(df: DataFrame, *items: tuple[str, Column | None, Column | None, int]) -> DataFrame:
-    """One row per present item (entity, raw, number, pos) of every input row."""
-    structs = []
+def entity_lists(df: DataFrame, *items: tuple[str, Column | None, Column | None, int]) -> DataFrame:
+    """The present items (entity, raw, number, pos) of every input row as a list; rows without any are left out."""
+    found = []
     for name, raw, value, pos in items:
-        raw_c = (raw if raw is not None else value).cast("string")
-        num_c = (value if value is not None else F.lit(None)).cast("double")
-        s = F.struct(
-            F.lit(name).alias("entity"), raw_c.alias("raw_value"), num_c.alias("numeric_value"),
-            F.lit(1.0 / (1 + pos)).alias("confidence"), F.lit(pos).alias("pos"),
-        )
-        structs.append(F.when(raw_c.isNotNull(), s))
-    return df.select("doc_id", F.inline(compact(*structs)))
+        s = entity(name, raw if raw is not None else value, value if value is not None else F.lit(None), F.lit(1.0 / (1 + pos)), F.lit(pos))
+        found.append(F.when(s["raw_value"].isNotNull(), s))
+    return computed_once(df, ["doc_id"], compact(*found).alias("items")).where(F.size("items") > 0)
+
+
+def entity_rows(lists: DataFrame) -> DataFrame:
+    """The lists as rows of the entity table."""
+    return lists.select("doc_id", F.inline("items"))
 
 
 def canonical(entities: DataFrame) -> DataFrame:
-    """One vendor-neutral row per document."""
-    is_ = lambda name: F.col("entity") == name
-    number, raw, conf = F.col("numeric_value"), F.col("raw_value"), F.col("confidence")
-    order = F.struct(conf, -F.col("pos"))
+    """One vendor-neutral row per document, from rows of the entity table or from lists of them."""
+    if "items" not in entities.columns:
+        item = F.struct("entity", "raw_value", "numeric_value", "confidence", "pos")
+        entities = entities.select("doc_id", F.array(item).alias("items"))
+    lists = computed_once(
+        entities, ["doc_id", "items"], F.array_distinct(F.transform("items", lambda i: i["entity"])).alias("names")
+    )
+
+    def those(name: str, present=lambda i: F.lit(True)) -> Column:
+        """The items of one name; lists without that name are not searched."""
+        found = F.filter("items", lambda i: (i["entity"] == name) & present(i))
+        return F.when(F.array_contains("names", name), found)
 
-    def gathered(name: str, value: Column, present: Column) -> Column:
-        item = F.when(is_(name) & present, F.struct("pos", value.alias("v")))
-        return F.transform(F.array_sort(F.collect_list(item)), lambda i: i["v"])
+    def gathered(name: str, field: str, present) -> Column:
+        pairs = F.transform(those(name, present), lambda i: F.struct(i["pos"].alias("pos"), i[field].alias("v")))
+        return F.transform(F.array_sort(F.flatten(F.collect_list(pairs))), lambda i: i["v"])
 
     def best(name: str, *fields: str) -> Column:
-        return F.max_by(F.struct(*fields), F.when(is_(name), order))
+        """The most confident item, of equal ones the first."""
+        ranked = F.transform(
+            those(name), lambda i: F.struct(i["confidence"].alias("c"), (-i["pos"]).alias("p"), F.struct(*[i[f].alias(f) for f in fields]).alias("v"))
+        )
+        return F.max(F.array_max(ranked))["v"]
 
-    aggs = [gathered(e, number, number.isNotNull()).alias(c) for e, c in LIST_ENTITIES.items()]
-    aggs += [gathered(e, raw, raw != "").alias(c) for e, c in TEXT_LISTS.items()]
-    aggs += [F.max(F.when(is_(e) & number.isNotNull(), conf)).alias(f"c_{e}") for e in LIST_ENTITIES]
+    number = lambda i: i["numeric_value"].isNotNull()
+    aggs = [gathered(e, "numeric_value", number).alias(c) for e, c in LIST_ENTITIES.items()]
+    aggs += [gathered(e, "raw_value", lambda i: i["raw_value"] != "").alias(c) for e, c in TEXT_LISTS.items()]
+    aggs += [F.max(F.array_max(F.transform(those(e, number), lambda i: i["confidence"]))).alias(f"c_{e}") for e in LIST_ENTITIES]
     aggs += [best(e, "numeric_value", "confidence").alias(e) for e in BEST_NUMBERS]
     aggs += [best(e, "raw_value").alias(e) for e in BEST_TEXTS]
-    d = entities.groupBy("doc_id").agg(*aggs)
+    d = lists.groupBy("doc_id").agg(*aggs)
     entry = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value")))
     confidences = F.map_from_entries(
         compact(
@@ -263,9 +280,8 @@ def evaluate(docs: DataFrame) -> DataFrame:
             found.alias("found"), missing.alias("missing"), notes.alias("diagnostics"),
         )
 
-    return computed_once(
-        docs,
-        ["doc_id"],
+    return docs.select(
+        "doc_id",
         bank_feature_struct().alias("bank_features"),
         salary_feature_struct().alias("salary_features"),
         utility_feature_struct().alias("utility_features"),

@@ -52,11 +52,11 @@ def header_columns(text: str = "text") -> Column:
 
     Header lines are looked for among the first 40 lines only.
     """
+    low = F.transform(F.slice(F.split(text, "\n"), 1, V.HEADER_SEARCH_LINES), F.lower)  # once a line, not once a word
     heads = F.transform(
-        F.slice(F.split(text, "\n"), 1, V.HEADER_SEARCH_LINES),
+        low,
         lambda s: F.struct(
-            X.first_offset(F.lower(s), V.HEADER_CREDIT).alias("credit_at"),
-            X.first_offset(F.lower(s), V.HEADER_DEBIT).alias("debit_at"),
+            X.first_offset(s, V.HEADER_CREDIT).alias("credit_at"), X.first_offset(s, V.HEADER_DEBIT).alias("debit_at")
         ),
     )
     both = F.filter(heads, lambda h: h["credit_at"].isNotNull() & h["debit_at"].isNotNull())
@@ -73,11 +73,11 @@ def transactions(docs: DataFrame, balance: str = "smallest") -> DataFrame:
     rows = (
         computed_once(docs, ["doc_id", "text"], header_columns().alias("head"))
         .select("doc_id", "head", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .where(X.has_date("line") & X.has_amount("line"))
-        .withColumn("date", X.find_date("line"))
-        .withColumn("amounts", X.amounts("line"))
-        .where(F.size("amounts") > 0)
+        .where(X.may_have_date("line"))
     )
+    rows = computed_once(
+        rows, ["doc_id", "head", "pos", "line"], X.find_date("line", tested=True).alias("date"), X.amounts("line").alias("amounts")
+    ).where(F.col("date").isNotNull() & (F.size("amounts") > 0))
     line, top = F.col("line"), first_or_null(F.col("amounts"))
     credit_at, debit_at = F.col("head.credit_at"), F.col("head.debit_at")
     cut = F.greatest(credit_at, debit_at)

@@ -43,7 +43,8 @@ SELECT doc_id, coalesce(array_to_string(list_transform(credits, lambda x: printf
 UNION ALL SELECT doc_id,'','','','','',0e0 FROM c_slip UNION ALL SELECT doc_id,'','','','','',0e0 FROM c_bill
 UNION ALL SELECT doc_id,'','','',coalesce(array_to_string(dates,','),''),coalesce(array_to_string(words,','),''),0e0 FROM c_prose WHERE words IS NOT NULL OR dates IS NOT NULL"""))
 def cm_collect(spark, d):
-    c = C.canonical(D.entities(spark, d).where(F.col("raw_value") != ""))
+    said = F.filter("items", lambda i: i["raw_value"] != "").alias("items")
+    c = C.canonical(D.entities(spark, d).select("doc_id", said).where(F.size("items") > 0))
     return c.select(
         "doc_id", _money("credit_amounts").alias("credits"), _money("debit_amounts").alias("debits"),
         _money("running_balances").alias("balances"), F.array_join("transaction_dates", ",").alias("dates"),

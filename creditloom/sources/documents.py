@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import col, rnd, stable_hash
+from ..functions.columns import col, computed_once, rnd, stable_hash
 from ..functions.fields import find_date
 from ..functions.text import normalise_light
 from ..operators import canonical, extract
@@ -274,10 +274,10 @@ def prompt_sql() -> str:
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    """Entity table read out of every document's text."""
+    """Entity table read out of every document's text, as lists (doc_id, items); ``canonical.entity_rows`` unfolds them."""
     slips = extract.salary_fields(slip_documents(spark, d))
     gross, net, pf = F.col("gross_salary"), F.col("net_salary"), F.col("pf_contribution_flag")
-    slip_rows = canonical.entity_rows(
+    slip_rows = canonical.entity_lists(
         slips,
         ("gross_salary", None, F.when(pf, gross), 0),
         ("net_salary", None, net, 0),
@@ -289,7 +289,7 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     )
     bills = extract.utility_fields(bill_documents(spark, d))
     paid = F.col("payment_discipline_flag")
-    bill_rows = canonical.entity_rows(
+    bill_rows = canonical.entity_lists(
         bills,
         ("bill_amount", None, F.col("bill_amount"), 0),
         ("bill_amount", None, F.col("units_consumed"), 2),
@@ -298,13 +298,15 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
         ("units_consumed", None, F.col("units_consumed"), 1),
         ("consumer_number", F.col("consumer_number"), None, 1),
     )
-    lines = F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    item = lambda name, raw: F.struct(
-        F.lit(name).alias("entity"), raw.alias("raw_value"), F.lit(None).cast("double").alias("numeric_value"),
-        (1.0 / (1 + F.col("pos"))).alias("confidence"), F.col("pos").alias("pos"),
+    line_items = lambda s, i: F.array(
+        *[
+            canonical.entity(name, raw, F.lit(None), 1.0 / (1 + i), i)
+            for name, raw in (("transaction_description", s), ("transaction_date", find_date(s)))
+        ]
     )
-    both = F.array(item("transaction_description", F.col("line")), item("transaction_date", find_date("line")))
-    prose_rows = prose(spark, d).select("doc_id", lines).select("doc_id", F.inline(both)).where("raw_value IS NOT NULL")
+    items = F.flatten(F.transform(F.split("text", "\n"), line_items))
+    present = F.filter(items, lambda i: i["raw_value"].isNotNull())
+    prose_rows = computed_once(prose(spark, d), ["doc_id"], present.alias("items")).where(F.size("items") > 0)
     out = canonical.statement_entities(statements(spark, d).select("doc_id", "text"))
     for rows in (slip_rows, bill_rows, prose_rows):
         out = out.unionByName(rows)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from creditloom.functions import fields as X, vocab as V
 from creditloom.operators import canonical as C, extract as E, routing as R
 from creditloom.sources import files
 
@@ -77,6 +78,38 @@ def test_nothing_found_is_rejected_at_level_one(spark):
     assert (r.level_reached, r.passed) == (1, False) and r.failure_reason.count(";") == 4
 
 
+def test_lists_of_entities_fold_like_their_rows(spark):
+    """Lists of one document in several rows, a document without id and an empty list included."""
+    rows = [
+        entity("credit_amount", "5.0", 5.0, 0.5, 1), entity("credit_amount", "7.0", 7.0, 0.9, 0), entity("due_date", "1/2/2020", conf=0.2),
+        entity("due_date", "3/2/2020", conf=0.4, pos=2), entity("net_salary", None, None, 0.3, doc=None), entity("pay_period", "May", doc=None),
+    ]
+    flat = spark.createDataFrame(rows, ENTITY)
+    item = F.struct("entity", "raw_value", "numeric_value", "confidence", "pos")
+    lists = flat.groupBy("doc_id", F.col("pos") % 2).agg(F.collect_list(item).alias("items")).select("doc_id", "items")
+    lists = lists.unionByName(lists.limit(1).select(F.lit("d").alias("doc_id"), F.slice("items", 1, 0).alias("items")))
+    found = C.canonical(lists)
+    assert sorted(map(str, found.collect())) == sorted(map(str, C.canonical(flat).collect()))
+    assert found.where("doc_id = 'd'").select("credit_amounts", "due_date").first() == ([7.0, 5.0], "3/2/2020")
+    assert sorted(map(str, C.entity_rows(lists).collect())) == sorted(map(str, flat.collect()))
+
+
+def test_features_of_one_kind_gather_no_lists_of_another(spark):
+    flat = spark.createDataFrame([entity("net_salary", number=1.0)], ENTITY)
+    plan = C.evaluate(C.canonical(flat)).select("doc_id", "salary_features.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "net_salary" in plan
+
+
+def test_dates_and_amounts_inside_words_and_numbers(spark):
+    lines = ["x12/03/2020", "on 12/03/2020 ok", "5 Jan 2020 and 1/2/20", "Jan 5, 2020", "a1,234.50b", "1,23,456.78 or 12.50", "2020-01-02", "no", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, s string").orderBy("i")
+    plain = F.regexp_extract_all("s", F.lit(V.AMOUNT_PATTERN), F.lit(0))
+    found = df.select(X.find_date("s").alias("date"), X.has_date("s").alias("dated"), X.amounts("s").alias("amounts"), plain.alias("plain")).collect()
+    assert [r.date for r in found] == [None, "12/03/2020", "1/2/20", "Jan 5, 2020", None, None, "2020-01-02", None, None]
+    assert [bool(r.dated) for r in found] == [bool(r.date) for r in found]
+    assert [r.amounts for r in found] == [sorted((float(x.replace(",", "")) for x in r.plain or []), reverse=True) for r in found]
+
+
 def test_suffix_routing(spark):
     df = spark.createDataFrame([("/a/b.TXT",), ("/a/b.pdf",), ("/a.d/c.jpeg",), ("/a/x.docx",)], "path string")
     ok, bad = R.split_by_support(df)
