@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import struct
 
 from .common import worker_cache
 
 CACHE_CHUNKS = 500_000  # about 100 MB; the cache starts anew beyond that
+CACHE_PIECES = 250_000  # about 40 MB, likewise
 
 #: Text for which lower case, composition and letter classes are the same in every library.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -26,6 +28,7 @@ class WordEncoder:
 
     White space always ends a piece there, so a text's ids are those of its chunks in a row.  Chunks of
     plain letters go straight to the vocabulary's merges; any other chunk goes through the whole tokenizer.
+    Chunks that differ in case or in signs at their ends share the pieces, which are merged once.
     ``simple`` is for word_bpe_49k.json, whose pieces PIECES states.
     """
 
@@ -36,21 +39,28 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.simple = simple
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.shown = byte_characters()
 
-    def chunk(self, chunk: bytes) -> bytes:
-        import numpy as np
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode("utf-8")))
+        tokens = self.model.tokenize(shown)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
+    def chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8")
-        if self.simple and PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [
-                token.id
-                for piece in PIECES.findall(text.lower())
-                for token in self.model.tokenize("".join(map(self.shown.__getitem__, piece.encode("utf-8"))))
-            ]
-        else:
+        if not (self.simple and PLAIN.fullmatch(text) and "<|" not in text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            return struct.pack(f"<{len(ids)}I", *ids)
+        kept, out = self.pieces, []
+        for piece in PIECES.findall(text.lower()):
+            ids = kept.get(piece)
+            if ids is None:
+                if len(kept) >= CACHE_PIECES:
+                    kept.clear()
+                ids = kept[piece] = self.piece(piece)
+            out.append(ids)
+        return b"".join(out)
 
     def ids(self, text: bytes) -> bytes:
         chunks = text.split()

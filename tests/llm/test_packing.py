@@ -102,3 +102,17 @@ def test_attention_cuts_pieces_not_sequences(spark):
 def test_an_item_beyond_the_capacities_is_an_error():
     with pytest.raises(ValueError):
         pack(np.array([10, 2000]), Capacity(tokens=1000))
+
+
+def test_chunks_of_one_word_merge_it_once(monkeypatch):
+    """Case and signs at the ends do not merge a word again; a full cache of pieces starts anew with the same ids."""
+    texts = ["Hähent, hähent! HÄHENT### it's 12", "reesea. reesea Reesea; don't"] * 3
+    plain = [np.array(ENCODER.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    merged, full = [], WordEncoder(word_tokenizer())
+    once = full.piece
+    monkeypatch.setattr(full, "piece", lambda p: merged.append(p) or once(p))
+    assert [full.ids(t.encode()) for t in texts] == plain
+    assert merged.count("hähent") == merged.count("reesea") == 1
+    monkeypatch.setattr("creditloom.llm.encode.CACHE_PIECES", 2)
+    small = WordEncoder(word_tokenizer())
+    assert [small.ids(t.encode()) for t in texts] == plain and len(small.pieces) <= 2
