@@ -103,3 +103,28 @@ def test_nothing_to_learn_from(spark):
         T.fit(spark.createDataFrame([], "doc_id long, text string, label double"))
     same = spark.createDataFrame([(1, "debt debt", 1.0), (1, "debt debt", 1.0), (2, "rent", 0.0)], "doc_id long, text string, label double")
     assert T.fit(same).terms.count() == 2
+
+
+def test_steps_do_not_shuffle_the_entries(spark):
+    train = spark.createDataFrame(rows(40, 8), "doc_id long, text string, label double")
+    docs, idf, entries = T.training_tables(train, "doc_id", "text", "label", T.english_stop_words())
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        with T.joined_in_blocks(spark):
+            wants = T.wanted(entries, idf)
+            for sums in (T.term_sums(entries, docs, T.F.col("y")), T.doc_sums(entries, wants, idf, T.F.col("idf"))):
+                sums.collect()
+                plan = sums._jdf.queryExecution().executedPlan().toString().split("\n")
+                scan = next(line for line in plan if "InMemoryTableScan" in line)
+                depth, above = scan.index("InMemoryTableScan"), []
+                for line in reversed(plan[: plan.index(scan)]):  # the nodes over the scan, bottom up
+                    start = len(line) - len(line.lstrip(" :+-"))
+                    if start < depth:
+                        depth, above = start, [*above, line]
+                first = next(i for i, line in enumerate(above) if "Join" in line)
+                assert not any("Exchange" in line for line in above[:first])
+    finally:
+        spark.conf.set(name, before)
+        entries.unpersist()
