@@ -33,6 +33,7 @@ INDEX, PROBE = 1, 2
 BINS, BIN_SALT, BUCKET_ROWS = 128, 0x3C6EF372FE94F82B, 512
 NODE_SALT, CHECK_SALT = 0x51ED270B76A5A5A5, 0x2545F4914F6CDD1D
 FINE_BINS, REFINE_BYTES = 2048, 128 << 20  # clusters that would ship more bytes of sets are first split by finer bins
+COARSE_BINS, FINER = 32, (BINS, FINE_BINS)  # widths at which pairs are screened, one after the other
 BROADCAST_ROWS = 500_000  # node ids: about 20 MB as a hash relation
 BLOCK_ROWS, BLOCK_BYTES = 256, 24 << 20  # sets that meet in one group: two blocks of this size at most, about
 
@@ -346,15 +347,44 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def may_link(bins: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Pairs whose sizes and bins allow a link."""
-    wide = bins.astype(np.int16)
-    least = np.empty((len(size), len(size)), np.int64)
-    step = max(1, (1 << 22) // max(1, wide.size))  # about 8 MB of differences at a time
-    for i in range(0, len(size), step):
-        least[i : i + step] = np.abs(wide[i : i + step, None] - wide[None]).sum(2, dtype=np.int64)
+def distances(bins: np.ndarray):
+    """First row, and sums of differences of a run of rows to all rows from there on; about 8 MB of differences at a time."""
+    start = 0
+    while start < len(bins):
+        stop = start + max(1, (1 << 22) // ((len(bins) - start) * bins.shape[1]))
+        yield start, np.abs(bins[start:stop, None] - bins[None, start:]).sum(2, dtype=np.int32).astype(np.int64)
+        start = stop
+
+
+def may_link(bins: np.ndarray, size: np.ndarray, num: int, den: int, top: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of different ``top`` whose sizes and bins allow a link.
+
+    Sums of neighbouring bins differ no more than the bins do: a few wide ones rule most pairs out, finer ones see the rest.
+    """
+    n = len(size)
     small, big = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
-    return (least * (den + num) <= (size[:, None] + size) * (den - num)) & (small * den >= big * num)
+    most = (size[:, None] + size) * (den - num)
+    near = small * den >= big * num
+    if top is not None:
+        near &= top[:, None] != top
+    wide = bins.astype(np.int16)
+    coarse = wide.reshape(n, COARSE_BINS, -1).sum(2, dtype=np.int16)  # 64 bins of 255 at most: below 2 ** 15
+    for start, least in distances(coarse):
+        stop = start + len(least)
+        near[start:stop, start:] &= least * (den + num) <= most[start:stop, start:]
+    left, right = np.nonzero(np.triu(near, 1))
+    for width in (w for w in FINER if w <= wide.shape[1]):
+        kept, step = [], (1 << 22) // width
+        level = wide.reshape(n, width, -1).sum(2, dtype=np.int16)
+        for i in range(0, len(left), step):
+            x, y = left[i : i + step], right[i : i + step]
+            kept.append(np.abs(level[x] - level[y]).sum(1, dtype=np.int32).astype(np.int64) * (den + num) <= most[x, y])
+        if kept:
+            left, right = (side[np.concatenate(kept)] for side in (left, right))
+    good = np.zeros((n, n), bool)
+    np.fill_diagonal(good, near.diagonal())
+    good[left, right] = good[right, left] = True
+    return good
 
 
 def alike(num: int, den: int, width: int):
@@ -385,8 +415,7 @@ def alike(num: int, den: int, width: int):
             for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if end - begin < 2 or (top[begin:end] == top[begin]).all():
                     continue
-                near = may_link(bins[begin:end], size[begin:end], num, den)
-                near &= top[begin:end, None] != top[None, begin:end]
+                near = may_link(bins[begin:end], size[begin:end], num, den, top[begin:end])
                 for x, y in forest(near):
                     a.append(node[begin + x])
                     b.append(node[begin + y])

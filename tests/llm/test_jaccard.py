@@ -7,7 +7,7 @@ import pytest
 
 from conftest import SMALL
 from creditloom.llm.graph import components
-from creditloom.llm.jaccard import JaccardJoin, allocate, schemes, shared
+from creditloom.llm.jaccard import BINS, FINE_BINS, JaccardJoin, allocate, bins_of, may_link, schemes, shared
 from llm.helpers import brute_components, no_docs, odd_docs, texts_of
 
 
@@ -99,3 +99,22 @@ def test_components(spark):
         parent[max(p, q)] = min(p, q)
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
     assert got == {x: top(x) for a, b in pairs if a != b for x in (a, b)}
+
+
+@pytest.mark.parametrize("width", [BINS, FINE_BINS])
+def test_screening_by_widths_loses_no_pair(width, monkeypatch):
+    """The same pairs as all bins of all pairs give; the finest width sees few of the pairs of unrelated sets."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(1 << 62, size=k) for k in rng.integers(8, 400, 60)]
+    sets = [b[rng.random(len(b)) > rng.choice([0, 0.05, 0.3])] for b in base for _ in range(4)]
+    sets.append(rng.integers(1 << 62, size=300_000))  # bins are cut at 255
+    size = np.array([len(x) for x in sets])
+    bins = bins_of(np.concatenate(sets).astype(np.uint64), np.repeat(np.arange(len(sets)), size), len(sets), width)
+    top = rng.integers(0, 3, len(sets))
+    wide = bins.astype(np.int64)
+    want = np.array([[(np.abs(x - y).sum() * 180 <= (a + b) * 20) and 100 * min(a, b) >= 80 * max(a, b) for y, b in zip(wide, size)] for x, a in zip(wide, size)])
+    seen, plain = [], np.abs
+    monkeypatch.setattr(np, "abs", lambda x: seen.append(x.size) or plain(x))
+    assert (may_link(bins, size, 80, 100) == want).all()
+    assert sum(seen) < bins.size * len(sets) / 2
+    assert (may_link(bins, size, 80, 100, top) == want & (top[:, None] != top)).all()
