@@ -15,6 +15,8 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The pieces into which word_bpe_49k.json cuts lower-case text of that kind.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
+SIGNS = frozenset(b"%c" % c for c in b",.!?;:")  # each a piece of its own after a word
+
 
 def byte_characters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -23,6 +25,17 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Kept(dict):
+    """A dictionary that makes what it does not hold yet, so that one pass over a text's chunks finds and adds them."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space, as little-endian unsigned 32-bit bytes.
 
@@ -38,42 +51,33 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.simple = simple
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = Kept(self.chunk)
+        self.pieces: dict[str, bytes] = Kept(self.piece)
         self.shown = byte_characters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def piece(self, piece: str) -> bytes:
+        if len(self.pieces) >= CACHE_PIECES:
+            self.pieces.clear()
         shown = piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode("utf-8")))
-        tokens = self.model.tokenize(shown)
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(shown)])
 
     def chunk(self, chunk: bytes) -> bytes:
+        if self.simple and chunk.isalpha():  # A-Z and a-z alone: one piece
+            return self.pieces[chunk.lower().decode("ascii")]
+        if self.simple and chunk[-1:] in SIGNS and chunk[:-1].isalpha():
+            return self.pieces[chunk[:-1].lower().decode("ascii")] + self.pieces[chunk[-1:].decode("ascii")]
         text = chunk.decode("utf-8")
         if not (self.simple and PLAIN.fullmatch(text) and "<|" not in text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        kept, out = self.pieces, []
-        for piece in PIECES.findall(text.lower()):
-            ids = kept.get(piece)
-            if ids is None:
-                if len(kept) >= CACHE_PIECES:
-                    kept.clear()
-                ids = kept[piece] = self.piece(piece)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
 
     def ids(self, text: bytes) -> bytes:
-        chunks = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self.chunk(c)
-            return b"".join(map(known.__getitem__, chunks))
+        if len(self.known) > CACHE_CHUNKS:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def encoder(path: str) -> WordEncoder:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from conftest import SMALL
+from creditloom.llm import encode
 from creditloom.llm.encode import WordEncoder
 from creditloom.llm.packing import Capacity, pack, pack_documents
 from creditloom.llm.queries import word_tokenizer
@@ -116,3 +117,13 @@ def test_chunks_of_one_word_merge_it_once(monkeypatch):
     monkeypatch.setattr("creditloom.llm.encode.CACHE_PIECES", 2)
     small = WordEncoder(word_tokenizer())
     assert [small.ids(t.encode()) for t in texts] == plain and len(small.pieces) <= 2
+
+
+def test_plain_words_are_merged_without_patterns(monkeypatch):
+    """A word of a-z, alone or with one sign after it, is known as a piece; other chunks are still cut."""
+    whole = WordEncoder(word_tokenizer()).tokenizer
+    texts = ["Plain words, PLAIN Words. and; more: signs? yes!", ". , a, a.", "a,, it's x2 Größe, <|endoftext|>"]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [WordEncoder(word_tokenizer()).ids(t.encode()) for t in texts] == want
+    monkeypatch.setattr(encode, "PIECES", None)
+    assert WordEncoder(word_tokenizer()).ids(texts[0].encode()) == want[0]
