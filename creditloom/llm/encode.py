@@ -51,8 +51,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.simple = simple
-        self.known: dict[bytes, bytes] = Kept(self.chunk)
-        self.pieces: dict[str, bytes] = Kept(self.piece)
+        self.known: dict[bytes, bytes] = Kept(lambda chunk: self.chunk(chunk))
+        self.pieces: dict[str, bytes] = Kept(lambda piece: self.piece(piece))
         self.shown = byte_characters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
